@@ -24,19 +24,23 @@ from pyspark.sql import types as T
 
 #: Distinct pieces whose encodings a worker remembers, and pieces longer than LONG bytes are not remembered.
 CACHE, LONG = 300_000, 64
+#: Pairs of tokens whose verdict a worker remembers.
+PAIRS = 1_000_000
 
 
 class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=0)
-        self.apart: dict[tuple[int, int], bool] = {}
-        #: Lengths of tokens by their last two bytes, longest first: the tokens that may end at a position.
-        ends: dict[bytes, set[int]] = {}
-        for b in ranks:
-            ends.setdefault(b[-2:], set()).add(len(b))
-        self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
+        self.apart: dict[int, bool] = {}
+        #: Tokens by their bytes read backwards; under -1 a node has all tokens (id, length) that end so, longest first.
+        self.ends: dict = {-1: ()}
+        for b in sorted(ranks, key=len):
+            node = self.ends
+            for x in reversed(b):
+                # A node made on the way to a longer token knows the shorter ones by now: lengths come in ascending order.
+                node = node.setdefault(x, {-1: node[-1]})
+            node[-1] = ((ranks[b], len(b)), *node[-1])
 
     def _merge(self, piece: bytes) -> list[bytes]:
         """Lowest rank first, leftmost among equals; used on two tokens' bytes at a time."""
@@ -50,12 +54,10 @@ class PrefixBPE:
 
     def stays(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, are what merging their bytes gives."""
-        key = (left, right)
-        if (known := self.apart.get(key)) is None:
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            known = self.apart[key] = self._merge(a + b) == [a, b]
+        if len(self.apart) > PAIRS:
+            self.apart.clear()
+        a, b = self.bytes_of[left], self.bytes_of[right]
+        known = self.apart[left << 32 | right] = self._merge(a + b) == [a, b]
         return known
 
     @functools.cached_property
@@ -69,36 +71,72 @@ class PrefixBPE:
             known = self._alone[token] = self._merge(b) == [b]
         return known
 
-    def extend(self, piece: bytes, last: list[int]) -> list[int]:
-        """The last token of each prefix of ``piece``; ``last`` holds those of its first len(last) prefixes already."""
-        ranks, ends = self.ranks, self.ends
-        for end in range(len(last) + 1, len(piece) + 1):
-            for n in chain(ends.get(piece[max(0, end - 2) : end], ()), (1,)):
-                if n > end or (token := ranks.get(piece[end - n : end])) is None:
-                    continue
-                if self.reachable(token) if n == end else self.stays(last[end - n - 1], token):
-                    last.append(token)
-                    break
+    def ending(self, piece: bytes, end: int) -> tuple:
+        """Tokens (id, length) that end at a byte of the piece, longest first."""
+        node, at = self.ends, end
+        while at and (deeper := node.get(piece[at - 1])):
+            node, at = deeper, at - 1
+        return node[-1]
+
+    def last(self, piece: bytes, end: int, known: dict[int, int]) -> int:
+        """The one token that can end the encoding of ``piece[:end]``, from those of the shorter prefixes it rests on;
+        ``known`` gets all of them."""
+        verdict = self.apart.get
+        for token, n in self.ending(piece, end):
+            if n == end:
+                fits = self.reachable(token)
             else:
-                raise ValueError(f"no token ends at byte {end} of a piece of {len(piece)} bytes")
-        return last
+                if (left := known.get(end - n)) is None:
+                    left = self.last(piece, end - n, known)
+                if (fits := verdict(left << 32 | token)) is None:
+                    fits = self.stays(left, token)
+            if fits:
+                known[end] = token
+                return token
+        raise ValueError(f"no token ends at byte {end} of a piece of {len(piece)} bytes")
+
+    def extend(self, piece: bytes, known: dict[int, int], start: int = 1) -> dict[int, int]:
+        """Every prefix from ``start`` on, shortest first: no recursion however long the piece, and exact appends after it."""
+        for end in range(start, len(piece) + 1):
+            self.last(piece, end, known)
+        return known
 
-    def walk(self, last: list[int]) -> list[int]:
-        out, end = [], len(last)
+    def walk(self, known: dict[int, int], end: int) -> list[int]:
+        out = []
         while end:
-            out.append(last[end - 1])
-            end -= len(self.bytes_of[last[end - 1]])
+            out.append(token := known[end])
+            end -= len(self.bytes_of[token])
         return out[::-1]
 
     def piece(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        return self.walk(self.extend(piece, []))
-
-    def edited(self, old: bytes, last: list[int], new: bytes) -> list[int]:
-        """The prefix table of ``new``, from that of ``old``: what stands before the first changed byte is kept."""
+        known: dict[int, int] = {}
+        if len(piece) <= LONG:  # only the prefixes that the end rests on
+            self.last(piece, len(piece), known)
+        else:
+            self.extend(piece, known)
+        return self.walk(known, len(piece))
+
+    def edited(self, old: bytes, known: dict[int, int], new: bytes) -> dict[int, int]:
+        """The full prefix table of ``new``, from that of ``old``: what stands before the first changed byte is kept."""
         same = next((i for i, (a, b) in enumerate(zip(old, new)) if a != b), min(len(old), len(new)))
-        return self.extend(new, last[:same])
+        return self.extend(new, {k: known[k] for k in range(1, same + 1)}, same + 1)
+
+
+class Pieces(dict):
+    """Encodings by piece, made when first asked for."""
+
+    def __init__(self, bpe: PrefixBPE):
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.bpe.piece(piece.encode())
+        if len(self) >= CACHE:
+            self.clear()
+        if len(piece) <= LONG:
+            self[piece] = ids
+        return ids
 
 
 class Codec:
@@ -109,25 +147,11 @@ class Codec:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe, self.find, self.known = PrefixBPE(ranks), regex.compile(pattern).findall, {}
-        self.bytes_of = self.bpe.bytes_of
+        self.bpe, self.find = PrefixBPE(ranks), regex.compile(pattern).findall
+        self.known, self.bytes_of = Pieces(self.bpe), self.bpe.bytes_of
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        pieces = self.find(text)
-        try:  # all known: the usual case
-            return list(chain.from_iterable(map(known.__getitem__, pieces)))
-        except KeyError:
-            pass
-        if len(known) > CACHE:
-            known.clear()
-        for p in pieces:
-            if (ids := known.get(p)) is None:
-                ids = self.bpe.piece(p.encode())
-                if len(p) <= LONG:
-                    known[p] = ids
-            out.extend(ids)
-        return out
+        return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -60,3 +60,12 @@ def make_room(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns that clash with those an operator adds: the operator's own columns win, whatever the letter case."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+#: Rows that may be sent to every executor: at about 100 bytes a row in a hash table, 100 MB.
+SMALL_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame, most: int = SMALL_ROWS) -> bool:
+    """Whether a written table of narrow rows is within the bound for sending it to every executor."""
+    return df.limit(most + 1).count() <= most

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, url_filter
+from . import bpe, exact_dedup, line_dedup, url_filter
 
 QUERIES = {
     "op4_byte_bpe": bpe.query,
     "op6_line_dedup": line_dedup.query,
     "op7_url_filter": url_filter.query,
+    "op10_exact_dedup": exact_dedup.query,
 }
 
 SQL = {
     "op6_line_dedup": line_dedup.SQL,
     "op7_url_filter": url_filter.SQL,
+    "op10_exact_dedup": exact_dedup.SQL,
 }
