@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, near_dedup, url_filter
+from . import bpe, embedding_dedup, exact_dedup, line_dedup, near_dedup, url_filter
 
 QUERIES = {
     "op4_byte_bpe": bpe.query,
     "op6_line_dedup": line_dedup.query,
     "op7_url_filter": url_filter.query,
+    "op8_embedding_dedup": embedding_dedup.query,
     "op9_minhash_near_dedup": near_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
 }
