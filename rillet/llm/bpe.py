@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct pieces whose encodings a worker remembers, and pieces longer than LONG bytes are not remembered.
-CACHE, LONG = 300_000, 64
-#: Pairs of tokens whose verdict a worker remembers.
-PAIRS = 1_000_000
+CACHE, LONG = 250_000, 64
+#: Prefixes whose last token, and pairs of tokens whose verdict, a worker remembers.
+PREFIXES, PAIRS = 400_000, 500_000
 
 
 class PrefixBPE:
@@ -33,6 +33,7 @@ class PrefixBPE:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.apart: dict[int, bool] = {}
+        self.ends_with: dict[bytes, int] = {}
         #: Tokens by their bytes read backwards; under -1 a node has all tokens (id, length) that end so, longest first.
         self.ends: dict = {-1: ()}
         for b in sorted(ranks, key=len):
@@ -54,6 +55,8 @@ class PrefixBPE:
 
     def stays(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, are what merging their bytes gives."""
+        if (known := self.apart.get(left << 32 | right)) is not None:
+            return known
         if len(self.apart) > PAIRS:
             self.apart.clear()
         a, b = self.bytes_of[left], self.bytes_of[right]
@@ -78,31 +81,42 @@ class PrefixBPE:
             node, at = deeper, at - 1
         return node[-1]
 
-    def last(self, piece: bytes, end: int, known: dict[int, int]) -> int:
-        """The one token that can end the encoding of ``piece[:end]``, from those of the shorter prefixes it rests on;
-        ``known`` gets all of them."""
-        verdict = self.apart.get
-        for token, n in self.ending(piece, end):
-            if n == end:
+    def last(self, prefix: bytes) -> int:
+        """The one token that can end the encoding of a byte prefix. It rests on the bytes alone, so it is stored under them
+        and serves every piece that starts so; shorter prefixes are looked at only where this one needs them."""
+        if (known := self.ends_with.get(prefix)) is not None:
+            return known
+        for token, n in self.ending(prefix, len(prefix)):
+            if n == len(prefix):
                 fits = self.reachable(token)
             else:
-                if (left := known.get(end - n)) is None:
-                    left = self.last(piece, end - n, known)
-                if (fits := verdict(left << 32 | token)) is None:
+                left = self.last(prefix[:-n])
+                if (fits := self.apart.get(left << 32 | token)) is None:
                     fits = self.stays(left, token)
             if fits:
-                known[end] = token
+                self.ends_with[prefix] = token
                 return token
-        raise ValueError(f"no token ends at byte {end} of a piece of {len(piece)} bytes")
+        raise ValueError(f"no token ends a prefix of {len(prefix)} bytes")
 
-    def extend(self, piece: bytes, known: dict[int, int], start: int = 1) -> dict[int, int]:
-        """Every prefix from ``start`` on, shortest first: no recursion however long the piece, and exact appends after it."""
+    def extend(self, piece: bytes, known: list[int], start: int = 1) -> list[int]:
+        """The same for one long piece: known[i] ends its first i bytes. No recursion and no copies of prefixes, however long
+        the piece; appending leaves what is known as it is."""
         for end in range(start, len(piece) + 1):
-            self.last(piece, end, known)
+            for token, n in self.ending(piece, end):
+                if self.reachable(token) if n == end else self.stays(known[end - n], token):
+                    known.append(token)
+                    break
+            else:
+                raise ValueError(f"no token ends at byte {end} of a piece of {len(piece)} bytes")
         return known
 
-    def walk(self, known: dict[int, int], end: int) -> list[int]:
-        out = []
+    def edited(self, old: bytes, known: list[int], new: bytes) -> list[int]:
+        """The prefix table of ``new``, from that of ``old``: what stands before the first changed byte is kept."""
+        same = next((i for i, (a, b) in enumerate(zip(old, new)) if a != b), min(len(old), len(new)))
+        return self.extend(new, known[: same + 1], same + 1)
+
+    def walk(self, piece: bytes, known: list[int]) -> list[int]:
+        out, end = [], len(piece)
         while end:
             out.append(token := known[end])
             end -= len(self.bytes_of[token])
@@ -111,17 +125,15 @@ class PrefixBPE:
     def piece(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        known: dict[int, int] = {}
-        if len(piece) <= LONG:  # only the prefixes that the end rests on
-            self.last(piece, len(piece), known)
-        else:
-            self.extend(piece, known)
-        return self.walk(known, len(piece))
-
-    def edited(self, old: bytes, known: dict[int, int], new: bytes) -> dict[int, int]:
-        """The full prefix table of ``new``, from that of ``old``: what stands before the first changed byte is kept."""
-        same = next((i for i, (a, b) in enumerate(zip(old, new)) if a != b), min(len(old), len(new)))
-        return self.extend(new, {k: known[k] for k in range(1, same + 1)}, same + 1)
+        if len(piece) > LONG:
+            return self.walk(piece, self.extend(piece, [-1]))
+        if len(self.ends_with) > PREFIXES:
+            self.ends_with.clear()
+        out = []
+        while piece:
+            out.append(token := self.last(piece))
+            piece = piece[: -len(self.bytes_of[token])]
+        return out[::-1]
 
 
 class Pieces(dict):
@@ -192,8 +204,8 @@ def decode(ids: Column, vocabulary=public_vocabulary) -> Column:
     @F.arrow_udf(T.BinaryType())
     def text(lists: pa.Array) -> pa.Array:
         own = codec(*vocabulary())
-        at, values = lists.offsets.to_pylist(), lists.values
-        return pa.array((own.decode(values[a:b].to_pylist()) for a, b in zip(at, at[1:])), pa.binary())
+        at, values = lists.offsets.to_pylist(), lists.values.to_numpy()
+        return pa.array((own.decode(values[a:b].tolist()) for a, b in zip(at, at[1:])), pa.binary())
 
     return text(ids)
 

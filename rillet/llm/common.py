@@ -7,8 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space as the contracts define it; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -50,12 +49,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def word_count(text: str | Column) -> Column:
-    """Words of a text (null: 0), without building the list of words."""
-    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return F.regexp_count(text, F.lit(WORD)).cast("long")
-
-
 def make_room(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns that clash with those an operator adds: the operator's own columns win, whatever the letter case."""
     taken = {n.lower() for n in names}
