@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, url_filter
+from . import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op3_source_mix": mixing.query,
     "op4_byte_bpe": bpe.query,
     "op6_line_dedup": line_dedup.query,
