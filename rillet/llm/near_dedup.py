@@ -37,7 +37,7 @@ from .components import components
 #: MinHash samples, bits of an odd sketch, and the probability with which a pair at the threshold may share no bucket.
 K, BITS, MISS = 256, 256, 1e-4
 #: Members of a block in step 4, members compared with one copy of a bucket's smallest vertex, and words whose hashes a worker remembers.
-BLOCK, STAR, WORDS = 1024, 1024, 1_000_000
+BLOCK, STAR, WORDS = 1024, 1024, 150_000
 ADDED = ("n_shingles", "component_id", "kept")
 
 
