@@ -1,8 +1,54 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, token digests out. Each stage reads what its predecessor wrote."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rillet.llm import bpe, exact_dedup, language_id, mixing, near_dedup
+from rillet.llm.common import Scratch, load
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified (operator 5)."""
+    return language_id.known_only(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text (operator 10)."""
+    return exact_dedup.dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 (operator 9)."""
+    return near_dedup.dedup(docs, size=5, threshold=0.8)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (operator 3)."""
+    return mixing.mixed(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes (operator 4)."""
+    return bpe.digests(bpe.tokenize(docs.select("doc_id", "text")))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("byte_bpe", encode_tokens),
+]
+
+#: Balanced sampling and the near-duplicate groups are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written to the shared folder and read again."""
+    docs = load(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

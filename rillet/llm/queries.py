@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, toxicity, url_filter
+from . import bpe, embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_html_extract": html_extract.query,
     "op2_toxicity": toxicity.query,
     "op3_source_mix": mixing.query,
     "op4_byte_bpe": bpe.query,
+    "op5_language_id": language_id.query,
     "op6_line_dedup": line_dedup.query,
     "op7_url_filter": url_filter.query,
     "op8_embedding_dedup": embedding_dedup.query,
