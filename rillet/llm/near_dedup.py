@@ -256,7 +256,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", size: i
     # Only sets that several rows have, or that are linked, have a component other than the row's own id.
     named = same.join(found.withColumnRenamed("component", "c"), "id", "left").filter("size > 1 or c is not null")
     named = scratch.table(named.select("s1", "s2", "n", F.coalesce("c", "id").alias("c")), "named")
-    own = sketches.select("id", "n", "s1", "s2").join(F.broadcast(named) if is_small(named) else named, ["s1", "s2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
+    own = sketches.select("id", "n", "s1", "s2").join(F.broadcast(named) if is_small(named) else named, ["s1", "s2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
     if set(docs.columns) == {id, text}:
         return own.select(F.col("id").alias(id), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
     own = own.dropDuplicates(["id"]).withColumnRenamed("id", "_id")
