@@ -5,10 +5,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import haversine_km, in_polygon
+from ..functions import EARTH_KM, haversine_km, in_polygon
 
 KM_A_DEGREE = 111.0
 
@@ -31,28 +34,54 @@ def within(left: DataFrame, right: DataFrame, km: float, radius: Column | None =
     return here.join(there, ["i", "j"]).withColumn("km", d).filter(F.col("km") <= F.col("_r")).select("a", "b", "km")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, most_right: int = 200_000) -> DataFrame:
-    """(a, b, km, slot): the ``k`` nearest of ``right`` for each of ``left``; ties by id. ``right`` is a table of places: up to ``most_right``
-    of them go to every executor; beyond that, rings of grid cells grow until each row has k neighbours that are surely the nearest."""
+def nearest(left: DataFrame, right: DataFrame, k: int, most_right: int = 100_000) -> DataFrame:
+    """(a, b, km, slot): the ``k`` nearest of ``right`` (id, lat, lon) for each of ``left``; ties by id. Up to ``most_right`` places, a table of
+    three numbers each, are sent to the workers once and compared with Arrow batches of rows by numpy, chunk by chunk, with no pair ever a
+    row. Beyond that, grid cells grow until each row has k neighbours that are surely the nearest."""
     if right.limit(most_right + 1).count() <= most_right:
-        pairs = left.select(F.col("id").alias("a"), "lat", "lon").join(F.broadcast(right.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))))
-        d = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-        best = F.array_sort(F.collect_list(F.struct(d.alias("km"), "b")))
-        # Per left row as many candidates as there are places, which the bound above keeps to a task's memory.
-        got = pairs.groupBy("a").agg(F.slice(best, 1, k).alias("n"))
-        return got.select("a", F.posexplode("n").alias("p", "x")).select("a", "x.b", "x.km", (F.col("p") + 1).alias("slot"))
-    radius, open_, done = 5.0, left, None
+        return _nearest_of_few(left, right, k)
+    radius, open_, done = 2.5, left, None
     while True:
         near = within(open_, right, radius)
-        r = F.row_number().over(Window.partitionBy("a").orderBy("km", "b"))
-        near = near.withColumn("slot", r).filter(F.col("slot") <= k)
+        r = F.row_number().over(Window.partitionBy("a").orderBy(F.round("km", 9), "b"))
+        near = _cut(near.withColumn("slot", r).filter(F.col("slot") <= k))
         full = near.groupBy("a").count().filter(F.col("count") >= k).select("a")
         part = near.join(full, "a", "left_semi") if radius < 20_000 else near
         done = part if done is None else done.unionByName(part)
-        open_ = open_.join(full, open_["id"] == full["a"], "left_anti")
+        open_ = _cut(open_.join(full, open_["id"] == full["a"], "left_anti"))
         if radius >= 20_000 or not open_.head(1):
             return done
-        radius *= 4
+        radius *= 3
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """A round's state: checkpointed where the cluster has a folder for it, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
+def _nearest_of_few(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    table = right.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).toPandas().sort_values("id")
+    kind = T.ArrayType(T.StructType([T.StructField("b", right.schema["id"].dataType), T.StructField("km", T.DoubleType()), T.StructField("slot", T.IntegerType())]))
+    own = left.sparkSession.sparkContext.broadcast((table["id"].tolist(), np.radians(table["lat"].to_numpy()), np.radians(table["lon"].to_numpy())))
+
+    @F.pandas_udf(kind)
+    def best(lat: pd.Series, lon: pd.Series) -> pd.Series:
+        ids, lat2, lon2 = own.value
+        out, step = [], max(1, 2_000_000 // max(1, len(ids)))
+        for at in range(0, len(lat), step):
+            p, q = np.radians(lat[at : at + step].to_numpy(float))[:, None], np.radians(lon[at : at + step].to_numpy(float))[:, None]
+            h = np.sin((lat2 - p) / 2) ** 2 + np.cos(p) * np.cos(lat2) * np.sin((lon2 - q) / 2) ** 2
+            km = 2 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+            rounded = np.round(km, 9)
+            last = np.partition(rounded, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] if len(ids) else []
+            for d, r, m in zip(km, rounded, last):
+                near = np.flatnonzero(r <= m)
+                near = near[np.argsort(r[near], kind="stable")][:k]  # ids ascend, so ties keep their order
+                out.append([{"b": ids[j], "km": float(d[j]), "slot": n} for n, j in enumerate(near, 1)])
+        return pd.Series(out, index=lat.index)
+
+    near = left.filter("lat is not null and lon is not null").select(F.col("id").alias("a"), F.explode(best("lat", "lon")).alias("x"))
+    return near.select("a", "x.b", "x.km", "x.slot") if len(table) else near.limit(0).select("a", "x.b", "x.km", "x.slot")
 
 
 def first_region(points: DataFrame, regions: list[tuple[str, list]]) -> DataFrame:

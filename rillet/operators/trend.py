@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +22,20 @@ def ols(series: DataFrame, least: int = 3) -> DataFrame:
 
 
 def theil_sen(series: DataFrame) -> DataFrame:
-    """(key, slope): the median of slopes between all pairs of a key's months, per year. Pairs of one key alone, a few thousand for a
-    few decades of months; the array of a key is paired with itself in place, so nothing is joined."""
-    points = series.groupBy("key").agg(F.collect_list(F.struct("month", "value")).alias("a"))
-    pairs = points.select("key", F.explode("a").alias("p"), "a").select("key", F.explode(F.filter("a", lambda q: q["month"] > F.col("p.month"))).alias("q"), "p")
-    slope = (F.col("q.value") - F.col("p.value")) / (F.datediff("q.month", "p.month") / 365.25)
-    return pairs.groupBy("key").agg(F.median(slope).alias("slope"))
+    """(key, slope): the median of slopes between all pairs of a key's months, per year. A key's months are one row of two arrays, a few
+    hundred values for decades; the pairs exist as a numpy vector within the row and never as rows."""
+    @F.pandas_udf("double")
+    def median_slope(days: pd.Series, values: pd.Series) -> pd.Series:
+        def one(x, y):
+            i, j = np.triu_indices(len(x), 1)
+            dx, dy = x[j] - x[i], y[j] - y[i]
+            return float(np.median(dy[dx != 0] / (dx[dx != 0] / 365.25))) if (dx != 0).any() else None
+
+        return pd.Series([one(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(days, values)], dtype="float64")
+
+    points = series.filter("value is not null").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("month", "value"))).alias("a"))
+    days = F.transform("a", lambda p: F.datediff(p["month"], F.lit("1970-01-01").cast("date")).cast("double"))
+    return points.select("key", median_slope(days, F.col("a.value")).alias("slope")).filter("slope is not null")
 
 
 def seasonal_amplitude(series: DataFrame, least_months: int = 12, least_in_year: int = 6) -> DataFrame:
