@@ -1,7 +1,7 @@
 """MinHash near-dedup with odd sketches.
 
 Each document's set of word shingles (64-bit hashes of the word sequences) is min-hashed K times. Bands of the samples make
-candidate buckets; folding the samples into a parity bitmap (an odd sketch) leaves 32 bytes a document whose XOR population
+candidate buckets; folding the samples into a parity bitmap (an odd sketch) leaves 128 bytes a document whose XOR population
 count estimates high similarities, so most false candidates fall to a bit count inside the JVM. What remains is confirmed on
 the full sets. The steps:
 
@@ -9,11 +9,11 @@ the full sets. The steps:
 2. In each bucket every member is compared with the bucket's smallest vertex only (a star), linear in the bucket.
 3. Confirmed links give components. Buckets whose members all share a component are done: any further link in them would
    change nothing.
-4. In the other buckets pairs from different components are compared by sketch, in blocks of bounded size that are dealt
-   out by (bucket, block, block); passing pairs are confirmed as before. So no group is gathered in one task, no pair list of
-   a group is made, and no partner is capped: all links between bucket mates of different components are found.
+4. In the other buckets pairs from different components are compared in blocks of bounded size that are dealt out by (bucket, block,
+   block), by sketch and then on full sets, each pair in one bucket only; a task returns the links that join components. So no group is
+   gathered in one task, no list of a group's pairs is made, and no partner is capped: all links between bucket mates count.
 
-A pair of the threshold's similarity shares no bucket with a probability under MISS, and fails the sketch bound (five standard
+A pair of the threshold's similarity shares no bucket with a probability under MISS, and fails the sketch bound (4.5 standard
 deviations) with less.
 
 Defined cases: null, empty and white-space texts have no shingles and link with nothing; texts with fewer words than a shingle
@@ -35,9 +35,11 @@ from .common import Scratch, is_small, load, make_room
 from .components import components
 
 #: MinHash samples, bits of an odd sketch, and the probability with which a pair at the threshold may share no bucket.
-K, BITS, MISS = 256, 256, 1e-4
+K, BITS, MISS = 256, 1024, 1e-4
 #: Members of a block in step 4, members compared with one copy of a bucket's smallest vertex, and words whose hashes a worker remembers.
 BLOCK, STAR, WORDS = 1024, 1024, 150_000
+#: Shingles of a block on average at most: what bounds its memory where texts are long.
+BLOCK_SHINGLES = 1_000_000
 ADDED = ("n_shingles", "component_id", "kept")
 
 
@@ -46,7 +48,7 @@ def band_rows(threshold: float, k: int = K, miss: float = MISS) -> int:
     return max(r for r in range(1, 17) if (1 - threshold**r) ** (k // r) <= miss or r == 1)
 
 
-def odd_limit(threshold: float, k: int = K, bits: int = BITS, sigmas: float = 5.0) -> int:
+def odd_limit(threshold: float, k: int = K, bits: int = BITS, sigmas: float = 4.5) -> int:
     """Differing bits up to which a pair may have the threshold's similarity."""
     flips = 2 * k * (1 - threshold)
     p = (1 - math.exp(-2 * flips / bits)) / 2
@@ -183,48 +185,68 @@ def _differing(a: str, b: str) -> Column:
 
 
 def _likely(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """(id, hub) pairs that sizes and odd sketches leave possible; a check of 32 bytes a side, in the JVM."""
+    """(id, hub) pairs that sizes and odd sketches leave possible; a check of 128 bytes a side, in the JVM."""
     side = vertices.select("id", "n", "odd")
     both = pairs.join(side.alias("a"), "id").join(side.withColumnRenamed("id", "hub").alias("b"), "hub")
     fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
     return both.filter(fits & (_differing("a", "b") <= odd_limit(percent / 100))).select("id", "hub")
 
 
-def _blocks(percent: int):
+def _blocks(size: int, percent: int):
     limit = odd_limit(percent / 100)
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        """Pairs of different components between two blocks of a bucket, or within one, that the sketches leave possible."""
-        _, i, j = (k.as_py() for k in key)
+        """Links between two blocks of a bucket, or within one, that join components: sketches first, then full sets, nearest first.
+        A pair meets in every bucket that both are in; the first of them answers for it."""
+        own_key, i, j = (k.as_py() for k in key)
         id, n, comp, block = (rows[c].to_numpy() for c in ("id", "n", "comp", "block"))
-        odd = np.stack(rows["odd"].to_pylist()).astype(np.int64).view(np.uint64)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        u, v = [], []
-        for x in left:
-            ok = (comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))
+        bands, odd = np.stack(rows["bands"].to_pylist()), np.stack(rows["odd"].to_pylist()).astype(np.int64).view(np.uint64)
+        texts, sets = rows["text"], {}
+        root = np.unique(comp, return_inverse=True)[1]
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(texts[k].as_py(), size)
+            return sets[k]
+
+        right, u, v = np.flatnonzero(block == j), [], []
+        for x in np.flatnonzero(block == i).tolist():
+            near = right[(root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
             if i == j:
-                ok &= id[right] > id[x]
-            near = right[ok]
-            near = near[np.bitwise_count(odd[near] ^ odd[x]).sum(1) <= limit]
-            u.append(np.maximum(id[near], id[x]))
-            v.append(np.minimum(id[near], id[x]))
-        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"id": join(u), "hub": join(v)})
+                near = near[id[near] > id[x]]
+            off = np.bitwise_count(odd[near] ^ odd[x]).sum(1)
+            near = near[np.argsort(off, kind="stable")][: (off <= limit).sum()]
+            near = near[bands[near, (bands[near] == bands[x]).argmax(1)] == own_key]
+            while len(near):
+                some, near, own = near[:64], near[64:], full(x)
+                flat = np.concatenate([full(k) for k in some.tolist()])
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                both = np.add.reduceat(hit, np.cumsum(n[some]) - n[some], dtype=np.int64)
+                for y in some[100 * both >= percent * (n[x] + n[some] - both)].tolist():
+                    if root[y] != root[x]:
+                        u.append(max(id[x], id[y]))
+                        v.append(min(id[x], id[y]))
+                        root[root == root[y]] = root[x]
+                near = near[root[near] != root[x]]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return compare
 
 
-def _rest(members: DataFrame, comps: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """(id, hub): possible pairs of different components in buckets that hold several."""
-    own = members.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-    left = own.join(several, "key").join(vertices.select("id", "n", "odd"), "id")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    left = left.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")})
+def _rest(docs: DataFrame, members: DataFrame, comps: DataFrame, vertices: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """(u, v): links between components in buckets that hold several."""
+    own = members.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component").join(vertices.select("id", "n"), "id")
+    several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("all")).filter("lo <> hi")
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("all") / F.lit(BLOCK_SHINGLES))).cast("int")
+    left = own.join(several, "key").select("key", "id", "comp", blocks.alias("blocks"))
+    left = scratch.table(left.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), "blocks").cast("int")), "left")
+    ids = scratch.table(left.select("id").distinct(), "left-ids")
+    side = F.broadcast(ids) if is_small(ids) else ids
+    bodies = docs.join(side, "id", "left_semi").dropDuplicates(["id"]).join(vertices.select("id", "n", "odd", "bands").join(side, "id", "left_semi"), "id")
     # A row goes to every pair of blocks that its own is part of: as many as there are blocks.
     to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-    dealt = left.withColumn("to", F.explode(to)).select("key", "to.i", "to.j", "id", "n", "comp", "block", "odd")
-    return dealt.groupBy("key", "i", "j").applyInArrow(_blocks(percent), "id long, hub long").distinct()
+    dealt = left.withColumn("to", F.explode(to)).select("key", "to.i", "to.j", "id", "comp", "block").join(scratch.table(bodies, "bodies"), "id")
+    return scratch.table(dealt.groupBy("key", "i", "j").applyInArrow(_blocks(size, percent), "u long, v long"), "second")
 
 
 def links(docs: DataFrame, vertices: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
@@ -235,10 +257,9 @@ def links(docs: DataFrame, vertices: DataFrame, scratch: Scratch, size: int, per
     members = scratch.table(flat.join(F.broadcast(hubs) if is_small(hubs) else hubs, "key"), "members")
     pairs = scratch.table(_likely(members.filter("id <> hub").select("id", "hub").distinct(), vertices, percent), "pairs")
     first = _confirm(docs, pairs, scratch, "first", size, percent)
-    more = _rest(members.select("key", "id"), components(first), vertices, percent).join(pairs, ["id", "hub"], "left_anti")
-    more = scratch.table(more, "more")
-    scratch.drop("hubs", "members")
-    return first.union(_confirm(docs, more, scratch, "second", size, percent)) if more.head(1) else first
+    second = _rest(docs, members.select("key", "id"), components(first), vertices, scratch, size, percent)
+    scratch.drop("hubs", "members", "left", "left-ids", "bodies")
+    return first.union(second)
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
