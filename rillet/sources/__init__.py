@@ -1,0 +1,3 @@
+"""Sources and sinks."""
+
+from .readings import bilinear, csv_readings, increments, json_members, manifest, pick, polygons, quality_gate, read_key, require_columns, write_by_key, write_documents  # noqa: F401
