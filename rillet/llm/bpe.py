@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct pieces whose encodings a worker remembers, and pieces longer than LONG bytes are not remembered.
-CACHE, LONG = 150_000, 64
+CACHE, LONG = 300_000, 64
 #: Prefixes whose last token, and pairs of tokens whose verdict, a worker remembers.
-PREFIXES, PAIRS = 250_000, 400_000
+PREFIXES, PAIRS = 400_000, 400_000
 
 
 class PrefixBPE:
