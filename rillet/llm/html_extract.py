@@ -64,6 +64,8 @@ def _role(tag: str, attrs: str, role: int) -> int:
         return NOT_MAIN
     names = {w for m in NAMES.findall(attrs) for w in m.strip("\"'").lower().split()} if attrs else set()
     parts = {p for w in names for p in (w, *re.split(r"[-_]+", w))}
+    if role == MAIN:  # an article's own header holds its title
+        parts -= {"header", "masthead"}
     if parts & CHROME_WORDS and not names & MAIN_WORDS:
         return NOT_MAIN
     if tag in ("article", "main") or names & MAIN_WORDS:

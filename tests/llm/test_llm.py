@@ -335,6 +335,7 @@ def test_html():
     <script>var x = "<p>no</p>"</script>end.</p><form><input><button>Send</button></form><section class=comments><p>First! Great article, thanks.</p></section></article><aside>Side</aside><footer>&copy; 2020</footer></body></html>"""
     assert html_extract.extract(page) == "Café & co One two three. Of. x < y bold end."
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<p") == ""
+    assert html_extract.extract('<main><div class="entry-header"><h1>Title</h1></div><p>Text.</p><div class="entry-footer">Filed under x</div></main>') == "Title Text."
     assert html_extract.extract("<article><p>unclosed <i>text") == "unclosed text"
     plain = "<body><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><p>" + "Long words stand here, as prose does. " * 8 + "<p>Short.</p><p>" + "More prose follows after that one. " * 8 + "</p><div><a href=c>Prev</a> <a href=d>Next</a></div>"
     got = html_extract.extract(plain)
