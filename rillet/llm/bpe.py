@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import held, load, make_room
+
 #: Distinct pieces whose encodings a worker remembers, and pieces longer than LONG bytes are not remembered.
 CACHE, LONG = 300_000, 64
 #: Prefixes whose last token, and pairs of tokens whose verdict, a worker remembers.
@@ -169,9 +171,8 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@functools.lru_cache(4)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def public_vocabulary() -> tuple[str, str]:
@@ -212,8 +213,6 @@ def decode(ids: Column, vocabulary=public_vocabulary) -> Column:
 
 def tokenize(docs: DataFrame, text: str = "text", vocabulary=public_vocabulary) -> DataFrame:
     """``docs`` with ids (array<int>), n_tokens (long) and decoded (binary); columns of those names give way."""
-    from .common import make_room
-
     docs = make_room(docs, "ids", "n_tokens", "decoded")
     docs = docs.withColumn("ids", encode(F.col(text), vocabulary))
     return docs.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded": decode(F.col("ids"), vocabulary)})
@@ -226,6 +225,4 @@ def digests(tokens: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: every whole text of documents."""
-    from .common import load
-
     return digests(tokenize(load(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -62,3 +62,15 @@ SMALL_ROWS = 1_000_000
 def is_small(df: DataFrame, most: int = SMALL_ROWS) -> bool:
     """Whether a written table of narrow rows is within the bound for sending it to every executor."""
     return df.limit(most + 1).count() <= most
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """What ``make`` gives, kept in this worker process until another operator asks for something of its own: workers are used again
+    from stage to stage, and their memories must not add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

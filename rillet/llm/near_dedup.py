@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, is_small, load, make_room
+from .common import Scratch, held, is_small, load, make_room
 from .components import components
 
 #: MinHash samples, bits of an odd sketch, and the probability with which a pair at the threshold may share no bucket.
@@ -67,9 +67,8 @@ class _Words(dict):
         return h
 
 
-@lru_cache(1)
 def _words() -> _Words:
-    return _Words()
+    return held("words", _Words)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

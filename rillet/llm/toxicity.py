@@ -19,7 +19,6 @@ alike; columns that clash with the added ones give way.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, load, make_room
+from .common import Scratch, held, load, make_room
 
 TRAIN, TERMS, VOTERS, SUPPORT, PREFIXES = 16_000, 4000, 300, 4, (3, 4, 5, 6)
 #: A mined voter stands with the label in this share of its rows, and beats chance by so many standard deviations.
@@ -182,9 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     return {"names": names, "weights": weights.tolist(), "constant": constant, "voters": list(zip(voters, model.fires.T.tolist(), model.share.tolist()))}
 
 
-@lru_cache(2)
 def _terms(names: tuple[str, ...]) -> Terms:
-    return Terms(list(names))
+    return held(("terms", names), lambda: Terms(list(names)))
 
 
 def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text") -> DataFrame:
