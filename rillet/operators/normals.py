@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladder_percentile, status, trend_class
@@ -21,10 +21,11 @@ def monthly_normals(series: DataFrame, before, least: int = 5, how: str = "avg")
 
 
 def latest(series: DataFrame, back: int = 7) -> DataFrame:
-    """(key, date, level, change): the last value and its change from the last one at least ``back`` days before."""
-    last = series.groupBy("key").agg(F.max("date").alias("date"), F.max_by("value", "date").alias("level"))
-    then = series.join(last, "key").filter(series["date"] <= F.date_sub(last["date"], back)).groupBy("key").agg(F.max_by("value", series["date"]).alias("then"))
-    return last.join(then, "key", "left").select("key", "date", "level", (F.col("level") - F.col("then")).alias("change"))
+    """(key, date, level, change): the last value and its change from the last one at least ``back`` days before. One exchange by key serves
+    the window and the aggregation."""
+    s = series.withColumn("_old", F.col("date") <= F.date_sub(F.max("date").over(Window.partitionBy("key")), back))
+    then = F.max_by("value", F.when(F.col("_old"), F.col("date")))
+    return s.groupBy("key").agg(F.max("date").alias("date"), F.max_by("value", "date").alias("level"), then.alias("_then")).select("key", "date", "level", (F.col("level") - F.col("_then")).alias("change"))
 
 
 def current_status(series: DataFrame, before, eps: float = 0.02, least: int = 5) -> DataFrame:
