@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, is_small, load
 from .components import components
-from .hnsw import Graph
+from .hnsw import Graph, M
 
 SHARDS, PER_SHARD, QUERIES = 8, 200_000, 4096
 BEAM, AUDITED, AUDIT, CHUNK = 16, 48, 0.99, 256
@@ -55,7 +55,7 @@ def ask(graph: Graph, q: np.ndarray, bound: float, beam: int):
     out: list[np.ndarray] = [None] * len(q)
     todo, width = np.arange(len(q)), beam
     while len(todo):
-        step = max(8, min(CHUNK, 60_000_000 // max(len(graph.x), 24 * width * q.shape[1])))
+        step = max(8, min(CHUNK, 60_000_000 // max(len(graph.x), M * width * q.shape[1])))
         again = []
         for at in range(0, len(todo), step):
             rows = todo[at : at + step]
@@ -91,7 +91,7 @@ def _search(bound: float):
             return kind.empty_table()
         dim = key[0].as_py()
         read = lambda n, t: np.frombuffer(graphs[n][0].as_py(), t)
-        ids, weights, x, links = read("ids", np.int64), read("weights", np.int64), read("x", np.float64).reshape(-1, dim), read("links", np.int32).reshape(-1, 24)
+        ids, weights, x, links = read("ids", np.int64), read("weights", np.int64), read("x", np.float64).reshape(-1, dim), read("links", np.int32).reshape(-1, M)
         qid, qx = queries["id"].to_numpy(), _vectors(queries["v"], dim)
         norms, qnorms = np.linalg.norm(x, axis=1), np.linalg.norm(qx, axis=1)
         found = audited(Graph(_unit(x), links), _unit(qx), bound - 1e-5)
