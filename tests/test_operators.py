@@ -159,3 +159,22 @@ def test_ar1_fan_spreads_and_repeats(spark):
     s = series(spark, [(i, math.sin(i) + i % 3) for i in range(60)])
     a, b = (sorted(rows(fit.ar1_fan(s, 10, 400))) for _ in range(2))
     assert a == b and all(p10 <= p50 <= p90 for _, _, p10, p50, p90, *_ in a)
+
+
+def test_national_grid(spark):
+    from rillet.functions import geodesy
+
+    # The guide's worked example, on the grid's own ellipsoid, and a landmark by its published coordinates.
+    lat, lon = math.radians(52 + 39 / 60 + 27.2531 / 3600), math.radians(1 + 43 / 60 + 4.5177 / 3600)
+    e, n = spark.range(1).select(*geodesy.project(F.lit(lat), F.lit(lon))).head()
+    assert abs(e - 651409.903) < 0.01 and abs(n - 313177.270) < 0.01
+    e, n = spark.range(1).select(*geodesy.to_grid(F.lit(51.4778), F.lit(-0.0014))).head()
+    assert abs(e - 538_880) < 60 and abs(n - 177_320) < 60
+
+
+def test_ensemble_source(spark):
+    from rillet.sources.provider import EnsembleSource
+
+    spark.dataSource.register(EnsembleSource)
+    read = lambda: spark.read.format("ensemble").options(start="2024-01-01", horizon="5", places="51.5,-1.2;52.0,0.1").load()
+    assert read().count() == 2 * 8 * 5 and sorted(map(tuple, read().collect())) == sorted(map(tuple, read().collect()))
