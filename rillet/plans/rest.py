@@ -65,7 +65,7 @@ def month_outcomes(t: Tables):
     n = normals.monthly_normals(s, F.lit(s.agg(F.date_add(F.max("date"), 1)).head()[0])).withColumnRenamed("month", "cm")
     o = resample.monthly(s).filter("month >= date'2000-01-01'").withColumn("cm", F.month("month")).join(n, ["key", "cm"])
     below = F.col("value") < F.col("t1") - 1e-6
-    return o.select("key", "month", F.when(below, 0).when(F.col("value") > F.col("t2"), 2).otherwise(1).alias("tercile"), F.round(F.pow(0.3 - F.when(below, 1).otherwise(0), 2), 8).alias("brier_below"))
+    return o.select("key", "month", F.when(below, 0).when(F.col("value") > F.col("t2") + 1e-6, 2).otherwise(1).alias("tercile"), F.round(F.pow(0.3 - F.when(below, 1).otherwise(0), 2), 8).alias("brier_below"))
 
 
 @query(f"""WITH {OLS}, l AS ({_places("supplier", "s_suppkey")}), r AS (SELECT * FROM l), p AS (SELECT l.id AS a, r.id AS b FROM l, r WHERE l.id <> r.id AND {KM} <= 60), m AS (SELECT a AS key, median(slope) AS med, count(slope) AS n FROM p JOIN ols ON ols.key = b GROUP BY a)
