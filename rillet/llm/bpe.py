@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, load, make_room
+from .common import bound_batches, held, kept, load, make_room
 
 #: Distinct pieces whose encodings a worker remembers, and pieces longer than LONG bytes are not remembered.
 CACHE, LONG = 300_000, 64
@@ -153,15 +153,18 @@ class Pieces(dict):
         return ids
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class Codec:
     """A vocabulary file and a pattern; one a worker process."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe, self.find = PrefixBPE(ranks), regex.compile(pattern).findall
+        self.bpe, self.find = PrefixBPE(read_ranks(path)), regex.compile(pattern).findall
         self.known, self.bytes_of = Pieces(self.bpe), self.bpe.bytes_of
 
     def encode(self, text: str) -> list[int]:
@@ -204,15 +207,19 @@ def decode(ids: Column, vocabulary=public_vocabulary) -> Column:
 
     @F.arrow_udf(T.BinaryType())
     def text(lists: pa.Array) -> pa.Array:
-        own = codec(*vocabulary())
+        path, pattern = vocabulary()
+        # Decoding often runs in a worker of its own: it needs the tokens' bytes and nothing else.
+        own = kept(("codec", path, pattern))
+        token = (own.bytes_of if own else held(("bytes", path), lambda: {i: b for b, i in read_ranks(path).items()})).__getitem__
         at, values = lists.offsets.to_pylist(), lists.values.to_numpy()
-        return pa.array((own.decode(values[a:b].tolist()) for a, b in zip(at, at[1:])), pa.binary())
+        return pa.array((b"".join(map(token, values[a:b].tolist())) for a, b in zip(at, at[1:])), pa.binary())
 
     return text(ids)
 
 
 def tokenize(docs: DataFrame, text: str = "text", vocabulary=public_vocabulary) -> DataFrame:
     """``docs`` with ids (array<int>), n_tokens (long) and decoded (binary); columns of those names give way."""
+    bound_batches(docs.sparkSession)
     docs = make_room(docs, "ids", "n_tokens", "decoded")
     docs = docs.withColumn("ids", encode(F.col(text), vocabulary))
     return docs.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded": decode(F.col("ids"), vocabulary)})

@@ -25,11 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts may be very long, so Arrow batches hold few of them: what a worker holds at once stays bounded."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """Intermediate tables, written to the shared folder so that a lost executor costs a re-read and no recomputation."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -74,3 +82,8 @@ def held(key, make):
         _held.clear()
         _held[key] = make()
     return _held[key]
+
+
+def kept(key):
+    """What is held under a key now, or None."""
+    return _held.get(key)
