@@ -181,6 +181,25 @@ def test_graph_recall():
     assert sum(true[i][f].sum() for i, f in enumerate(found)) >= 0.99 * true.sum()
 
 
+def test_graph_audit_without_links(monkeypatch):
+    """The sampled queries have no link but themselves, and a narrow beam misses many of the others' links."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(8000, 128)).astype(np.float32)
+    x[4000:4300] = x[:300] + 0.3 * r.normal(size=(300, 128))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[r.permutation(8000)]
+    monkeypatch.setattr(embedding_dedup, "BEAM", 2)
+    monkeypatch.setattr(embedding_dedup, "SCAN", 0, raising=False)
+    true = [np.flatnonzero(s >= 0.9) for s in x @ x.T]
+    pairs, lone = [[i for i, t in enumerate(true) if (len(t) > 1) == k] for k in (True, False)]
+    asked = np.zeros(600 + embedding_dedup.AUDITED, int)
+    sample = np.linspace(0, len(asked) - 1, embedding_dedup.AUDITED).astype(int)
+    asked[sample] = lone[: len(sample)]
+    asked[np.setdiff1d(np.arange(len(asked)), sample)] = pairs
+    found = embedding_dedup.audited(hnsw.Graph(x), x[asked], 0.9)
+    assert len(pairs) == 600 and sum(len(np.setdiff1d(true[i], f)) for i, f in zip(asked, found)) <= 6
+
+
 def test_embedding_dedup(spark):
     r = np.random.default_rng(10)
     base = r.normal(size=(40, 16))
