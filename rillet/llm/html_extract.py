@@ -4,7 +4,8 @@ A page becomes a list of text blocks in page order. A classifier prices both lab
 stands in, their class names, link share, length, sentence signs); the prices are the capacities to the two terminals. Blocks that
 follow each other are joined by smoothness edges, stronger within the same container, and so is each container's last block with the next
 block of that container (DOM proximity), across what stands between. The minimum cut, found by max-flow, labels all blocks at once: a
-one-word paragraph between paragraphs is kept and a long advert between menus is not. Work is per page with memory linear in the
+one-word paragraph between paragraphs is kept and a long advert between menus is not. A class word is a price beside others; a <main> within
+what is named or marked as boilerplate is the main part all the same, and so is an <article> if the page marks no other. Work is per page with memory linear in the
 page; the plan is one scan with Arrow batches and no shuffle.
 
 Defined cases: null and empty pages give empty text; broken markup is read as browsers do in spirit (end tags close what is open under them, stray
@@ -25,60 +26,87 @@ from pyspark.sql import types as T
 from .common import load, make_room
 
 #: Element names by their role.
-UNSEEN = frozenset("head title script style noscript template iframe svg canvas object audio video map math select option textarea button".split())
+UNSEEN = frozenset("head title script style noscript template iframe svg canvas object audio video map annotation annotation-xml select option textarea button".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CHROME = frozenset("nav footer aside form menu dialog fieldset search".split())
 ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Words in class, id and role that name what isn't the article, and what is.
+#: Whole names in class, id and role of what isn't the article, of what may be or not, and of what is.
 CHROME_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner banners cookie cookies consent gdpr notice notices alert popup modal overlay toast newsletter subscribe subscription signup signin login register paywall "
-    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc skip sidebar sidebars side rail widget widgets aside complementary contentinfo footer foot footnotes copyright legal header masthead topbar toolbar "
-    "comment comments commentlist respond reply replies disqus discussion share sharing social follow related recommended recommendations more-stories trending popular tags taglist author-bio byline search form hidden print-only sr-only".split()
-)
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo banner banners cookie cookies gdpr popup modal overlay toast newsletter subscribe subscription signup signin paywall "
+    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc skip sidebar sidebars widget widgets aside complementary contentinfo footer foot header masthead topbar toolbar "
+    "comment comments commentlist comment-list comments-area comments-section disqus share sharing share-buttons share-bar social-share social-links social-media related-posts related-articles related-stories more-stories recommended-posts taglist tag-list author-bio byline hidden print-only sr-only skip-link screen-reader-text".split()
+) | {f"{a}-{b}" for a, bs in (
+    ("cookie cookies consent gdpr privacy", "notice banner bar popup modal overlay consent policy"),
+    ("ad ads advert advertisement google", "ad ads container slot banner unit wrapper box block"),
+    ("entry post article site page main global top bottom left right primary secondary blog", "footer nav navigation menu navbar sidebar breadcrumb breadcrumbs share sharing comments ad ads"),
+    ("newsletter subscribe subscription signup", "form box signup banner widget"),
+    ("nav menu sidebar footer widget comment promo banner", "bar menu links list area inner wrapper container content widget item form box body left right"),
+) for a in a.split() for b in bs.split()}
+DOUBT_WORDS = frozenset("side rail promotion notice notices alert consent login register footnotes copyright legal respond reply replies discussion social follow related recommended recommendations trending popular tags search form".split())
 MAIN_WORDS = frozenset("article articlebody article-body main main-content maincontent content post post-body post-content entry entry-content story story-body body-text text prose".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/])[^<]*$", re.S)
-NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+NAMES = re.compile(r"""(?<![\w-])(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 #: Smoothness of edges between neighbours, of the same container and of others, and between a container's blocks across others.
 NEXT_SAME, NEXT_OTHER, NEAR = 2.0, 0.5, 1.0
-OPEN, MAIN, NOT_MAIN = 0, 1, 2
+OPEN, MAIN, NOT_MAIN, UNSHOWN = 0, 1, 2, 3
+#: Prices of names, on top of the other signs.
+CHROME_NAME, DOUBT_NAME = -9.0, -3.0
+#: Of what stands in an element: its role, the price of the names around it, and whether an article within boilerplate holds it.
+Signs = tuple[int, float, bool]
 
 
 class Block:
-    __slots__ = ("parts", "linked", "role", "tag", "container")
-
-    def __init__(self, role: int, tag: str, container: int):
-        self.parts, self.linked, self.role, self.tag, self.container = [], 0, role, tag, container
-
-
-def _role(tag: str, attrs: str, role: int) -> int:
-    """The role of what stands in an element, from its own signs and the role around it."""
-    if role == NOT_MAIN or tag in ("html", "body"):
-        return role
-    if tag in CHROME or (attrs and HIDDEN.search(attrs)):
-        return NOT_MAIN
-    names = {w for m in NAMES.findall(attrs) for w in m.strip("\"'").lower().split()} if attrs else set()
-    parts = {p for w in names for p in (w, *re.split(r"[-_]+", w))}
-    if role == MAIN:  # an article's own header holds its title
-        parts -= {"header", "masthead"}
-    if parts & CHROME_WORDS and not names & MAIN_WORDS:
-        return NOT_MAIN
-    if tag in ("article", "main") or names & MAIN_WORDS:
-        return MAIN
-    return NOT_MAIN if tag == "header" and role != MAIN else role
+    __slots__ = ("parts", "linked", "role", "name", "inner", "tag", "container")
+
+    def __init__(self, signs: Signs, tag: str, container: int):
+        self.parts, self.linked, self.tag, self.container = [], 0, tag, container
+        self.role, self.name, self.inner = signs
+
+
+def _signs(tag: str, attrs: str, around: Signs) -> Signs:
+    """The signs of what stands in an element, from its own and those around it."""
+    role, name, inner = around
+    if role == UNSHOWN or tag in ("html", "body"):
+        return around
+    if attrs and HIDDEN.search(attrs):
+        return UNSHOWN, 0.0, False
+    given = [(k.lower(), re.sub("[-_]+", "-", w)) for k, m in NAMES.findall(attrs) for w in m.strip("\"'").lower().split()] if attrs else []
+    names = {w for _, w in given}
+    if tag == "main" or ("role", "main") in given:
+        return MAIN, 0.0, False
+    if tag in CHROME:
+        return NOT_MAIN, name, inner
+    if tag == "article" and (role == NOT_MAIN or name < 0):
+        return MAIN, 0.0, True
+    if role == NOT_MAIN:
+        return around
+    own = 0.0
+    if not names & MAIN_WORDS:
+        for kind, w in given:
+            if kind == "id" and (tag in HEADINGS or role == MAIN and (tag == "section" or "section" in names)):  # an anchor, whatever the section is about
+                own = min(own, DOUBT_NAME if w in CHROME_WORDS and tag not in HEADINGS else 0.0)
+            elif w in CHROME_WORDS and not (role == MAIN and w in ("header", "masthead")):  # an article's own header holds its title
+                own = min(own, CHROME_NAME)
+            elif w in DOUBT_WORDS:
+                own = min(own, DOUBT_NAME)
+    if tag == "article" or names & MAIN_WORDS:
+        return MAIN, min(name, own), inner
+    return (NOT_MAIN if tag == "header" and role != MAIN else role), min(name, own), inner
 
 
 def blocks(page: str) -> tuple[list[Block], bool]:
     """The page's text blocks, and whether it marks a main part."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, role around it, number
-    role, number, links, unseen, at, marked = OPEN, 0, 0, 0, 0, False
-    now = Block(OPEN, "", 0)
+    stack: list[tuple[str, Signs, int]] = []  # tag, signs around it, number
+    signs, number, links, unseen, at, marked = (OPEN, 0.0, False), 0, 0, 0, 0, False
+    now = Block(signs, "", 0)
 
     def text(s: str) -> None:
         if unseen or not s:
@@ -90,17 +118,17 @@ def blocks(page: str) -> tuple[list[Block], bool]:
     def cut(tag: str) -> Block:
         if any(not p.isspace() for p in now.parts):
             out.append(now)
-        return Block(role, tag, stack[-1][2] if stack else 0)
+        return Block(signs, tag, stack[-1][2] if stack else 0)
 
     def close(to: int) -> None:
-        nonlocal role, links, unseen, now
+        nonlocal signs, links, unseen, now
         seen_block = False
         while len(stack) > to:
-            tag, role_, _ = stack.pop()
+            tag, signs_, _ = stack.pop()
             links -= tag == "a"
             unseen -= tag in UNSEEN
             seen_block |= tag in BLOCK
-            role = role_
+            signs = signs_
         if seen_block:
             now = cut(stack[-1][0] if stack else "")
 
@@ -136,9 +164,9 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         if attrs.endswith("/") and tag not in BLOCK:
             continue
         number += 1
-        stack.append((tag, role, number))
-        role = _role(tag, attrs, role)
-        marked |= role == MAIN
+        stack.append((tag, signs, number))
+        signs = _signs(tag, attrs, signs)
+        marked |= signs == (MAIN, 0.0, False)
         links += tag == "a"
         unseen += tag in UNSEEN
         if tag in RAW:
@@ -154,14 +182,16 @@ def blocks(page: str) -> tuple[list[Block], bool]:
 
 def price(b: Block, words: int, size: int, sentences: int, marked: bool) -> float:
     """How much more the label boilerplate costs than the label article, from -9 to 9."""
-    if b.role == NOT_MAIN:
+    if b.role in (NOT_MAIN, UNSHOWN):
         return -9.0
-    if b.role == MAIN:
-        return 6.0 if b.linked < 0.9 * size or words > 3 else 1.0
     linked = b.linked / max(1, size)
+    name = CHROME_NAME if b.inner and marked else b.name
+    if b.role == MAIN:
+        score = 6.0 if b.linked < 0.9 * size or words > 3 else 1.0
+        return max(-9.0, score + name - (5 * linked if name else 0.0))
     score = -2.5 if marked else -1.0
     score += min(3.0, words / 12) + min(1.5, 0.75 * sentences) + (1.0 if b.tag == "h1" else 0.0)
-    return max(-9.0, min(9.0, score - 5 * linked))
+    return max(-9.0, min(9.0, score + name - 5 * linked))
 
 
 def cut_labels(prices: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -242,6 +272,10 @@ def extract(page: str | None) -> str:
     texts = [" ".join(html.unescape("".join(b.parts)).split()) for b in found]
     found, texts = [b for b, t in zip(found, texts) if t], [t for t in texts if t]
     prices = [price(b, t.count(" ") + 1, len(t), len(SENTENCE.findall(t)), marked) for b, t in zip(found, texts)]
+    if not any(p > 0 for p in prices):  # names that cover all of a page tell nothing apart
+        for b in found:
+            b.name = 0.0
+        prices = [price(b, t.count(" ") + 1, len(t), len(SENTENCE.findall(t)), marked) for b, t in zip(found, texts)]
     if not any(p > 0 for p in prices):
         return ""
     edges, last = [], {}

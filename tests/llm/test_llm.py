@@ -362,6 +362,21 @@ def test_html():
     assert len(html_extract.extract("<article>" + "<p>a b</p>" * 20_000)) == 79_999
 
 
+def test_html_names():
+    extract = html_extract.extract
+    for inner in ("<main><p>The text.</p></main>", "<article><p>The text.</p></article>"):
+        for outer in ("class='content-sidebar-wrap'", "class='layout has-sidebar'", "class='sidebar'", "id=widget"):
+            assert extract(f"<div class=menu><p>Home</p></div><div {outer}>{inner}</div>") == "The text."
+    parts = "<h2 id='side-effects'>Side effects</h2><h2 id='legal'>Law</h2><section id='discussion'><p>We find.</p></section><section id=comments><p>On comments.</p></section><div class='footnotes'><p>1. A note.</p></div><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>"
+    assert extract(f"<article>{parts}</article>") == "Side effects Law We find. On comments. 1. A note. So x=2 holds."
+    assert extract("<article><p>The text.</p></article><div class=sidebar><article><p>Another teaser stands here.</p></article></div>") == "The text."
+    assert extract("<article><p>The text.</p><div class=ad><p>" + "Buy this now, it is the best. " * 9 + "</p></div><ul class=related><li><a href=a>Some other long story</a></ul></article>") == "The text."
+    assert extract("<article><p>The text.</p><div id=comments><p>First! A great article.</p></div></article>") == "The text."
+    assert extract("<div hidden><main><p>Unseen.</p></main></div>") == ""
+    prose = "Long words stand here, as prose does. " * 8
+    assert extract(f"<div class='page sidebar'><p>{prose}</p></div>") == prose.strip()
+
+
 def test_cut_is_least():
     rng = random.Random(15)
     for _ in range(60):
