@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import day_number, weibull_kernel
+from .spatial import _cut
 
 
 def _days(back_from: int, back_to: int):
@@ -117,3 +118,13 @@ def as_of(axis: DataFrame, obs: DataFrame, tolerance: int) -> DataFrame:
     last = F.last(F.when(F.col("ask") == 0, F.struct("date", "value")), True).over(w)
     near = F.datediff("date", last["date"]) <= tolerance
     return both.withColumns({"v": F.when(near, last["value"]), "seen": F.when(near, last["date"])}).filter("ask = 1").select("key", "date", F.col("v").alias("value"), "seen")
+
+
+def places_in_order(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``df`` with each row's place (long, from 1) in a total ``order``: ranges of the order are ranked apart, and each starts after the
+    rows of those before it, so no task holds more than a range."""
+    ranged = _cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.withColumn(name, own).join(F.broadcast(starts), "_p").withColumn(name, F.col("_before") + F.col(name)).drop("_p", "_before")

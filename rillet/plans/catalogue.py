@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import half_up, normal_name, percent_text, pipe_parts, slug, uri_tail
-from ..operators import matching
+from ..operators import matching, windows
 from .registry import Tables, query
 from .spatial import KM, _places, places
 
@@ -48,11 +48,26 @@ def two_way_counts(t: Tables):
 k AS (SELECT *, CASE WHEN v >= 4e6 THEN 0 WHEN v >= 2e6 THEN 1 ELSE 2 END AS tier, v / n * (1 - 0.5 * f / n) AS score FROM s)
 SELECT o_custkey, tier, round(score, 4) AS score, CAST(row_number() OVER (ORDER BY tier, last DESC, round(score, 4) DESC, o_custkey) AS INTEGER) AS place FROM k QUALIFY place <= 50""")
 def triage_sort(t: Tables):
+    """The first 50 of ``triage_order``."""
+    k, order = _triage(t)
+    # A top list: the limit is the feature, and it is taken before the rank, in one pass over each task's best.
+    return k.orderBy(*order).limit(50).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("o_custkey", "tier", "score", "place")
+
+
+@query("""WITH s AS (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last, sum(o_totalprice) AS v, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1),
+k AS (SELECT *, CASE WHEN v >= 4e6 THEN 0 WHEN v >= 2e6 THEN 1 ELSE 2 END AS tier, v / n * (1 - 0.5 * f / n) AS score FROM s)
+SELECT o_custkey, tier, round(score, 4) AS score, row_number() OVER (ORDER BY tier, last DESC, round(score, 4) DESC, o_custkey) AS place FROM k""")
+def triage_order(t: Tables):
+    """Every customer with its place."""
+    k, order = _triage(t)
+    return windows.places_in_order(k, order).select("o_custkey", "tier", "score", "place")
+
+
+def _triage(t: Tables):
     s = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last"), F.sum("o_totalprice").alias("v"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
     k = s.select("o_custkey", "last", F.when(F.col("v") >= 4e6, 0).when(F.col("v") >= 2e6, 1).otherwise(2).alias("tier"), F.round(F.col("v") / F.col("n") * (1 - 0.5 * F.col("f") / F.col("n")), 4).alias("score"))
     order = [F.col("tier"), F.col("last").desc(), F.col("score").desc(), F.col("o_custkey")]
-    # A top list: the limit is the feature, and it is taken before the rank, in one pass over each task's best.
-    return k.orderBy(*order).limit(50).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("o_custkey", "tier", "score", "place")
+    return k, order
 
 
 @query("""WITH a AS (SELECT c_mktsegment, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS lo, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS hi FROM customer)

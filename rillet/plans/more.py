@@ -178,6 +178,14 @@ def nulls_last_sort(t: Tables):
     return top.select("p_partkey", F.row_number().over(Window.orderBy(*order)).alias("place"))
 
 
+@query("""WITH v AS (SELECT p_partkey, nullif(p_size % 7, 0) AS x FROM part) SELECT p_partkey, row_number() OVER (ORDER BY x NULLS LAST, p_partkey) AS up, row_number() OVER (ORDER BY x DESC NULLS LAST, p_partkey) AS down FROM v""")
+def nulls_last_order(t: Tables):
+    """Every part with its place in both directions."""
+    v = t.part.select("p_partkey", F.nullif(F.col("p_size") % 7, F.lit(0)).alias("x"))
+    up = windows.places_in_order(v, [F.col("x").asc_nulls_last(), F.col("p_partkey")], "up")
+    return windows.places_in_order(up, [F.col("x").desc_nulls_last(), F.col("p_partkey")], "down").select("p_partkey", "up", "down")
+
+
 @query("SELECT p_brand, p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS code FROM part")
 def station_codes(t: Tables):
     """Codes by rank of the name; ranked over the names alone, so the window holds a register and not the rows."""

@@ -178,3 +178,15 @@ def test_ensemble_source(spark):
     spark.dataSource.register(EnsembleSource)
     read = lambda: spark.read.format("ensemble").options(start="2024-01-01", horizon="5", places="51.5,-1.2;52.0,0.1").load()
     assert read().count() == 2 * 8 * 5 and sorted(map(tuple, read().collect())) == sorted(map(tuple, read().collect()))
+
+
+def test_places_in_order(spark, sf_dir):
+    from rillet import plans
+
+    x = [(i, None if i % 7 == 0 else i * 37 % 11) for i in range(300)]
+    df = spark.createDataFrame(x, "id int, x int").repartition(5)
+    got = {r.id: r.place for r in windows.places_in_order(df, [F.col("x").desc_nulls_last(), F.col("id")]).collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(x, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])), 1)}
+    assert windows.places_in_order(df.limit(0), [F.col("id")]).count() == 0
+    for name, table, key in (("triage_order", "orders", "o_custkey"), ("nulls_last_order", "part", "p_partkey")):
+        assert plans.queries()[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).distinct().count()
