@@ -3,20 +3,89 @@
 from __future__ import annotations
 
 import difflib
+import math
+from collections import Counter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import normal_name
 from .spatial import within
 from .windows import keep_latest
 
+#: Names of a side in a block; a character's further occurrences than OFTEN in a name are counted together.
+BLOCK, OFTEN = 20_000, 16
+
+
+def _marks(names: list[str], columns: dict[tuple[str, int], int]) -> tuple[np.ndarray, np.ndarray]:
+    """(names, columns) with a one for a name's n-th occurrence of a character, and each name's count of those beyond OFTEN."""
+    out, rest = np.zeros((len(names), len(columns)), np.float32), np.zeros(len(names), np.float32)
+    for i, name in enumerate(names):
+        for c, n in Counter(name).items():
+            rest[i] += max(0, n - OFTEN)
+            out[i, [columns[c, k] for k in range(min(n, OFTEN)) if (c, k) in columns]] = 1
+    return out, rest
+
+
+def _most_similar(ratio: float, kind: pa.Schema):
+    """For each name of a left block the most similar of a right block at ``ratio`` or more. Characters in common, twice of which over both lengths is
+    at least the ratio, and then pairs of characters in common leave few to compare; neither loses any."""
+
+    def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        names, others, ids = left["norm"].to_pylist(), right["norm"].to_pylist(), right["b"].to_pylist()
+        columns: dict[tuple[str, int], int] = {}
+        for name in others:
+            for c, n in Counter(name).items():
+                for k in range(min(n, OFTEN)):
+                    columns.setdefault((c, k), len(columns))
+        (x, more), (y, more2) = _marks(names, columns), _marks(others, columns)
+        size, size2 = np.array([len(n) for n in names], np.float32), np.array([len(n) for n in others], np.float32)
+        pairs = [Counter(zip(n, n[1:])) for n in others]
+        out, step = [], max(1, 4_000_000 // max(1, len(others)))
+        for at in range(0, len(names), step):
+            common = x[at : at + step] @ y.T + np.minimum(more[at : at + step, None], more2)
+            rows, cols = np.nonzero(2 * common >= ratio * (size[at : at + step, None] + size2) - 1e-3)
+            found: dict[int, tuple] = {}
+            own, last = None, -1
+            for i, j in zip((rows + at).tolist(), cols.tolist()):
+                if i != last:
+                    own, last = Counter(zip(names[i], names[i][1:])), i
+                both = len(names[i]) + len(others[j])
+                if (own & pairs[j]).total() < 3 * (ratio * both / 2) - both - 1 - 1e-6:
+                    continue
+                s = difflib.SequenceMatcher(None, names[i], others[j]).ratio()
+                if s >= ratio:
+                    found[i] = min(found.get(i, (1.0,)), (-s, ids[j] is not None, ids[j]))
+            out += [(names[i], b, -s) for i, (s, _, b) in found.items()]
+        return pa.table([pa.array([r[k] for r in out], kind.field(k).type) for k in range(3)], schema=kind)
+
+    return best
+
+
+def similar(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
+    """(norm, b, s): for each ``norm`` of ``left`` the ``b`` of the most similar ``norm`` of ``right`` (b, norm), if its ratio is ``ratio`` or more; every
+    pair of names whose lengths allow that meets, in blocks."""
+    step = math.log((2 - ratio) / ratio) + 1e-6
+    classes = F.floor(F.log(F.length("norm")) / F.lit(step)).cast("int")
+    l = left.filter("norm <> ''").select("norm").distinct()
+    r = right.filter("norm <> ''").groupBy("norm").agg(F.min("b").alias("b"))
+    blocks = lambda df: max(1, -(-df.count() // BLOCK))
+    m, n = blocks(l), blocks(r)
+    deal = lambda k: F.pmod(F.xxhash64("norm"), F.lit(k)).cast("int")
+    all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    l = l.select("norm", classes.alias("k"), deal(m).alias("i")).withColumn("j", all_(n))
+    r = r.select("norm", "b", F.explode(F.array(classes - 1, classes, classes + 1)).alias("k"), deal(n).alias("j")).withColumn("i", all_(m))
+    kind = l.select("norm").schema.add("b", r.schema["b"].dataType).add("s", "double")
+    keys = ["k", "i", "j"]
+    return l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(_most_similar(ratio, to_arrow_schema(kind)), kind)
+
 
 def cascade(left: DataFrame, right: DataFrame, metres: float = 50.0, ratio: float = 0.9, names: bool = True) -> DataFrame:
     """(a, b, tier, score): for each of ``left`` (id, name, lat, lon, ref) its match in ``right`` by reference, else by distance, else by equal normal
-    name, else by the similarity of word-sorted names. Similar names are sought among those that share a word, so the last tier is a join
-    on words too; words on more than a hundredth of the right rows (and ten) say nothing and are no keys."""
+    name, else by the similarity of word-sorted names, each compared with all names of the right."""
     n = lambda df: df.withColumn("norm", normal_name(F.col("name")))
     l, r = n(left), n(right)
     tiers = [
@@ -25,15 +94,8 @@ def cascade(left: DataFrame, right: DataFrame, metres: float = 50.0, ratio: floa
     ]
     if names:
         tiers.append(l.join(r.select(F.col("id").alias("b"), "norm"), "norm").select(F.col("id").alias("a"), "b", F.lit(3).alias("tier"), F.lit(0.0).alias("off")))
-        words = r.select(F.col("id").alias("b"), F.col("norm").alias("rn"), F.explode(F.split("norm", " ")).alias("w"))
-        rare = words.groupBy("w").count().filter(F.col("count") <= F.greatest(F.lit(10), F.lit(right.count() // 100))).select("w")
-        near = l.select(F.col("id").alias("a"), F.col("norm").alias("ln"), F.explode(F.split("norm", " ")).alias("w")).join(words.join(rare, "w"), "w").select("a", "b", "ln", "rn").distinct()
-
-        @F.pandas_udf("double")
-        def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(x, y)], dtype=float)
-
-        tiers.append(near.withColumn("s", similar("ln", "rn")).filter(F.col("s") >= ratio).select("a", "b", F.lit(4).alias("tier"), (1 - F.col("s")).alias("off")))
+        near = similar(l, r.select(F.col("id").alias("b"), "norm"), ratio)
+        tiers.append(l.select(F.col("id").alias("a"), "norm").join(near, "norm").select("a", "b", F.lit(4).alias("tier"), (1 - F.col("s")).alias("off")))
     all_ = tiers[0]
     for t in tiers[1:]:
         all_ = all_.unionByName(t)

@@ -190,3 +190,35 @@ def test_places_in_order(spark, sf_dir):
     assert windows.places_in_order(df.limit(0), [F.col("id")]).count() == 0
     for name, table, key in (("triage_order", "orders", "o_custkey"), ("nulls_last_order", "part", "p_partkey")):
         assert plans.queries()[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).distinct().count()
+
+
+def test_similar_names_against_all_pairs(spark, monkeypatch):
+    import difflib
+    import random
+
+    from rillet.operators import matching
+
+    monkeypatch.setattr(matching, "BLOCK", 40, raising=False)
+    rng = random.Random(5)
+    words = [f"{w} brook" for w in ("smith", "upper hallow", "long marston", "kings norton", "aaaaaaaaaaaaaaaaaaaaaa mill")] + [f"customer {n:09d}" for n in (700000, 123456789)]
+
+    def typo(s):
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(s))
+            s = s[:i] + rng.choice(["", "e", "y", "7", s[i] + "x"]) + s[i + 1 :]
+        return s
+
+    left = ["smyth brook", "customer#000700000", None, ""] + [typo(rng.choice(words)) for _ in range(110)]
+    right = ["smith brook", "customer 700000", None, ""] + [typo(rng.choice(words)) for _ in range(90)]
+    frame = lambda names, at: spark.createDataFrame([(i, s, at, at, -i - int(at)) for i, s in enumerate(names)], "id int, name string, lat double, lon double, ref int")
+    got = {r.a: (r.b, r.tier, round(r.score, 9)) for r in matching.cascade(frame(left, 10.0), frame(right, 40.0).withColumn("ref", F.lit(1))).collect()}
+    norm = lambda s: " ".join(sorted("".join(c if c.isalnum() else " " for c in s.lower()).split()))
+    want = {}
+    for i, s in enumerate(left):
+        if s is not None:
+            alike = [(3 if norm(s) == norm(u) else 4, -round(difflib.SequenceMatcher(None, norm(s), norm(u)).ratio(), 9), j) for j, u in enumerate(right) if u is not None]
+            tier, score, j = min(x for x in alike if x[0] == 3 or x[1] <= -0.9) if any(x[0] == 3 or x[1] <= -0.9 for x in alike) else (0, 0, 0)
+            if tier:
+                want[i] = (j, tier, -score)
+    assert {i: (got.get(i), want.get(i)) for i in got.keys() | want.keys() if got.get(i) != want.get(i)} == {}
+    assert got[0][1] == 4 and got[1][1] in (3, 4) and len({t for _, t, _ in got.values()}) == 2
