@@ -72,6 +72,17 @@ def trace_weights(t: Tables):
     return ensemble.trace_weights(x).withColumn("weight", F.round("weight", 8))
 
 
+@query("""WITH m AS (SELECT l_suppkey AS key, year(l_shipdate) AS trace, month(l_shipdate) AS month, round(avg(l_discount), 9) AS d FROM lineitem GROUP BY 1, 2, 3),
+r AS (SELECT key, trace, CASE WHEN min(d) FILTER (month <= 3) <= 0 THEN 0 ELSE coalesce(exp(sum(ln(d + 0.5)) FILTER (month <= 3)), 1) END AS w FROM m GROUP BY 1, 2)
+SELECT key, trace, round(CASE WHEN sum(w) OVER p > 0 THEN w / sum(w) OVER p ELSE 1.0 / count(*) OVER p END, 8) AS weight FROM r WINDOW p AS (PARTITION BY key)""")
+def trace_weights_months(t: Tables):
+    """Every (supplier, year) is a trace, weighed by the product over its first three months; a month without lines counts as 1."""
+    d = F.round(F.avg("l_discount"), 9)
+    m = t.lineitem.groupBy(F.col("l_suppkey").alias("key"), F.year("l_shipdate").alias("trace"), F.month("l_shipdate").alias("month")).agg(d.alias("d"))
+    p = F.when(F.col("month") > 3, 1.0).when(F.col("d") <= 0, 0.0).otherwise(F.col("d") + 0.5)
+    return ensemble.trace_weights(m.select("key", "trace", p.alias("p"))).withColumn("weight", F.round("weight", 8))
+
+
 @query(f"""WITH {MEMBERS} SELECT key, member, CAST(date_trunc('month', date) AS DATE) AS month, CASE WHEN count(DISTINCT date) = day(last_day(any_value(date))) THEN round(sum(value), 4) END AS total FROM members GROUP BY 1, 2, 3""")
 def covered_month_totals(t: Tables):
     return ensemble.covered_months(members(t)).withColumn("total", F.round("total", 4))

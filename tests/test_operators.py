@@ -222,3 +222,10 @@ def test_similar_names_against_all_pairs(spark, monkeypatch):
                 want[i] = (j, tier, -score)
     assert {i: (got.get(i), want.get(i)) for i in got.keys() | want.keys() if got.get(i) != want.get(i)} == {}
     assert got[0][1] == 4 and got[1][1] in (3, 4) and len({t for _, t, _ in got.values()}) == 2
+
+
+def test_trace_weights_of_all_rows(spark, sf_dir):
+    from rillet import plans
+
+    traces = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", F.year("l_shipdate")).distinct().count()
+    assert plans.queries()["trace_weights_months"](spark, sf_dir).count() == traces
