@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import haversine_km, normal_cdf
-from ..operators import resample, windows
+from ..operators import resample, spatial, windows
 from .registry import Tables, query
 from .series import EVENTS_DAILY, GRID, events_daily
 from .spatial import KM, _places, places
@@ -57,6 +57,18 @@ def record_overlap(t: Tables):
     return both.filter("days >= 730").select(F.col("k").alias("a"), F.col("k2").alias("b"), "days")
 
 
+@query(f"""WITH s AS (SELECT l_suppkey AS k, min(CAST(l_shipdate AS DATE)) AS a, max(CAST(l_shipdate AS DATE)) AS b FROM lineitem GROUP BY 1), l AS ({_places("supplier", "s_suppkey")}), r AS (SELECT * FROM l),
+n AS (SELECT l.id AS a, r.id AS b FROM l, r WHERE l.id < r.id AND {KM} <= 60) SELECT n.a, n.b, least(x.b, y.b) - greatest(x.a, y.a) AS days FROM n JOIN s x ON x.k = n.a JOIN s y ON y.k = n.b WHERE least(x.b, y.b) - greatest(x.a, y.a) >= 2 * 365""")
+def neighbour_overlap(t: Tables):
+    """All pairs within 60 km whose records share two years."""
+    s = t.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(F.min(F.to_date("l_shipdate")).alias("first"), F.max(F.to_date("l_shipdate")).alias("last"))
+    p = places(t.supplier, "s_suppkey")
+    near = spatial.within(p, p, 60.0).filter("a < b").select("a", "b")
+    own, other = s.withColumnRenamed("k", "a"), s.select(F.col("k").alias("b"), F.col("first").alias("first2"), F.col("last").alias("last2"))
+    days = F.datediff(F.least("last", "last2"), F.greatest("first", "first2")).cast("long")
+    return near.join(own, "a").join(other, "b").select("a", "b", days.alias("days")).filter("days >= 730")
+
+
 @query("""SELECT a.user_id, a.event_id, b.event_id AS event_id_b, round(a.value - b.value, 6) AS off FROM events a JOIN events b ON a.user_id = b.user_id AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE) WHERE a.event_type = 'view' AND b.event_type = 'click'""")
 def paired_difference(t: Tables):
     side = lambda kind, suffix: t.events.filter(F.col("event_type") == kind).select("user_id", F.to_date("ts").alias("date"), F.col("event_id").alias(f"event_id{suffix}"), F.col("value").alias(f"value{suffix}"))

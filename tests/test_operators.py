@@ -229,3 +229,9 @@ def test_trace_weights_of_all_rows(spark, sf_dir):
 
     traces = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", F.year("l_shipdate")).distinct().count()
     assert plans.queries()["trace_weights_months"](spark, sf_dir).count() == traces
+
+
+def test_neighbour_overlap_beyond_next_keys(spark, sf_dir):
+    from rillet import plans
+
+    assert plans.queries()["neighbour_overlap"](spark, sf_dir).filter("b > a + 2").count() > 0
