@@ -152,7 +152,7 @@ def host_parts(url: Column) -> dict[str, Column]:
 
 def declared(page: Column) -> Column:
     """The first part of the tag in <html lang=...>, lower-cased."""
-    tag = F.lower(F.regexp_extract(F.substring(page, 1, 4096), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    tag = F.lower(F.regexp_extract(page, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
     return F.when(tag != "", tag)
 
 

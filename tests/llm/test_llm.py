@@ -362,6 +362,11 @@ def test_html():
     assert len(html_extract.extract("<article>" + "<p>a b</p>" * 20_000)) == 79_999
 
 
+def test_declared_language_after_a_long_comment(spark):
+    page = "<!-- " + "x " * 5000 + "--><html class=a lang='de-AT'><p>Text"
+    assert [r[0] for r in spark.createDataFrame([(page,), ("<p lang=fr>x",), (None,)], "html string").select(language_id.declared(F.col("html"))).collect()] == ["de", None, None]
+
+
 def test_html_names():
     extract = html_extract.extract
     for inner in ("<main><p>The text.</p></main>", "<article><p>The text.</p></article>"):
