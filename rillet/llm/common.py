@@ -15,21 +15,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset a local session gets a temporary one (tests), and a
+    cluster an error, as its machines would write where no other looks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="rillet-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.rillet.scratch", found)
     return found
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts may be very long, so Arrow batches hold few of them: what a worker holds at once stays bounded."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Texts may be very long, so Arrow batches hold few bytes: what a worker holds at once stays bounded. Plans run after this returns, so
+    the session keeps the setting; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < known <= most:
+        spark.conf.set(name, str(most))
 
 
 class Scratch:
@@ -82,8 +86,3 @@ def held(key, make):
         _held.clear()
         _held[key] = make()
     return _held[key]
-
-
-def kept(key):
-    """What is held under a key now, or None."""
-    return _held.get(key)

@@ -238,6 +238,40 @@ def test_bpe_equals_the_library():
         assert ids == ref.encode_ordinary(s) and own.decode(ids) == s.encode()
 
 
+def merged(b, piece):
+    """Lowest rank first, leftmost among equals."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, at = min((b.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        if rank == 1 << 60:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def test_bpe_pairs_stay_apart_as_merging_says():
+    b, rng = bpe.codec(*bpe.public_vocabulary()).bpe, random.Random(3)
+    cuts = [(w[:i], w[i:]) for w in rng.sample(sorted(b.ranks), 3000) for i in range(1, len(w))]
+    pairs = [(b.ranks[x], b.ranks[y]) for x, y in cuts if x in b.ranks and y in b.ranks]
+    pairs += [(rng.randrange(n), rng.randrange(n)) for n in (400, 3000, len(b.bytes_of)) for _ in range(4000)]
+    want = [merged(b, b.bytes_of[x] + b.bytes_of[y]) == [b.bytes_of[x], b.bytes_of[y]] for x, y in pairs]
+    assert b.all_stay(np.array([x for x, _ in pairs]), np.array([y for _, y in pairs])).tolist() == want and 1000 < sum(want) < len(want) - 1000
+
+
+def test_bpe_forgets_and_goes_on(monkeypatch, spark, sf_dir):
+    """Small memories, and texts longer than what is in hand at once, on the documents of the tables."""
+    import public_tokenizers as P
+    import tiktoken
+
+    for name, n in (("PIECES", 300), ("PAIRS", 200), ("TOGETHER", 5000)):
+        monkeypatch.setattr(bpe, name, n)
+    own = bpe.Codec(*bpe.public_vocabulary())
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.bpe.ranks, special_tokens={})
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts += [" ".join(texts[:20]), "", "x" * 20_000, "  \n " * 3000]
+    assert [np.frombuffer(p, np.int32).tolist() for p in own.pack(texts)] == [ref.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_edits_and_appends():
     b = bpe.codec(*bpe.public_vocabulary()).bpe
     old, new = b"internationalization", b"internationalisations"
