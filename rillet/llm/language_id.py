@@ -8,11 +8,14 @@ log P(language | all) = log P(language | host) + log P(text | language) + log P(
 - a host's prior is smoothed level by level: global, address suffix, domain, host, each being its counts plus SMOOTH times its parent.
   Counts are sums of the texts' own posteriors, by grouped aggregation, and a row's own share is taken out of its host's before it is judged.
 
-A row is rejected if its text holds no letters, or no language gets MIN_POSTERIOR. The fit uses TRAIN labelled rows at most (the first by a hash of
-the id), a documented bound; all counts cover all rows.
+One class more stands for all that is in no known language: other languages and noise. Its trigrams are half the square roots of all languages' shares
+(letters that go together anywhere) and half alike, its share is UNKNOWN before anything is seen, and it has counts by host and tag as languages have.
 
-Defined cases: null and empty texts are rejected with language null; a null host, suffix or tag gives no evidence of its own level; without labelled rows
-everything is rejected; rows that repeat count each time; extra columns stay and those that clash with the added ones give way.
+A row is rejected if its text holds no letters, or if that class is likelier than all languages together. The fit uses a documented bound of labelled
+rows, TRAIN a language (by a hash of the id, about so many); all counts cover all rows.
+
+Defined cases: null and empty texts are rejected with language null, as is what is in no known language; a null host, suffix or tag gives no evidence of its
+own level; without labelled rows everything is rejected; rows that repeat count each time; extra columns stay and those that clash with the added ones give way.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from pyspark.sql import types as T
 
 from .common import Scratch, is_small, load, make_room
 
-TRAIN, BUCKETS, EFFECTIVE, SMOOTH, MIN_POSTERIOR, TAG = 8000, 1 << 14, 100, 20.0, 0.35, 0.5
+TRAIN, BUCKETS, EFFECTIVE, SMOOTH, UNKNOWN, TAG = 3000, 1 << 14, 100, 20.0, 0.01, 0.5
 ADDED = ("language", "posterior", "kept")
 #: Everything in ASCII that is no letter becomes a blank.
 BLANK = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-MARKUP = re.compile(r"<(script|style)\b.*?(?:</\1|$)|<!--.*?-->|<[^>]*>|&#?\w+;", re.S | re.I)
+#: What isn't closed ends at the next tag or with the page, so that no start is looked for twice.
+MARKUP = re.compile(r"<(script|style)\b.*?(?:</\1|$)|<!--.*?(?:-->|$)|<[^<>]*>?|&#?\w+;", re.S | re.I)
 
 
 def trigrams(text: str | None, markup: bool) -> np.ndarray:
@@ -61,24 +65,32 @@ def _count(languages: list[str]):
     return count
 
 
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    """(BUCKETS, languages + 1) log likelihoods of (languages, BUCKETS) counts, that of the unknown last."""
+    smooth = counts + 0.5
+    shares = smooth / smooth.sum(1, keepdims=True)
+    root = np.sqrt(shares.mean(0))
+    return np.log(np.concatenate([shares, [root / root.sum() / 2 + 0.5 / BUCKETS]])).T.copy()
+
+
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", language: str = "lang") -> dict:
-    """Log likelihoods of buckets by language, from labelled rows."""
+    """Log likelihoods of buckets by language, from labelled rows. Languages are told apart by their labels: one row a label reaches the driver."""
     scratch = Scratch(docs.sparkSession, "languages")
-    rows = docs.filter(F.col(language).isNotNull()).select(F.col(id).alias("id"), F.col(language).alias("language"))
-    chosen = scratch.table(rows.orderBy(F.xxhash64("id"), "id").limit(TRAIN), "chosen")
-    languages = [r[0] for r in chosen.select("language").distinct().orderBy("language").collect()]
+    rows = docs.filter(F.col(language).isNotNull())
+    sizes = {r[0]: r[1] for r in rows.groupBy(language).count().orderBy(language).collect()}
+    languages = list(sizes)
     if not languages:
         return {"languages": [], "logs": np.zeros((BUCKETS, 0))}
-    ids = F.broadcast(chosen.select("id").distinct())  # TRAIN rows: a fixed bound
-    own = docs.filter(F.col(language).isin(languages)).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(language).alias("language")).join(ids, "id", "left_semi")
-    own = scratch.table(own.select("text", "language"), "texts").coalesce(8)
+    # A row is taken by a hash of its id, at its language's own rate: TRAIN rows a language on average, and all of a smaller one.
+    rates = F.create_map(*[F.lit(x) for n, k in sizes.items() for x in (n, int(min(1.0, TRAIN / k) * (1 << 30)))])
+    chosen = rows.filter(F.pmod(F.xxhash64(id), F.lit(1 << 30)) < F.element_at(rates, F.col(language)))
+    own = scratch.table(chosen.select(F.col(text).alias("text"), F.col(language).alias("language")), "texts").coalesce(8)
     counts = sum(np.frombuffer(r[0], np.int64).reshape(-1, BUCKETS) for r in own.mapInArrow(_count(languages), "counts binary").toLocalIterator())
-    smooth = counts + 0.5
-    return {"languages": languages, "logs": np.log(smooth / smooth.sum(1, keepdims=True)).T.copy()}
+    return {"languages": languages, "logs": log_shares(counts)}
 
 
 def likelihoods(text: Column, model: dict, markup: bool = False) -> Column:
-    """array<double>: log likelihood by language; null where the text holds no letters."""
+    """array<double>: log likelihood by language, then that of the unknown; null where the text holds no letters."""
     logs = model["logs"]
 
     @F.arrow_udf(T.ArrayType(T.DoubleType(), False))
@@ -101,19 +113,23 @@ def _softmax(logits: list[Column]) -> list[Column]:
 
 
 def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
-    """``evidence`` (host, domain, suffix, declared, ll and others) with language, posterior and kept."""
-    spark, k = evidence.sparkSession, len(languages)
-    if not k:
+    """``evidence`` (host, domain, suffix, declared, ll and others) with language, posterior (of the language) and kept."""
+    spark, known = evidence.sparkSession, len(languages)
+    if not known:
         return evidence.withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "kept": F.lit(False)}).drop("ll")
+    k = known + 1
+    start = [(1 - UNKNOWN) / known] * known + [UNKNOWN]
     scratch = Scratch(spark, "fusion")
     own = [f"q{i}" for i in range(k)]
-    alone = _softmax([F.col("ll")[i] for i in range(k)])
-    rows = scratch.table(evidence.withColumns({q: F.when(F.col("ll").isNotNull(), a).otherwise(1.0 / k) for q, a in zip(own, alone)}), "alone")
+    # Evidence that holds no likelihood of the unknown takes it for impossible.
+    ll = [F.col("ll")[i] for i in range(known)] + [F.coalesce(F.get("ll", F.lit(known)), F.lit(-1e9))]
+    alone = _softmax([ll[i] + float(np.log(start[i])) for i in range(k)])
+    rows = scratch.table(evidence.withColumns({q: F.when(F.col("ll").isNotNull(), a).otherwise(p) for q, a, p in zip(own, alone, start)}), "alone")
     sums = lambda by, prefix: rows.filter("ll is not null").groupBy(*by).agg(*[F.sum(q).alias(f"{prefix}{i}") for i, q in enumerate(own)])
     # Priors from the top down; each level is one row a group.
     everywhere = sums([], "g")
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"g{i}"), F.lit(0.0)) for i in range(k)])
-    table = everywhere.select(*[((F.coalesce(F.col(f"g{i}"), F.lit(0.0)) + 1) / (total + k)).alias(f"p{i}") for i in range(k)])
+    table = everywhere.select(*[((F.coalesce(F.col(f"g{i}"), F.lit(0.0)) + k * start[i]) / (total + k)).alias(f"p{i}") for i in range(k)])
     first = table.head()
     parent, keys = None, []
     for name in ("suffix", "domain", "host"):
@@ -135,12 +151,12 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     counts = [F.greatest(F.col(f"n{i}") - F.when(F.col("ll").isNotNull(), F.col(own[i])).otherwise(0.0), F.lit(0.0)) for i in range(k)]
     n = reduce(lambda a, b: a + b, counts)
     prior = [F.coalesce(F.log((counts[i] + SMOOTH * F.col(f"u{i}")) / (n + SMOOTH)), F.lit(float(np.log(first[i])))) for i in range(k)]
-    fused = _softmax([prior[i] + F.coalesce(F.col("ll")[i], F.lit(0.0)) + F.coalesce(F.col(f"t{i}"), F.lit(0.0)) for i in range(k)])
+    fused = _softmax([prior[i] + F.coalesce(ll[i], F.lit(0.0)) + F.coalesce(F.col(f"t{i}"), F.lit(0.0)) for i in range(k)])
     judged = judged.withColumns({f"f{i}": x for i, x in enumerate(fused)})
-    best = F.greatest(*[F.struct(F.col(f"f{i}").alias("p"), F.lit(name).alias("l")) for i, name in enumerate(languages)]) if k > 1 else F.struct(F.col("f0").alias("p"), F.lit(languages[0]).alias("l"))
-    there = F.col("ll").isNotNull()
-    out = judged.withColumn("_best", best).withColumns({"language": F.when(there, F.col("_best.l")), "posterior": F.when(there, F.col("_best.p"))})
-    out = out.withColumn("kept", there & (F.col("posterior") >= MIN_POSTERIOR))
+    best = [F.struct(F.col(f"f{i}").alias("p"), F.lit(name).alias("l")) for i, name in enumerate(languages)]
+    out = judged.withColumn("_best", F.greatest(*best) if known > 1 else best[0])
+    out = out.withColumn("kept", F.col("ll").isNotNull() & (F.col(f"f{known}") <= 0.5))
+    out = out.withColumns({"language": F.when(F.col("kept"), F.col("_best.l")), "posterior": F.when(F.col("kept"), F.col("_best.p"))})
     return out.select(*[c for c in evidence.columns if c != "ll"], *ADDED)
 
 
@@ -152,7 +168,7 @@ def host_parts(url: Column) -> dict[str, Column]:
 
 def declared(page: Column) -> Column:
     """The first part of the tag in <html lang=...>, lower-cased."""
-    tag = F.lower(F.regexp_extract(page, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    tag = F.lower(F.regexp_extract(page, r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
     return F.when(tag != "", tag)
 
 

@@ -481,3 +481,85 @@ def test_language_evidence(spark):
     df = spark.createDataFrame([(1000 + i if i > 3 else i, *r) for i, *r in rows if i > 3 or r[-1] == [0.0, 0.0]], "doc_id long, host string, domain string, suffix string, declared string, ll array<double>")
     got = by_id(language_id.fuse(df, ["de", "en"]))
     assert (got[1].language, got[2].language, got[3].language) == ("de", "en", "de")
+
+
+def fused_by_hand(rows, tags, k, start):
+    """rows: (host, domain, suffix, declared, ll or None) -> posteriors by class, or None."""
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    alone = [None if r[4] is None else soft(np.array(r[4]) + np.log(start)) for r in rows]
+    told = [(r, q) for r, q in zip(rows, alone) if q is not None]
+    top = (sum(q for _, q in told) + k * np.array(start)) / (len(told) + k)
+
+    def prior(host, own):
+        p = top
+        for part in (host[2:], host[1:], host):  # suffix; domain and suffix; all three
+            n = sum((q for r, q in told if r[3 - len(part) : 3] == part), np.zeros(k))
+            if part == host:
+                n = np.maximum(n - own, 0)
+            p = (n + language_id.SMOOTH * p) / (n.sum() + language_id.SMOOTH)
+        return p
+
+    by_tag = {t: sum((q for r, q in told if r[3] == t), np.zeros(k)) for t in tags}
+    total = sum(by_tag.values()) + language_id.TAG * (len(by_tag) + 1)
+    out = []
+    for r, q in zip(rows, alone):
+        if q is None:
+            out.append(None)
+            continue
+        tag = np.log((by_tag[r[3]] + language_id.TAG) / total) if r[3] in by_tag else 0
+        out.append(soft(np.log(prior(r[:3], q)) + np.array(r[4]) + tag))
+    return out
+
+
+def test_language_query_by_hand(spark, tmp_path, sf_dir):
+    """Documents and pages with tags, hosts, suffixes, foreign texts and noise, against plain numpy."""
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang in ('fr', 'en')").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in known]
+    rows += [(900_001, "xqzvk wqjx zzpt kkqw vbnm qwrt plkj hgfd zxcv mnbv", None, "src0"), (900_002, "Tämä on suomenkielinen lause maailmasta ja sen ihmisistä", None, "src1"), (900_003, None, None, None), (900_004, "", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [r.text for r in known]
+    pages = [(i, f"http://{'abc'[i % 3]}.x{i % 2}.{'fr' if i % 2 else 'com'}/p", f"<!-- <p> --><HTML lang='{'fr-CA' if known[i].lang == 'fr' else 'en'}'><style>p{{a}}</style><p>{texts[i][:200]}</p>") for i in range(20)]
+    pages += [(50, None, "<p>&eacute; le</p>"), (51, "http://a.x1.fr/", None), (52, "nothing", "<html><p>12 !!"), (53, "http://a.x1.fr/", "<html lang=fr>le"), (53, "http://a.x1.fr/", "<html lang=fr>le"), (54, "http://a.x1.fr/", "<b>" + "wqjx zzpt kkqw " * 20_000)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    languages = ["en", "fr"]
+    counts = np.zeros((2, language_id.BUCKETS), np.int64)
+    for r in known:
+        counts[languages.index(r.lang)] += np.bincount(language_id.trigrams(r.text, False), minlength=language_id.BUCKETS)
+    logs = language_id.log_shares(counts)
+
+    def ll(text, markup):
+        g = language_id.trigrams(text, markup)
+        return (logs[g].mean(0) * min(len(g), language_id.EFFECTIVE)).tolist() if len(g) else None
+
+    evidence = [(i, None, (s, s, None, None, ll(t, False))) for i, t, _, s in rows]
+    for i, url, page in pages:
+        host = url.split("://")[1].split("/")[0] if url and "://" in url else None
+        tag = None if not page or "lang=" not in page else "fr" if "fr" in page.split("lang=")[1][:4] else "en"
+        evidence.append((None, i, (host, host and ".".join(host.split(".")[-2:]), host and host.split(".")[-1], tag, ll(page, True))))
+    want = []
+    for (d, p, _), f in zip(evidence, fused_by_hand([e[2] for e in evidence], ["fr", "en"], 3, [0.495, 0.495, 0.01])):
+        kept = f is not None and bool(f[2] <= 0.5)
+        best = int(np.argmax(f[:2])) if kept else None
+        want.append((str(d), str(p), kept, languages[best] if kept else None, round(float(f[best]), 6) if kept else None))
+    got = [(str(r.doc_id), str(r.page_id), r.kept, r.language, None if r.posterior is None else round(r.posterior, 6)) for r in language_id.query(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    kept = {r[:2]: r[2] for r in got}
+    assert not kept["900001", "None"] and not kept["900002", "None"] and not kept["None", "54"] and all(kept[str(r.doc_id), "None"] for r in known)
+
+
+def test_language_edges(spark, tmp_path):
+    d = spark.createDataFrame([(1, "the of and to", "en", "s", 1.0, True), (1, "the of and to", "en", "s", 1.0, True), (2, "le la les des", "fr", "s", 2.0, None)], "doc_id long, text string, lang string, source string, Posterior double, kept boolean")
+    out = language_id.known_only(d)
+    assert out.columns == d.columns and out.count() == 3
+    d.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert language_id.query(spark, str(tmp_path)).count() == 0
+
+
+def test_markup_and_tags_in_linear_time():
+    import time
+
+    for bad in ("<!--", "<html ", "<a ", "<script", "&a", "<"):
+        began = time.perf_counter()
+        language_id.trigrams(bad * (1_000_000 // len(bad)), True)
+        assert time.perf_counter() - began < 5, bad
