@@ -37,14 +37,10 @@ def _key(line: Column) -> Column:
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, a, b): the hashes of each host's boilerplate lines."""
     keys = F.array_distinct(F.filter(F.transform(_lines(F.col(text)), _key), lambda k: k.isNotNull()))
-    counted = (
-        # A blank page still counts for its host: the explode below keeps one row with a null key for the page itself.
-        pages.select(F.col(host).alias("host"), F.explode(F.concat(F.array(F.lit(None).cast("struct<a:bigint,b:bigint>")), keys)).alias("k"))
-        .groupBy("host", "k.a", "k.b").agg(F.count(F.lit(1)).alias("pages"))
-    )
-    totals = counted.filter("a is null").select(F.col("host").alias("of"), F.col("pages").alias("total"))
+    counted = pages.select(F.col(host).alias("host"), F.explode(keys).alias("k")).groupBy("host", "k.a", "k.b").agg(F.count(F.lit(1)).alias("pages"))
+    totals = pages.groupBy(F.col(host).alias("of")).agg(F.count(F.lit(1)).alias("total"))
     return (
-        counted.filter((F.col("pages") >= min_pages) & F.col("a").isNotNull())
+        counted.filter(F.col("pages") >= min_pages)
         .join(totals, F.col("host").eqNullSafe(F.col("of")))
         .filter(F.col("pages") > ratio * F.col("total"))
         .select("host", "a", "b")
