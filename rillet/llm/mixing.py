@@ -7,7 +7,7 @@ the null space of the two constraints (words, documents) until one of them is 0
 large documents fly first. LANDING documents of a source, evenly spread over its sizes, don't fly; landing tries all subsets of these
 and the two undecided ones and takes the one nearest in words, its number of documents being off by less than one.
 
-The flight runs in chunks of a source (by hash of the id, CHUNK documents on average), which leaves two documents each; these
+The flight runs in chunks of a source (by hash of id and text, CHUNK documents on average), which leaves two documents each; these
 fly again, chunked anew, until a source's rest fits one chunk: levels grow with the logarithm of the largest source, and a source
 with a third of all rows is many chunks. Random choices are hashes of (source, level, chunk), so reruns agree.
 
@@ -24,20 +24,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, is_small, load, make_room
+from .common import WORD, Scratch, is_small, load, make_room
 
 WEIGHTS, SHARE, CAP, CHUNK, LANDING = (3.0, 1.0, 2.0), 1.5, 2.0, 2048, 12
-STATE = "id long, s long, size long, whole long, p double, chunk long"
+STATE = "id long, print long, s long, size long, whole long, p double, chunk long"
 
 
 def words(text: Column) -> Column:
-    """Words of a text: bytes.split() parts at ASCII white space and at nothing else."""
-
-    @F.arrow_udf(T.LongType())
-    def count(texts: pa.Array) -> pa.Array:
-        return pa.array((len((t.as_py() or "").encode("utf-8", "surrogatepass").split()) for t in texts), pa.int64())
-
-    return count(text)
+    """Words of a text (null: none)."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -101,7 +96,7 @@ def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def _flight(level: int, last: bool):
     def flight(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("size", "descending"), ("id", "ascending")])
+        rows = rows.sort_by([("size", "descending"), ("id", "ascending"), ("print", "ascending")])
         s, chunk = (k.as_py() for k in key)
         size, p = rows["size"].to_numpy(), rows["p"].to_numpy().copy()
         flies = np.ones(len(p), bool)
@@ -118,14 +113,14 @@ def _flight(level: int, last: bool):
 def decide(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) of each row: copies is how often the mix takes it."""
     scratch = Scratch(docs.sparkSession, "mix")
-    sizes = scratch.table(docs.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size")), "sizes")
+    sizes = scratch.table(docs.select(F.col(id).cast("long").alias("id"), F.col(source).alias("source"), F.xxhash64(id, text).alias("print"), words(F.col(text)).alias("size")), "sizes")
     totals = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
     aims = scratch.table(targets(totals, weights, share, cap), "targets")
     side = F.broadcast(aims) if is_small(aims) else aims
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     chunks = F.ceil(F.col("rows") / F.lit(CHUNK))
     state = sizes.join(side, sizes["source"].eqNullSafe(aims["source"])).select(
-        "id", "s", "size", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"), F.pmod(F.xxhash64("id"), chunks).alias("chunk")
+        "id", "print", "s", "size", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"), F.pmod("print", chunks).alias("chunk")
     )
     decided, level, open_ = [], 0, F.col("p").between(1e-12, 1 - 1e-12)
     while True:
@@ -138,7 +133,7 @@ def decide(docs: DataFrame, id: str = "doc_id", source: str = "source", text: st
         rest = flown.filter(open_)
         counts = rest.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
         level += 1
-        state = rest.drop("chunk").join(F.broadcast(counts) if is_small(aims) else counts, "s").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(level)), F.ceil(F.col("n") / F.lit(CHUNK)))).select("id", "s", "size", "whole", "p", "chunk")
+        state = rest.drop("chunk").join(F.broadcast(counts) if is_small(aims) else counts, "s").withColumn("chunk", F.pmod(F.xxhash64("print", F.lit(level)), F.ceil(F.col("n") / F.lit(CHUNK)))).select("id", "print", "s", "size", "whole", "p", "chunk")
     rows = decided[0]
     for more in decided[1:]:
         rows = rows.union(more)
