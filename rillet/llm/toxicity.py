@@ -3,7 +3,7 @@
 1. Terms (words and word beginnings of PREFIXES letters) are counted by label on a sample of labelled training rows, equal texts once;
    those that stand nearly always with the label become lexicon voters, beside a fixed list of insults. Pattern voters (shouting, exclamation marks, symbols, digits) and one voter for
    silence, which speaks when no lexicon voter does, stand beside them.
-2. A generative label model takes the votes alone: EM estimates how often each voter fires under either label (its accuracy) and, from
+2. A generative label model takes the votes alone: each round of EM estimates how often each voter fires under either label (its accuracy) and, from
    what the votes have in common beyond the label, their correlations; voters that say the same share one vote's weight.
 3. A logistic classifier over terms is trained on the model's posterior labels, and scores every whole text in one scan.
 
@@ -12,7 +12,7 @@ of the id), a documented bound; what is collected from it is bounded too, counts
 Scoring is per row with bounded memory and no shuffle.
 
 Defined cases: null and empty texts are scored by the classifier's constant; a null id counts as an empty text for the split; several labels of
-one id count as their maximum; without two kinds of labels every score is the labels' mean (0 without any); rows that repeat an id are scored
+one id, or of one text, count as their maximum; without two kinds of labels every score is the labels' mean (0 without any); rows that repeat an id are scored
 alike; columns that clash with the added ones give way.
 """
 
@@ -107,8 +107,8 @@ class LabelModel:
     def fit(self, votes: np.ndarray, start: np.ndarray, rounds: int = 10) -> LabelModel:
         votes = votes.astype(float)
         post = start.astype(float)
-        self.share = self._shares(votes, post)
         for _ in range(rounds):
+            self.share = self._shares(votes, post)
             self.prior = (post.sum() + 1) / (len(post) + 2)
             self.fires = np.stack([((1 - post) @ votes + 0.5) / ((1 - post).sum() + 1), (post @ votes + 0.5) / (post.sum() + 1)])
             post = self.posterior(votes)
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     known = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id))).groupBy(F.col(id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     chosen = scratch.table(known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN), "chosen")
     # TRAIN rows of two numbers: a fixed bound, so they may go to every executor.
-    sample = scratch.table(docs.join(F.broadcast(chosen), F.col(id) == F.col("_id")).select(F.col(text).alias("text"), "toxic").withColumn("print", F.xxhash64("text")).dropDuplicates(["print"]), "sample")
+    sample = scratch.table(docs.join(F.broadcast(chosen), F.col(id) == F.col("_id")).select(F.col(text).alias("text"), "toxic").groupBy(F.xxhash64("text").alias("print")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "sample")
     size = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
