@@ -1,15 +1,17 @@
 """HTML extraction by minimum-cut labelling.
 
-A page becomes a list of text blocks in page order. A classifier prices both labels of each block from its own signs (containers it
-stands in, their class names, link share, length, sentence signs); the prices are the capacities to the two terminals. Blocks that
-follow each other are joined by smoothness edges, stronger within the same container, and so is each container's last block with the next
-block of that container (DOM proximity), across what stands between. The minimum cut, found by max-flow, labels all blocks at once: a
-one-word paragraph between paragraphs is kept and a long advert between menus is not. A class word is a price beside others; a <main> within
-what is named or marked as boilerplate is the main part all the same, and so is an <article> if the page marks no other. Work is per page with memory linear in the
-page; the plan is one scan with Arrow batches and no shuffle.
+A page becomes a list of text blocks in page order. A classifier prices both labels of each block from its own signs: containers it
+stands in, their class names, link share, length, sentence signs. The prices are the capacities to the two terminals. Blocks that follow
+each other are joined by smoothness edges, the stronger the nearer they are in the tree, and so are blocks of one parent across what stands
+between them. The minimum cut, found by max-flow, labels all blocks at once. Prices and edges are of one size, so neighbours decide where a
+block's own signs are weak: a one-word paragraph or a line of links between paragraphs is kept, the same between menus is not. A <main>
+within what is named or marked as boilerplate is the main part all the same, and so is an <article> if the page marks no other; a form or a named
+element that holds most of a page with no other article tells nothing. Work is per page with memory linear in the page; the plan is one scan with
+Arrow batches and no shuffle.
 
 Defined cases: null and empty pages give empty text; broken markup is read as browsers do in spirit (end tags close what is open under them, stray
-ones are ignored, an unfinished tag ends the page); pages that repeat are extracted alike; columns that clash with the added ones give way.
+ones are ignored, an unfinished tag ends at the next one or with the page), in time linear in the page; pages that repeat are extracted alike; columns
+that clash with the added ones give way; what is hidden is no part of the page.
 """
 
 from __future__ import annotations
@@ -32,9 +34,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+WALLS, OVER_WALLS = frozenset("td th table body".split()), frozenset("table tr tbody thead tfoot body html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CHROME = frozenset("nav footer aside form menu dialog fieldset search".split())
+FIXED = CHROME - {"form", "fieldset"} | {"header"}
 ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+ENDERS, SIGNED = frozenset().union(*ENDS.values()), CHROME | {"main", "article", "header"}
 #: Whole names in class, id and role of what isn't the article, of what may be or not, and of what is.
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo banner banners cookie cookies gdpr popup modal overlay toast newsletter subscribe subscription signup signin paywall "
@@ -49,47 +54,58 @@ CHROME_WORDS = frozenset(
 ) for a in a.split() for b in bs.split()}
 DOUBT_WORDS = frozenset("side rail promotion notice notices alert consent login register footnotes copyright legal respond reply replies discussion social follow related recommended recommendations trending popular tags search form".split())
 MAIN_WORDS = frozenset("article articlebody article-body main main-content maincontent content post post-body post-content entry entry-content story story-body body-text text prose".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/])[^<]*$", re.S)
-NAMES = re.compile(r"""(?<![\w-])(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Comments, declarations, and tags with their attributes. Nothing is read twice: groups are possessive, and a tag ends at the next one at the latest.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:[\"'][^<>]*+)?(?:>|(?=<)|$)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
-#: Smoothness of edges between neighbours, of the same container and of others, and between a container's blocks across others.
-NEXT_SAME, NEXT_OTHER, NEAR = 2.0, 0.5, 1.0
+#: Smoothness of neighbours under one parent; half of it for one more step in the tree between them, none beyond FAR steps. BESIDE: of blocks of
+#: one parent with others between them. Of each a quarter between blocks whose containers have different signs.
+SMOOTH, FAR, BESIDE, CONTRAST = 1.0, 8, 0.5, 0.25
 OPEN, MAIN, NOT_MAIN, UNSHOWN = 0, 1, 2, 3
-#: Prices of names, on top of the other signs.
-CHROME_NAME, DOUBT_NAME = -9.0, -3.0
-#: Of what stands in an element: its role, the price of the names around it, and whether an article within boilerplate holds it.
-Signs = tuple[int, float, bool]
+#: Prices: of any block, of standing in and outside a main part, in boilerplate, of names, of links in and outside a main part.
+ANY, IN_MAIN, OUTSIDE, IN_CHROME, CHROME_NAME, DOUBT_NAME, LINKS_IN_MAIN, LINKS = -1.0, 0.8, -3.5, -4.0, -6.0, -0.8, -0.6, -4.0
+#: Of what stands in an element: its role, the price of the names around it, whether an article within boilerplate holds it, and the element
+#: whose signs say first that it is boilerplate.
+Signs = tuple[int, float, bool, int]
 
 
 class Block:
-    __slots__ = ("parts", "linked", "role", "name", "inner", "tag", "container")
+    __slots__ = ("parts", "linked", "role", "name", "inner", "by", "tag", "element")
 
-    def __init__(self, signs: Signs, tag: str, container: int):
-        self.parts, self.linked, self.tag, self.container = [], 0, tag, container
-        self.role, self.name, self.inner = signs
+    def __init__(self, signs: Signs, tag: str, element: int):
+        self.parts, self.linked, self.tag, self.element = [], 0, tag, element
+        self.role, self.name, self.inner, self.by = signs
 
 
-def _signs(tag: str, attrs: str, around: Signs) -> Signs:
+def attributes(given: str) -> dict[str, str]:
+    """Names and values, lower-cased; of repeated names the first."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(given):
+        out.setdefault(name.lower(), value.strip("\"'").lower())
+    return out
+
+
+def _signs(tag: str, given: str, around: Signs, number: int) -> Signs:
     """The signs of what stands in an element, from its own and those around it."""
-    role, name, inner = around
+    role, name, inner, by = around
     if role == UNSHOWN or tag in ("html", "body"):
         return around
-    if attrs and HIDDEN.search(attrs):
-        return UNSHOWN, 0.0, False
-    given = [(k.lower(), re.sub("[-_]+", "-", w)) for k, m in NAMES.findall(attrs) for w in m.strip("\"'").lower().split()] if attrs else []
-    names = {w for _, w in given}
-    if tag == "main" or ("role", "main") in given:
-        return MAIN, 0.0, False
+    has = attributes(given) if given else {}
+    if "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in re.sub(r"\s", "", has.get("style", "")):
+        return UNSHOWN, 0.0, False, number
+    told = [(k, re.sub("[-_]+", "-", w)) for k in ("class", "id", "role", "itemprop") for w in has.get(k, "").split()]
+    names = {w for _, w in told}
+    if tag == "main" or ("role", "main") in told:
+        return MAIN, 0.0, False, 0
     if tag in CHROME:
-        return NOT_MAIN, name, inner
-    if tag == "article" and (role == NOT_MAIN or name < 0):
-        return MAIN, 0.0, True
+        return NOT_MAIN, name, inner, by or number
+    if tag == "article" and (role == NOT_MAIN or name <= CHROME_NAME):
+        return MAIN, 0.0, True, 0
     if role == NOT_MAIN:
         return around
     own = 0.0
     if not names & MAIN_WORDS:
-        for kind, w in given:
+        for kind, w in told:
             if kind == "id" and (tag in HEADINGS or role == MAIN and (tag == "section" or "section" in names)):  # an anchor, whatever the section is about
                 own = min(own, DOUBT_NAME if w in CHROME_WORDS and tag not in HEADINGS else 0.0)
             elif w in CHROME_WORDS and not (role == MAIN and w in ("header", "masthead")):  # an article's own header holds its title
@@ -97,15 +113,20 @@ def _signs(tag: str, attrs: str, around: Signs) -> Signs:
             elif w in DOUBT_WORDS:
                 own = min(own, DOUBT_NAME)
     if tag == "article" or names & MAIN_WORDS:
-        return MAIN, min(name, own), inner
-    return (NOT_MAIN if tag == "header" and role != MAIN else role), min(name, own), inner
+        role = MAIN
+    elif tag == "header" and role != MAIN:
+        role = NOT_MAIN
+    return role, min(name, own), inner, by or (number if own <= CHROME_NAME or role == NOT_MAIN else 0)
 
 
-def blocks(page: str) -> tuple[list[Block], bool]:
-    """The page's text blocks, and whether it marks a main part."""
+def blocks(page: str, void: frozenset[int] = frozenset()) -> tuple[list[Block], list[int], list[str], bool]:
+    """The page's text blocks, the parent and the tag of each element (elements are numbered in page order, 0 stands for the page), and whether it
+    marks a main part. Elements of ``void`` give no signs."""
     out: list[Block] = []
     stack: list[tuple[str, Signs, int]] = []  # tag, signs around it, number
-    signs, number, links, unseen, at, marked = (OPEN, 0.0, False), 0, 0, 0, 0, False
+    opened: dict[str, list[int]] = {}  # places in the stack by tag
+    walls: list[int] = []  # places of what only its own kind closes
+    signs, parents, tags, links, unseen, at, marked = (OPEN, 0.0, False, 0), [0], [""], 0, 0, 0, False
     now = Block(signs, "", 0)
 
     def text(s: str) -> None:
@@ -125,6 +146,9 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         seen_block = False
         while len(stack) > to:
             tag, signs_, _ = stack.pop()
+            opened[tag].pop()
+            if tag in WALLS:
+                walls.pop()
             links -= tag == "a"
             unseen -= tag in UNSEEN
             seen_block |= tag in BLOCK
@@ -135,18 +159,15 @@ def blocks(page: str) -> tuple[list[Block], bool]:
     end = len(page)
     find = TOKEN.search
     while at < end and (m := find(page, at)):
-        text(page[at : m.start()])
+        if m.start() > at:
+            text(page[at : m.start()])
         at = m.end()
         if not (name := m[2]):
             continue
         tag = name.lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in ("td", "th", "table", "body") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            if (places := opened.get(tag)) and (tag in OVER_WALLS or not walls or walls[-1] <= places[-1]):
+                close(places[-1])
             continue
         if tag in VOID:
             if tag == "br":
@@ -154,7 +175,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             elif tag == "hr":
                 now = cut(tag)
             continue
-        for i in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
+        for i in range(len(stack) - 1, max(-1, len(stack) - 6), -1) if tag in ENDERS else ():
             if tag in ENDS.get(stack[i][0], ()):
                 close(i)
                 break
@@ -163,10 +184,16 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         attrs = m[3]
         if attrs.endswith("/") and tag not in BLOCK:
             continue
-        number += 1
+        parents.append(stack[-1][2] if stack else 0)
+        tags.append(tag)
+        number = len(parents) - 1
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in WALLS:
+            walls.append(len(stack))
         stack.append((tag, signs, number))
-        signs = _signs(tag, attrs, signs)
-        marked |= signs == (MAIN, 0.0, False)
+        if (tag in SIGNED or attrs and not attrs.isspace()) and number not in void:
+            signs = _signs(tag, attrs, signs, number)
+        marked |= signs[:3] == (MAIN, 0.0, False)
         links += tag == "a"
         unseen += tag in UNSEEN
         if tag in RAW:
@@ -177,21 +204,41 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             now = cut(tag)
     text(page[at:])
     cut("")
-    return out, marked
+    return [b for b in out if b.role != UNSHOWN], parents, tags, marked
 
 
 def price(b: Block, words: int, size: int, sentences: int, marked: bool) -> float:
-    """How much more the label boilerplate costs than the label article, from -9 to 9."""
-    if b.role in (NOT_MAIN, UNSHOWN):
-        return -9.0
+    """How much more the label boilerplate costs than the label article."""
     linked = b.linked / max(1, size)
     name = CHROME_NAME if b.inner and marked else b.name
+    score = ANY + name + min(2.5, words / 12) + min(1.5, 0.75 * sentences) + (0.5 if b.tag in HEADINGS else 0.0)
+    if b.role == NOT_MAIN:
+        return IN_CHROME + name + min(1.0, words / 50)
     if b.role == MAIN:
-        score = 6.0 if b.linked < 0.9 * size or words > 3 else 1.0
-        return max(-9.0, score + name - (5 * linked if name else 0.0))
-    score = -2.5 if marked else -1.0
-    score += min(3.0, words / 12) + min(1.5, 0.75 * sentences) + (1.0 if b.tag == "h1" else 0.0)
-    return max(-9.0, min(9.0, score + name - 5 * linked))
+        return score + IN_MAIN + (LINKS if name <= CHROME_NAME else LINKS_IN_MAIN) * linked
+    return score + (OUTSIDE if marked else 0.0) + LINKS * linked
+
+
+def distance(a: int, b: int, parents: list[int]) -> int:
+    """Steps in the tree from one element to another, or FAR + 1."""
+    steps = 0
+    while a != b and steps <= FAR:  # numbers ascend from parents to children
+        a, b = (parents[a], b) if a > b else (a, parents[b])
+        steps += 1
+    return steps
+
+
+def edges(found: list[Block], parents: list[int]) -> list[tuple[int, int, float]]:
+    alike = lambda a, b: 1.0 if (a.role, a.name) == (b.role, b.name) else CONTRAST
+    out, last = [], {}
+    for i, b in enumerate(found):
+        if i and (d := distance(found[i - 1].element, b.element, parents)) <= FAR:
+            out.append((i - 1, i, SMOOTH * 2.0 ** (2 - d) * alike(found[i - 1], b)))
+        beside = parents[b.element]
+        if last.get(beside, i - 1) != i - 1:
+            out.append((last[beside], i, BESIDE * alike(found[last[beside]], b)))
+        last[beside] = i
+    return out
 
 
 def cut_labels(prices: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -266,26 +313,37 @@ def cut_labels(prices: list[float], edges: list[tuple[int, int, float]]) -> list
     return [not d for d in drains[:n]]
 
 
+def priced(page: str) -> tuple[list[str], list[float], list[tuple[int, int, float]]]:
+    """Texts, prices and edges of a page's blocks."""
+    void: frozenset[int] = frozenset()
+    while True:
+        found, parents, tags, marked = blocks(page, void)
+        texts = [" ".join(html.unescape("".join(b.parts)).split()) for b in found]
+        found, texts = [b for b, t in zip(found, texts) if t], [t for t in texts if t]
+        words = [t.count(" ") + 1 for t in texts]
+        prices = [price(b, n, len(t), len(SENTENCE.findall(t)), marked) for b, t, n in zip(found, texts, words)]
+        if not found or max(prices) > 0 or len(void) == 3:
+            break
+        # A form, or what has a name, tells nothing if it holds most of a page that has no other article.
+        by: dict[int, int] = {}
+        for b, n in zip(found, words):
+            if b.by and tags[b.by] not in FIXED:
+                by[b.by] = by.get(b.by, 0) + n
+        most = max(by, key=by.get, default=0)
+        if not most or 2 * by[most] < sum(words):
+            break
+        void |= {most}
+    near = edges(found, parents)
+    if not void and not any(cut_labels(prices, near)):  # texts that are all short: containers decide alone
+        prices = [1.0 if b.role != NOT_MAIN and b.name > CHROME_NAME and 2 * b.linked < len(t) else IN_CHROME for b, t in zip(found, texts)]
+        near = []
+    return texts, prices, near
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
-    found, marked = blocks(page or "")
-    texts = [" ".join(html.unescape("".join(b.parts)).split()) for b in found]
-    found, texts = [b for b, t in zip(found, texts) if t], [t for t in texts if t]
-    prices = [price(b, t.count(" ") + 1, len(t), len(SENTENCE.findall(t)), marked) for b, t in zip(found, texts)]
-    if not any(p > 0 for p in prices):  # names that cover all of a page tell nothing apart
-        for b in found:
-            b.name = 0.0
-        prices = [price(b, t.count(" ") + 1, len(t), len(SENTENCE.findall(t)), marked) for b, t in zip(found, texts)]
-    if not any(p > 0 for p in prices):
-        return ""
-    edges, last = [], {}
-    for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, NEXT_SAME if found[i - 1].container == b.container else NEXT_OTHER))
-            if last.get(b.container, i - 1) != i - 1:
-                edges.append((last[b.container], i, NEAR))
-        last[b.container] = i
-    return " ".join(t for t, keep in zip(texts, cut_labels(prices, edges)) if keep)
+    texts, prices, near = priced(page or "")
+    return " ".join(t for t, keep in zip(texts, cut_labels(prices, near)) if keep)
 
 
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
