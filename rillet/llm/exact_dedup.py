@@ -4,7 +4,9 @@
    of the fingerprint space) its part once per distinct value, as Golomb-Rice codes of the gaps.
 2. An owner decodes what it got, finds the values that more than one chunk sent, and answers each chunk with a bitmap.
 3. Chunks turn bitmaps, and what they hold twice themselves, into suspects. Only suspects' texts are shuffled, and they are
-   grouped by their bytes; a text that no other row shares is never moved.
+   grouped by their bytes. Up to SMALL_ROWS suspects every executor gets them, and a text that no other row shares is never moved. Beyond, every
+   executor gets a bitmap of them, SIEVE bits for each and MOST_BITS at most, and a text that no other row shares moves with a probability
+   of 1 / SIEVE (more, where the bitmap has reached its most); grouping by bytes settles the rest.
 
 A text that a third of all rows share costs one code a chunk in the exchange and, as grouping sums map-side, one row a task
 in the verification. Owners grow in number with the rows, so what one owner holds is bounded.
@@ -26,6 +28,9 @@ from .common import Scratch, is_small, load, make_room
 
 #: Fingerprints of a chunk at most, and rows for each owner of fingerprints on average.
 CHUNK, PER_OWNER = 1 << 18, 1 << 18
+#: Bits for each suspect, and bits at most: 128 MB.
+SIEVE, MOST_BITS = 32, 1 << 30
+HEAVY = 100_000
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -118,23 +123,50 @@ def suspects(docs: DataFrame, text: Column, scratch: Scratch) -> DataFrame:
     return sent.join(maps, ["chunk", "owner"]).select("code", "twice", "bitmap").mapInArrow(_suspects, "fp long").distinct()
 
 
+def sieved(rows: DataFrame, fp: str, found: DataFrame, bits: int) -> DataFrame:
+    """``rows`` with _maybe: false only where the fingerprint is none of ``found``. No row moves."""
+    place = lambda c: F.pmod(F.col(c), F.lit(bits)) + 1
+    maps = found.groupBy(F.bitmap_bucket_number(place("fp")).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("fp"))).alias("_bits"))
+    at = F.bitmap_bit_position(place(fp)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(fp)) == F.col("_bucket"), "left")  # bits / 8 bytes: at most MOST_BITS / 8
+    return joined.withColumn("_maybe", F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
 def copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with keep_id, group_size (long), kept (boolean) and text_sha256 (string) of each row."""
-    docs = make_room(docs, *ADDED)
+    docs = make_room(docs, *ADDED, "_fp", "_maybe", "_sha")
     scratch = Scratch(docs.sparkSession, "copies")
     whole = F.coalesce(F.col(text), F.lit(""))
     found = scratch.table(suspects(docs.select(text), whole, scratch), "suspects")
     scratch.drop("sent")
-    rows = docs.select(F.col(id).alias("id"), whole.alias("t"), F.xxhash64(whole).alias("fp"))
-    rows = rows.join(F.broadcast(found) if is_small(found) else found, "fp", "left_semi")
+    rows = docs.withColumn("_fp", F.xxhash64(whole))
+    if small := is_small(found):
+        rows = rows.withColumn("_maybe", F.lit(True))
+        mine = rows.join(F.broadcast(found), F.col("_fp") == F.col("fp"), "left_semi")
+    else:
+        rows = sieved(rows, "_fp", found, min(MOST_BITS, max(1 << 15, 1 << (SIEVE * found.count()).bit_length())))
+        mine = rows.filter("_maybe")  # grouping their bytes finds those that only seem to be suspects
     # Byte verification: the group's key is the text itself; the digest only names the group from here on.
-    groups = rows.groupBy("t").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    groups = scratch.table(groups.select(F.sha2("t", 256).alias("_sha"), "keep_id", "group_size"), "groups")
-    out = docs.withColumn("text_sha256", F.sha2(whole, 256)).join(F.broadcast(groups) if is_small(groups) else groups, F.col("text_sha256") == F.col("_sha"), "left")
+    groups = mine.groupBy(whole.alias("t")).agg(F.max(id).alias("_keep"), F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    groups = scratch.table(groups.select(F.sha2("t", 256).alias("_sha"), "_keep", "_size"), "groups")
+    rows = rows.withColumn("text_sha256", F.sha2(whole, 256))
+    same = F.col("text_sha256") == F.col("_sha")
+    if small:  # no more groups than suspects
+        out = rows.join(F.broadcast(groups), same, "left")
+    else:
+        # Groups with more than 1 / HEAVY of the rows are HEAVY at most and go to every executor; their rows are spread over all tasks of the join.
+        most = docs.count() // HEAVY
+        heavy = F.broadcast(groups.filter(F.col("_size") > most).select(*[F.col(c).alias(f"{c}_h") for c in groups.columns]))
+        told = rows.filter("_maybe").join(heavy, F.col("text_sha256") == F.col("_sha_h"), "left")
+        told = told.withColumn("_key", F.when(F.col("_sha_h").isNull(), F.col("text_sha256")).otherwise(F.monotonically_increasing_id().cast("string")))
+        told = told.join(groups.filter(F.col("_size") <= most), F.col("_key") == F.col("_sha"), "left").withColumns({c: F.coalesce(c, f"{c}_h") for c in groups.columns})
+        none = [F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in groups.columns]
+        out = told.select(*rows.columns, *groups.columns).unionByName(rows.filter(~F.col("_maybe")).select("*", *none))
     alone = F.col("_sha").isNull()
     return (
-        out.withColumn("keep_id", F.when(alone, F.col(id)).otherwise(F.col("keep_id")))
-        .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
+        out.withColumn("keep_id", F.when(alone, F.col(id)).otherwise(F.col("_keep")))
+        .withColumn("group_size", F.coalesce("_size", F.lit(1).cast("long")))
         .withColumn("kept", F.col(id).eqNullSafe(F.col("keep_id")))
         .select(*docs.columns, *ADDED)
     )

@@ -416,6 +416,43 @@ def test_html_names():
     assert extract(f"<div class='page sidebar'><p>{prose}</p></div>") == prose.strip()
 
 
+def test_html_wrappers_and_attributes():
+    extract, prose = html_extract.extract, "Real sentences stand here with words enough. And more of them follow, as they do. " * 3
+    want = prose.strip()
+    assert extract(f'<div class="page has-sidebar"><article><p>{prose}</article></div>') == want
+    assert extract(f'<div id="content-sidebar-wrap"><main><p>{prose}</main></div>') == want
+    assert extract(f"<body><form id=aspnetForm><nav><a href=x>Home</a></nav><div><p>{prose}</p></div></form><footer>&copy; us</footer></body>") == want
+    assert extract(f'<article class="hentry category-search"><p>{prose}</article>') == want
+    assert extract(f'<article><p title="the hidden truth">{prose}<p data-hidden=1>So it is.<p hidden>No.<p style="color:red; display : none">No.<p aria-hidden="true">No.</article>') == want + " So it is."
+    assert extract("<form>Name <input> Password <input></form>") == extract("<nav>Home</nav><footer>All of it is ours. It is.</footer>") == ""
+    assert extract(f"<article><p>{prose}<p><a href=x>Read the source</a></article>") == want + " Read the source"
+
+
+def test_html_in_linear_time():
+    import time
+
+    for bad in ("<a ", '<a "', "<div>", "</span>", "<!--", '<p title="x', "<b><table>", "<div></p>", "<p>x"):
+        began = time.perf_counter()
+        html_extract.extract(bad * (300_000 // len(bad)))
+        assert time.perf_counter() - began < 5, bad
+
+
+def test_cut_changes_labels_of_pages(spark, sf_dir):
+    """Short blocks whose own signs are against them, on pages of the tables, are kept for their neighbours."""
+    changed = 0
+    for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/pages.parquet").filter("length(html) < 1500").select("html").collect():
+        _, prices, near = html_extract.priced(r.html or "")
+        changed += sum((p > 0) != k for p, k in zip(prices, html_extract.cut_labels(prices, near)))
+    assert changed > 0
+
+
+def test_html_rows(spark):
+    d = spark.createDataFrame([(1, "u", "<p>One.", 5, "x"), (1, "u", "<p>One.", 5, "x"), (2, None, None, None, None), (3, "u", "<article>" + "<p>a b" * 300_000, 1, "y")], "page_id long, url string, html string, N_chars int, TEXT string")
+    got = html_extract.extract_text(d).orderBy("page_id").collect()
+    assert [(r.page_id, r.text[:4], r.n_chars) for r in got] == [(1, "One.", 4), (1, "One.", 4), (2, "", 0), (3, "a b ", 1_199_999)]
+    assert html_extract.extract_text(d.limit(0)).count() == 0
+
+
 def test_cut_is_least():
     rng = random.Random(15)
     for _ in range(60):
@@ -563,3 +600,20 @@ def test_markup_and_tags_in_linear_time():
         began = time.perf_counter()
         language_id.trigrams(bad * (1_000_000 // len(bad)), True)
         assert time.perf_counter() - began < 5, bad
+
+
+def test_exact_dedup_beyond_what_is_sent_to_all(spark, monkeypatch):
+    """Many suspects: only they, and few others, are grouped by their bytes; heavy groups and repeats come out the same."""
+    rng = random.Random(4)
+    rows = [(i, f"text {i}", "s") for i in range(3000)] + [(3000 + i, f"pair {i // 2}", "s") for i in range(400)] + [(4000 + i, "hot", "s") for i in range(900)] + [(None, "hot", "s"), (7, None, "s"), (7, "", "s"), (8, "pair 3", "s")]
+    rng.shuffle(rows)
+    df = docs(spark, rows).repartition(5)
+    want = sorted(map(repr, exact_dedup.copies(df).collect()))
+    monkeypatch.setattr(exact_dedup, "is_small", lambda *_: False)
+    monkeypatch.setattr(exact_dedup, "HEAVY", 100)
+    assert sorted(map(repr, exact_dedup.copies(df).collect())) == want
+    prints = df.withColumn("_fp", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = prints.groupBy("_fp").count().filter("count > 1").select(F.col("_fp").alias("fp"))
+    moved = exact_dedup.sieved(prints, "_fp", found, 1 << 15).filter("_maybe")
+    suspects = prints.join(found, F.col("_fp") == F.col("fp"), "left_semi")
+    assert moved.join(suspects.select("_fp"), ["_fp"], "left_semi").count() == suspects.count() == 1304 and moved.count() < 1304 + 3000 / 20
