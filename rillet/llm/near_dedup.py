@@ -9,16 +9,18 @@ the full sets. The steps:
 2. In each bucket every member is compared with the bucket's smallest vertex only (a star), linear in the bucket.
 3. Confirmed links give components. Buckets whose members all share a component are done: any further link in them would
    change nothing.
-4. In the other buckets pairs from different components are compared in blocks of bounded size that are dealt out by (bucket, block,
-   block), by sketch and then on full sets, each pair in one bucket only; a task returns the links that join components. So no group is
-   gathered in one task, no list of a group's pairs is made, and no partner is capped: all links between bucket mates count.
+4. In the other buckets the members outside the bucket's largest component are compared with all of its members, in blocks of bounded size
+   that are dealt out by (bucket, block, block), by sketch and then on full sets, each pair in one bucket only; a task returns the links that
+   join components. So a stranger among a million copies costs a million comparisons and no more, no group is gathered in one task, no list of
+   a group's pairs is made, and no partner is capped: all links between bucket mates count.
 
 A pair of the threshold's similarity shares no bucket with a probability under MISS, and fails the sketch bound (4.5 standard
 deviations) with less.
 
 Defined cases: null, empty and white-space texts have no shingles and link with nothing; texts with fewer words than a shingle
 have their whole sequence as one; a row with a null id takes no part: its component is null and it is kept; rows that repeat id
-and text are one vertex and keep their rows; columns that clash with the added ones give way; an empty table gives an empty result.
+and text are one vertex and keep their rows; an id that has several texts is linked by each of them, and kept (id = component_id) is told of
+the id; columns that clash with the added ones give way; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -121,7 +123,7 @@ def _sketcher(size: int, rows: int):
 
     def sketch(batches):
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
+            ids, texts, prints = b.column(0), b.column(1), b.column(2)
             out = []
             for t in texts:
                 s = shingles(t.as_py(), size)
@@ -137,8 +139,8 @@ def _sketcher(size: int, rows: int):
                 out.append((len(s), *np.array(whole, np.uint64).view(np.int64).tolist(), key.view(np.int64), odd_sketch(m)))
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int64()))],
-                ["id", "n", "s1", "s2", "bands", "odd"],
+                [ids, prints, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int64()))],
+                ["id", "print", "n", "s1", "s2", "bands", "odd"],
             )
 
     return sketch
@@ -168,10 +170,9 @@ def _confirmer(size: int, percent: int):
 
 def _confirm(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, size: int, percent: int) -> DataFrame:
     """``pairs`` (id, hub), a written table, that have the similarity on full sets. Texts move once for each pair."""
-    hubs = pairs.groupBy("hub").count()
-    salts = F.ceil(F.col("count") / F.lit(STAR))
-    own = hubs.select(F.col("hub").alias("of"), "hub", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))).alias("salt"))
-    rest = pairs.join(hubs, "hub").select(F.col("id").alias("of"), "hub", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    hubs = _hubs(pairs)
+    own = _copies(hubs).select(F.col("hub").alias("of"), "hub", "salt")
+    rest = _salted(pairs, hubs).select(F.col("id").alias("of"), "hub", "salt")
     wanted = scratch.table(own.union(rest), f"{name}-wanted")
     texts = docs.join(F.broadcast(wanted) if is_small(wanted) else wanted, F.col("id") == F.col("of")).select("hub", "salt", "id", "text")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -183,10 +184,26 @@ def _differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.odd")[i].bitwiseXOR(F.col(f"{b}.odd")[i])) for i in range(BITS // 64)), F.lit(0))
 
 
-def _likely(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """(id, hub) pairs that sizes and odd sketches leave possible; a check of 128 bytes a side, in the JVM."""
+def _salted(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``pairs`` with the salt of each row: a hub's partners are dealt out to as many copies of it as STAR demands."""
+    return pairs.join(hubs, "hub").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).drop("salts")
+
+
+def _hubs(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR)).alias("salts"))
+
+
+def _copies(hubs: DataFrame) -> DataFrame:
+    return hubs.select("hub", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"))
+
+
+def _likely(pairs: DataFrame, vertices: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, hub) pairs that sizes and odd sketches leave possible; a check of 128 bytes a side, in the JVM. A hub's sketch is copied to its salts."""
     side = vertices.select("id", "n", "odd")
-    both = pairs.join(side.alias("a"), "id").join(side.withColumnRenamed("id", "hub").alias("b"), "hub")
+    hubs = scratch.table(_hubs(pairs), "hub-salts")
+    near = F.broadcast(hubs) if is_small(hubs) else hubs
+    b = _copies(hubs).join(side.withColumnRenamed("id", "hub"), "hub").alias("b")
+    both = _salted(pairs, near).join(side.alias("a"), "id").join(b, ["hub", "salt"])
     fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
     return both.filter(fits & (_differing("a", "b") <= odd_limit(percent / 100))).select("id", "hub")
 
@@ -195,10 +212,10 @@ def _blocks(size: int, percent: int):
     limit = odd_limit(percent / 100)
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        """Links between two blocks of a bucket, or within one, that join components: sketches first, then full sets, nearest first.
-        A pair meets in every bucket that both are in; the first of them answers for it."""
-        own_key, i, j = (k.as_py() for k in key)
-        id, n, comp, block = (rows[c].to_numpy() for c in ("id", "n", "comp", "block"))
+        """Links between a block of a bucket's members outside its largest component and a block of all members, that join components: sketches
+        first, then full sets, nearest first. A pair meets in every bucket that both are in; the first of them answers for it."""
+        own_key = key[0].as_py()
+        id, n, comp, asks, outside = (rows[c].to_numpy(zero_copy_only=False) for c in ("id", "n", "comp", "asks", "outside"))
         bands, odd = np.stack(rows["bands"].to_pylist()), np.stack(rows["odd"].to_pylist()).astype(np.int64).view(np.uint64)
         texts, sets = rows["text"], {}
         root = np.unique(comp, return_inverse=True)[1]
@@ -208,11 +225,10 @@ def _blocks(size: int, percent: int):
                 sets[k] = shingles(texts[k].as_py(), size)
             return sets[k]
 
-        right, u, v = np.flatnonzero(block == j), [], []
-        for x in np.flatnonzero(block == i).tolist():
+        right, u, v = np.flatnonzero(~asks), [], []
+        for x in np.flatnonzero(asks).tolist():
             near = right[(root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            if i == j:
-                near = near[id[near] > id[x]]
+            near = near[~outside[near] | (id[near] > id[x])]  # two that are both outside meet twice
             off = np.bitwise_count(odd[near] ^ odd[x]).sum(1)
             near = near[np.argsort(off, kind="stable")][: (off <= limit).sum()]
             near = near[bands[near, (bands[near] == bands[x]).argmax(1)] == own_key]
@@ -235,16 +251,23 @@ def _blocks(size: int, percent: int):
 def _rest(docs: DataFrame, members: DataFrame, comps: DataFrame, vertices: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
     """(u, v): links between components in buckets that hold several."""
     own = members.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component").join(vertices.select("id", "n"), "id")
-    several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("all")).filter("lo <> hi")
-    blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("all") / F.lit(BLOCK_SHINGLES))).cast("int")
-    left = own.join(several, "key").select("key", "id", "comp", blocks.alias("blocks"))
-    left = scratch.table(left.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), "blocks").cast("int")), "left")
+    parts = scratch.table(own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all")), "bucket-parts")
+    several = parts.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("rows"), F.sum("all").alias("all")).filter("parts > 1")
+    outside = parts.join(several.select("key", "most.comp"), ["key", "comp"], "left_anti").groupBy("key").agg(F.sum("rows").alias("asking"), F.sum("all").alias("asked_for"))
+    blocks = lambda rows, n: F.ceil(F.greatest(F.col(rows) / F.lit(BLOCK), F.col(n) / F.lit(BLOCK_SHINGLES))).cast("int")
+    several = several.join(outside, "key").select("key", F.col("most.comp").alias("largest"), blocks("rows", "all").alias("js"), blocks("asking", "asked_for").alias("is"))
+    several = scratch.table(several, "several")
+    left = own.join(F.broadcast(several) if is_small(several) else several, "key").withColumn("outside", F.col("comp") != F.col("largest"))
+    at = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30))
+    left = scratch.table(left.select("key", "id", "comp", "outside", "is", "js", F.pmod(at, "is").cast("int").alias("i"), F.pmod(at, "js").cast("int").alias("j")), "left")
     ids = scratch.table(left.select("id").distinct(), "left-ids")
     side = F.broadcast(ids) if is_small(ids) else ids
     bodies = docs.join(side, "id", "left_semi").dropDuplicates(["id"]).join(vertices.select("id", "n", "odd", "bands").join(side, "id", "left_semi"), "id")
-    # A row goes to every pair of blocks that its own is part of: as many as there are blocks.
-    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-    dealt = left.withColumn("to", F.explode(to)).select("key", "to.i", "to.j", "id", "comp", "block").join(scratch.table(bodies, "bodies"), "id")
+    # A member goes once to each block of those outside; those outside go once to each block of members too, to ask.
+    every = lambda n, **fixed: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda x: F.struct(*[(x if c is None else c).alias(k) for k, c in fixed.items()]))
+    answers, asks = every("is", i=None, j=F.col("j"), asks=F.lit(False)), every("js", i=F.col("i"), j=None, asks=F.lit(True))
+    to = F.explode(F.when(F.col("outside"), F.concat(answers, asks)).otherwise(answers)).alias("to")
+    dealt = left.select("key", "id", "comp", "outside", to).select("key", "id", "comp", "outside", "to.i", "to.j", "to.asks").join(scratch.table(bodies, "bodies"), "id")
     return scratch.table(dealt.groupBy("key", "i", "j").applyInArrow(_blocks(size, percent), "u long, v long"), "second")
 
 
@@ -254,7 +277,7 @@ def links(docs: DataFrame, vertices: DataFrame, scratch: Scratch, size: int, per
     hubs = flat.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub")
     hubs = scratch.table(hubs, "hubs")
     members = scratch.table(flat.join(F.broadcast(hubs) if is_small(hubs) else hubs, "key"), "members")
-    pairs = scratch.table(_likely(members.filter("id <> hub").select("id", "hub").distinct(), vertices, percent), "pairs")
+    pairs = scratch.table(_likely(members.filter("id <> hub").select("id", "hub").distinct(), vertices, percent, scratch), "pairs")
     first = _confirm(docs, pairs, scratch, "first", size, percent)
     second = _rest(docs, members.select("key", "id"), components(first), vertices, scratch, size, percent)
     scratch.drop("hubs", "members", "left", "left-ids", "bodies")
@@ -266,22 +289,38 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", size: i
     percent = round(100 * threshold)
     docs = make_room(docs, *ADDED)
     scratch = Scratch(docs.sparkSession, "near")
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    sketches = scratch.table(rows.mapInArrow(_sketcher(size, band_rows(percent / 100)), "id long, n long, s1 long, s2 long, bands array<long>, odd array<long>"), "sketches")
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
+    kind = "id long, print long, n long, s1 long, s2 long, bands array<long>, odd array<long>"
+    sketches = scratch.table(rows.mapInArrow(_sketcher(size, band_rows(percent / 100)), kind), "sketches")
+    # Further texts of an id get a number of their own, above all ids, and a link to it.
+    again = sketches.filter("id is not null").groupBy("id").agg(F.min("print").alias("first"), F.max("print").alias("last")).filter("first <> last").select("id", "first")
+    again = scratch.table(sketches.select("id", "print").join(again, "id").filter("print <> first").distinct().select("id", "print", (F.xxhash64("id", "print").bitwiseAND(F.lit((1 << 62) - 1)) + (1 << 62)).alias("vertex")), "again")
+    repeats = bool(again.head(1))
+    if repeats:
+        side = F.broadcast(again) if is_small(again) else again
+        numbered = lambda df: df.join(side, ["id", "print"], "left").withColumns({"own": F.col("id"), "id": F.coalesce("vertex", "id")}).drop("vertex")
+        rows, sketches = numbered(rows), numbered(sketches)
     # Equal sets: one vertex, under its smallest id. The copies of a text meet map-side, a row a task and set.
     same = sketches.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min_by(F.struct("id", "bands", "odd"), "id").alias("x"), F.count(F.lit(1)).alias("size"))
     same = scratch.table(same.select("s1", "s2", "n", "size", "x.*"), "same")
-    vertices = same.dropDuplicates(["id"])
-    found = components(links(rows.filter("id is not null"), vertices, scratch, size, percent))
+    joined = links(rows.filter("id is not null").select("id", "text"), same, scratch, size, percent)
+    if repeats:  # from the vertex of each further text to that of the id's first
+        of = sketches.filter("n > 0 and id is not null").join(same.select("s1", "s2", "n", F.col("id").alias("of")), ["s1", "s2", "n"]).select("id", "own", "of")
+        ids = of.join(again.select(F.col("id").alias("own")).distinct(), "own", "left_semi")
+        joined = joined.union(ids.filter("own <> of").select(F.col("own").alias("u"), F.col("of").alias("v")))
+    found = components(joined)
     # Only sets that several rows have, or that are linked, have a component other than the row's own id.
     named = same.join(found.withColumnRenamed("component", "c"), "id", "left").filter("size > 1 or c is not null")
     named = scratch.table(named.select("s1", "s2", "n", F.coalesce("c", "id").alias("c")), "named")
-    own = sketches.select("id", "n", "s1", "s2").join(F.broadcast(named) if is_small(named) else named, ["s1", "s2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
+    own = sketches.join(F.broadcast(named) if is_small(named) else named, ["s1", "s2", "n"], "left")
+    if repeats:
+        own = own.withColumns({"c": F.coalesce("c", "own"), "id": F.col("own")})
+    own = own.select("id", "print", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
     if set(docs.columns) == {id, text}:
         return own.select(F.col("id").alias(id), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
-    own = own.dropDuplicates(["id"]).withColumnRenamed("id", "_id")
+    own = own.dropDuplicates(["id", "print"]).select(F.col("id").alias("_id"), F.col("print").alias("_print"), "n_shingles", "component_id")
     kept = F.coalesce(F.col(id) == F.col("component_id"), F.lit(True))
-    return docs.join(own, F.col(id).eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("kept", kept)
+    return docs.join(own, F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_print")), "left").drop("_id", "_print").withColumn("kept", kept)
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:

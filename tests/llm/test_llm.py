@@ -617,3 +617,39 @@ def test_exact_dedup_beyond_what_is_sent_to_all(spark, monkeypatch):
     moved = exact_dedup.sieved(prints, "_fp", found, 1 << 15).filter("_maybe")
     suspects = prints.join(found, F.col("_fp") == F.col("fp"), "left_semi")
     assert moved.join(suspects.select("_fp"), ["_fp"], "left_semi").count() == suspects.count() == 1304 and moved.count() < 1304 + 3000 / 20
+
+
+def test_near_dedup_strangers_in_a_bucket_of_copies(spark, monkeypatch):
+    """One large component and strangers that link with parts of it, in small blocks; every bucket holds all."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "K", 16)
+    monkeypatch.setattr(near_dedup, "band_rows", lambda *_: 1)
+    monkeypatch.setattr(near_dedup, "odd_limit", lambda *_: 1 << 20)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = {1: " ".join(base)}
+    for i in range(2, 40):  # a chain that drifts away: neighbours link, its ends don't
+        base[rng.randrange(120)] = f"v{i}"
+        base[rng.randrange(120)] = f"u{i}"
+        texts[i] = " ".join(base)
+    for i in range(50, 56):
+        texts[i] = " ".join([f"w{k}" for k in range(60 + i % 3)] + [f"x{i // 2}{k}" for k in range(70)])
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in texts.items() for w in [t.split()]}
+    up = {i: i for i in texts}
+    top = lambda x: x if up[x] == x else top(up[x])
+    for a in texts:
+        for b in texts:
+            if a < b and 100 * (both := len(sets[a] & sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    got = by_id(near_dedup.near_copies(docs(spark, [(i, t, "s") for i, t in texts.items()]), size=3, threshold=0.85))
+    assert {i: r.component_id for i, r in got.items()} == {i: top(i) for i in texts}
+
+
+def test_near_dedup_ids_with_several_texts(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{k}{rng.randrange(500)}" for _ in range(200)) for k in "abc")
+    rows = [(5, a, "s"), (5, b, "s"), (7, a + " more", "s"), (8, b + " more", "s"), (9, c, "s"), (9, None, "s"), (9, c, "s"), (3, "", "s")]
+    for d in (docs(spark, rows), docs(spark, rows).select("doc_id", "text")):
+        got = sorted((r.doc_id, r.text[:1] if "text" in d.columns and "source" in d.columns and r.text else "", r.component_id, r.kept) if "source" in d.columns else (r.doc_id, r.component_id, r.kept) for r in near_dedup.near_copies(d, size=3, threshold=0.85).collect())
+        assert [(x[0], *x[-2:]) for x in got] == [(3, 3, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (9, 9, True), (9, 9, True)]
