@@ -1,20 +1,21 @@
 """Embedding near-dedup: one navigable small-world graph a shard, every vector asked of every shard.
 
 1. Equal vectors become one vertex with a weight, so that copies, however many, are one point.
-2. Vertices go to shards by hash. A task builds a shard's graph and writes it to the shared folder.
-3. Queries go to tasks of (shard, block of queries), each with one graph and a bounded block. A query whose whole beam is over
-   the bound is asked again with a wider one, until its worst answer is under it. Each task audits itself: a few of its queries
-   are compared with the whole shard, and while any of them misses more than 1 - AUDIT of its links or of its NEAREST other
+2. Vertices go to shards by hash. A task builds a shard's graph and writes it to the shared folder, in parts of PART bytes.
+3. A shard goes to as many tasks as run at once, not more, and each streams its part of all queries past it, in Arrow batches. A query whose
+   whole beam is over the bound is asked again with a wider one, until its worst answer is under it. Each batch audits itself: a few of its
+   queries are compared with the whole shard, and while any of them misses more than 1 - AUDIT of its links or of its NEAREST other
    vectors, over the bound or not, the beam is doubled for all. A beam that costs more than comparing with the whole shard
    gives way to that, and a shard that is small enough for it from the start gets no graph.
-4. Answers are verified by the cosine in double precision. A task gives each query's number of links, and of the links a spanning
+4. Answers are verified by the cosine in double precision. A batch gives each query's number of links, and of the links a spanning
    forest only, at most one row a vertex: components come out the same and no group is expanded into pairs.
 
-Shards are as many as tasks that run at once, and more when PER_SHARD is reached, so memory is bounded at any size.
+Shards are as many as tasks that run at once, and more when PER_SHARD vectors or SHARD_BYTES are reached, so memory is bounded at any size.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of different
-length link with nothing; a row with a null id takes no part, its component is null and it is kept; equal vectors link; columns that clash
-with the added ones give way; an empty table gives an empty result.
+length link with nothing; a row with a null id takes no part, its component is null and it is kept; equal vectors link; an id that has several
+vectors is linked by each of them, and n_links is told of the row's own vector; columns that clash with the added ones give way, others stay; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,19 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, is_small, load
+from .common import Scratch, bound_batches, is_small, load, make_room
 from .components import components
 from .hnsw import Graph, M
 
-SHARDS, PER_SHARD, QUERIES = 8, 200_000, 4096
+SHARDS, PER_SHARD, SHARD_BYTES, PART = 8, 200_000, 256 << 20, 4 << 20
 BEAM, AUDITED, AUDIT, CHUNK = 16, 48, 0.99, 256
 #: The audit looks at so many nearest vectors of a query; comparing with SCAN vectors costs as much as one place in a beam (measured at 64 components).
 NEAREST, SCAN = 10, 1500
 ADDED = ("n_links", "component_id", "kept")
 
 
-def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(-1, dim)
+def _vectors(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in getattr(column, "chunks", [column])]).reshape(-1, dim)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -45,13 +46,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _build(key: tuple[pa.Scalar, ...], shard: pa.Table) -> pa.Table:
-    """One row: ids, weights, vectors and links of the shard's graph, nodes in a fixed mixed order."""
+    """The shard's ids, weights, vectors and links of its graph, nodes in a fixed mixed order, in parts."""
     dim = key[0].as_py()
     order = np.argsort(shard["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
     x = _vectors(shard["v"], dim)[order]
     links = Graph(_unit(x)).links if len(x) > SCAN * BEAM else np.empty((0, M), np.int32)
-    parts = (shard["id"].to_numpy()[order].astype(np.int64), shard["weight"].to_numpy()[order].astype(np.int64), x, links)
-    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), **{n: pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for n, p in zip(("ids", "weights", "x", "links"), parts)}})
+    columns = (shard["id"].to_numpy()[order].astype(np.int64), shard["weight"].to_numpy()[order].astype(np.int64), x, links)
+    step = max(1, PART // (8 * dim))
+    n = -(-max(map(len, columns)) // step)  # layers make more rows of links than there are nodes
+    cut = {name: pa.array([np.ascontiguousarray(c[i * step : (i + 1) * step]).tobytes() for i in range(n)], pa.binary()) for name, c in zip(("ids", "weights", "x", "links"), columns)}
+    return pa.table({"dim": pa.array([dim] * n, pa.int32()), "shard": pa.array([key[1].as_py()] * n, pa.int32()), "part": pa.array(range(n), pa.int32()), **cut})
 
 
 def ask(graph: Graph, q: np.ndarray, bound: float, beam: int):
@@ -101,21 +105,21 @@ def audited(graph: Graph, q: np.ndarray, bound: float, own: np.ndarray | None =
     return scan(graph, q, bound)
 
 
-def _search(bound: float):
-    def search(key: tuple[pa.Scalar, ...], graphs: pa.Table, queries: pa.Table) -> pa.Table:
+class Shard:
+    """A shard put together from its parts."""
+
+    def __init__(self, dim: int, parts: list[dict]):
+        read = lambda n, t: np.frombuffer(b"".join(p[n] for p in parts), t)
+        self.ids, self.weights, self.x = read("ids", np.int64), read("weights", np.int64), read("x", np.float64).reshape(-1, dim)
+        self.norms, self.by_id = np.linalg.norm(self.x, axis=1), np.argsort(self.ids, kind="stable")
+        self.graph = Graph(_unit(self.x), read("links", np.int32).reshape(-1, M))
+
+    def answer(self, qid: np.ndarray, qx: np.ndarray, bound: float) -> pa.RecordBatch:
         """(id, links, other): the links of each query in the shard, and rows (id, null, other) of a spanning forest."""
-        kind = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
-        if not graphs.num_rows or not queries.num_rows:
-            return kind.empty_table()
-        dim = key[0].as_py()
-        read = lambda n, t: np.frombuffer(graphs[n][0].as_py(), t)
-        ids, weights, x, links = read("ids", np.int64), read("weights", np.int64), read("x", np.float64).reshape(-1, dim), read("links", np.int32).reshape(-1, M)
-        qid, qx = queries["id"].to_numpy(), _vectors(queries["v"], dim)
-        norms, qnorms = np.linalg.norm(x, axis=1), np.linalg.norm(qx, axis=1)
-        by_id = np.argsort(ids, kind="stable")
-        at = np.minimum(np.searchsorted(ids, qid, sorter=by_id), len(ids) - 1)
-        own = np.where(ids[by_id[at]] == qid, by_id[at], -1)
-        found = audited(Graph(_unit(x), links), _unit(qx), bound - 1e-5, own)
+        ids, x, weights, norms, qnorms = self.ids, self.x, self.weights, self.norms, np.linalg.norm(qx, axis=1)
+        at = np.minimum(np.searchsorted(ids, qid, sorter=self.by_id), len(ids) - 1)
+        own = np.where(ids[self.by_id[at]] == qid, self.by_id[at], -1)
+        found = audited(self.graph, _unit(qx), bound - 1e-5, own)
         counts = np.zeros(len(qid), np.int64)
         names = np.unique(np.concatenate([ids, qid]))
         of_node, of_query = np.searchsorted(names, ids), np.searchsorted(names, qid)
@@ -127,52 +131,88 @@ def _search(bound: float):
             near = near[ids[near] != qid[i]]
             counts[i] = weights[near].sum()
             if len(near):
-                own, roots = int(tops(of_query[i : i + 1])[0]), tops(of_node[near])
+                top, roots = int(tops(of_query[i : i + 1])[0]), tops(of_node[near])
                 apart, first = np.unique(roots, return_index=True)
-                first = first[apart != own]
+                first = first[apart != top]
                 u.append(np.full(len(first), qid[i]))
                 v.append(ids[near[first]])
-                root[apart] = root[of_node[near]] = root[of_query[i]] = min(own, int(apart[0]))
-                root[own] = min(own, int(apart[0]))
+                root[apart] = root[of_node[near]] = root[of_query[i]] = min(top, int(apart[0]))
+                root[top] = min(top, int(apart[0]))
         u, v = np.concatenate(u) if u else np.empty(0, np.int64), np.concatenate(v) if v else np.empty(0, np.int64)
-        return pa.table([pa.array(np.concatenate([qid, u])), pa.concat_arrays([pa.array(counts), pa.nulls(len(u), pa.int64())]), pa.concat_arrays([pa.nulls(len(qid), pa.int64()), pa.array(v)])], schema=kind)
+        columns = [pa.array(np.concatenate([qid, u])), pa.concat_arrays([pa.array(counts), pa.nulls(len(u), pa.int64())]), pa.concat_arrays([pa.nulls(len(qid), pa.int64()), pa.array(v)])]
+        return pa.RecordBatch.from_arrays(columns, ["id", "links", "other"])
+
+
+def _search(bound: float):
+    """Rows sorted by (dim, shard, salt): the shard's parts, then its queries. One shard and one batch of queries are in hand."""
+
+    def search(batches):
+        now, parts, shard = None, [], None
+        for b in batches:
+            keys = np.stack([b.column(n).to_numpy() for n in ("dim", "shard", "salt")], 1)
+            part = b.column("part").is_valid().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1) | (part[1:] != part[:-1])])
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+                if end == start:
+                    continue
+                rows = b.slice(start, end - start)
+                if (key := tuple(keys[start].tolist())) != now:
+                    now, parts, shard = key, [], None
+                if part[start]:
+                    parts += rows.select(["ids", "weights", "x", "links"]).to_pylist()
+                elif parts or shard:
+                    shard, parts = shard or Shard(key[0], parts), []
+                    yield shard.answer(rows.column("id").to_numpy(), _vectors(rows.column("v"), key[0]), bound)
 
     return search
 
 
 def near_copies(table: DataFrame, id: str = "vec_id", vector: str = "embedding", bound: float = 0.9) -> DataFrame:
-    """``id`` with n_links (long), component_id and kept (id = component_id) for every row."""
+    """``table`` with n_links (long), component_id and kept (id = component_id)."""
     spark = table.sparkSession
+    bound_batches(spark)
+    table = make_room(table, *[c for c in (*ADDED, "_h1", "_h2") if c not in (id, vector)])
     scratch = Scratch(spark, "vectors")
     v = F.col(vector).cast("array<double>")
     # NaN and infinities: their product with zero isn't zero.
     sound = F.coalesce(F.forall(v, lambda c: c.isNotNull() & (c * 0 == 0)) & F.exists(v, lambda c: c != 0), F.lit(False)) & F.col(id).isNotNull()
-    rows = table.select(F.col(id).cast("long").alias("id"), F.when(sound, v).alias("v"))
-    rows = rows.withColumns({"h1": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "h2": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v"))})
-    points = rows.filter("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"))
-    # An id that repeats with another vector is one point under its first vector.
-    points = scratch.table(points.dropDuplicates(["id"]).withColumn("dim", F.size("v")), "points")
-    n = points.count()
-    shards, blocks = max(SHARDS, -(-n // PER_SHARD)), -(-n // QUERIES) or 1
+    hashed = table.withColumns({"_h1": F.when(sound, F.xxhash64(v)), "_h2": F.when(sound, F.xxhash64(F.lit(1), v))})
+    rows = hashed.filter("_h1 is not null").select(F.col(id).cast("long").alias("id"), v.alias("v"), F.col("_h1").alias("h1"), F.col("_h2").alias("h2"))
+    points = scratch.table(rows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v")).withColumn("dim", F.size("v")), "vectors")
+    # Further vectors of an id get a number of their own, above all ids, and a link to it.
+    again = points.groupBy("least").agg(F.min("h1").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("least", "first")
+    again = scratch.table(again, "again")
+    repeated = rows.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("id")
+    repeated = scratch.table(repeated, "repeated")
+    number = F.when(F.col("first").isNull() | (F.col("first") == F.col("h1")), F.col("least")).otherwise(F.xxhash64("h1", "h2").bitwiseAND(F.lit((1 << 62) - 1)) + (1 << 62))
+    points = points.join(F.broadcast(again) if is_small(again) else again, "least", "left").withColumn("id", number).drop("least", "first")
+    points = scratch.table(points, "points")
+    size = points.agg(F.count(F.lit(1)), F.max("dim")).head()
+    shards = max(SHARDS, -(-size[0] // PER_SHARD), -(-size[0] * 8 * (size[1] or 1) // SHARD_BYTES))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, min(-(-tasks // shards), -(-size[0] // 1024)))
     own = points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    graphs = scratch.table(own.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, ids binary, weights binary, x binary, links binary"), "graphs")
-    to = [F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name) for k, name in ((blocks, "block"), (shards, "shard"))]
-    asked = points.select("dim", "id", "v", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"), to[1])
-    there = graphs.select("*", to[0])
-    keys = ["dim", "shard", "block"]
-    answers = there.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(bound), "id long, links long, other long")
-    answers = scratch.table(answers, "answers")
+    graphs = scratch.table(own.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, part int, ids binary, weights binary, x binary, links binary"), "graphs")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    there = graphs.withColumn("salt", every(salts))
+    asked = points.select("dim", "id", "v", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(salts)).cast("int").alias("salt"), every(shards).alias("shard"))
+    dealt = there.unionByName(asked, allowMissingColumns=True).repartition(tasks, "dim", "shard", "salt").sortWithinPartitions("dim", "shard", "salt", F.col("part").asc_nulls_last())
+    answers = scratch.table(dealt.mapInArrow(_search(bound), "id long, links long, other long"), "answers")
     scratch.drop("graphs")
-    comps = components(answers.filter("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")))
+    joined = answers.filter("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v"))
+    if repeated.head(1):
+        of = points.select("h1", "h2", F.col("id").alias("v"))
+        joined = joined.union(rows.join(repeated, "id", "left_semi").select("id", "h1", "h2").distinct().join(of, ["h1", "h2"]).select(F.col("id").alias("u"), "v"))
+    comps = components(joined)
     links = answers.filter("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     known = points.select("h1", "h2", "id", "weight").join(links, "id").join(comps, "id", "left")
-    known = known.select("h1", "h2", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))
+    known = known.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (F.col("links") + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))
     known = scratch.table(known, "known")
-    out = rows.select("id", "h1", "h2").join(F.broadcast(known) if is_small(known) else known, ["h1", "h2"], "left")
-    component = F.coalesce("c", "id")
-    return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = hashed.join(F.broadcast(known) if is_small(known) else known, ["_h1", "_h2"], "left")
+    component = F.coalesce("c", F.col(id).cast("long"))
+    return out.select(*table.columns, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col(id).cast("long") == component, F.lit(True)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: all vectors, cosine 0.9."""
-    return near_copies(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return near_copies(load(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", *ADDED)

@@ -653,3 +653,16 @@ def test_near_dedup_ids_with_several_texts(spark):
     for d in (docs(spark, rows), docs(spark, rows).select("doc_id", "text")):
         got = sorted((r.doc_id, r.text[:1] if "text" in d.columns and "source" in d.columns and r.text else "", r.component_id, r.kept) if "source" in d.columns else (r.doc_id, r.component_id, r.kept) for r in near_dedup.near_copies(d, size=3, threshold=0.85).collect())
         assert [(x[0], *x[-2:]) for x in got] == [(3, 3, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (9, 9, True), (9, 9, True)]
+
+
+def test_embedding_dedup_ids_with_several_vectors(spark, monkeypatch):
+    """Rows that repeat an id with another vector link by both; other columns stay, clashing ones give way; parts and graphs of several shards."""
+    monkeypatch.setattr(embedding_dedup, "PART", 8 * 4 * 3)
+    monkeypatch.setattr(embedding_dedup, "SCAN", 0)
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    near = lambda v: [x + 0.05 for x in v]
+    rows = [(5, a, "p", 1), (5, b, "q", 2), (7, near(a), "r", 3), (8, near(b), "s", 4), (9, c, "t", 5), (9, c, "t", 5), (4, near(c), "u", 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, KEPT int")
+    got = embedding_dedup.near_copies(df)
+    assert got.columns == ["vec_id", "embedding", "label", "n_links", "component_id", "kept"]
+    assert sorted((r.label, r.n_links, r.component_id, r.kept) for r in got.collect()) == [("p", 1, 5, True), ("q", 1, 5, True), ("r", 1, 5, False), ("s", 1, 5, False), ("t", 2, 4, False), ("t", 2, 4, False), ("u", 2, 4, True)]
