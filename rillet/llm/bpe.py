@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, held, load, make_room
+from .common import bound_batches, give_back, held, load, make_room
 
 #: Pieces longer than LONG bytes are encoded alone and not remembered. Pieces are looked up for so many characters of text at a time.
-LONG, TOGETHER = 64, 1 << 20
+LONG, TOGETHER = 64, 1 << 19
 #: Up to twice so many pieces, and so many pairs of tokens, are remembered by a worker.
-PIECES, PAIRS = 200_000, 300_000
+PIECES, PAIRS = 120_000, 300_000
 
 
 class Table:
@@ -256,7 +256,9 @@ class Codec:
 
     @cached_property
     def bpe(self) -> PrefixBPE:
-        return PrefixBPE(read_ranks(self.path))
+        made = PrefixBPE(read_ranks(self.path))
+        give_back()
+        return made
 
     @cached_property
     def cut(self):
@@ -350,6 +352,7 @@ def coded(text: Column, vocabulary=public_vocabulary) -> Column:
 
     def both(texts: pa.Array) -> pa.Array:
         own = codec(*vocabulary())
+        give_back()  # what the last batch took
         ids = own.encoded(texts)
         return pa.StructArray.from_arrays([ids, own.decoded(ids)], fields=[pa.field("ids", ids.type), pa.field("decoded", pa.binary())])
 

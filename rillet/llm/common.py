@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Texts may be very long, so Arrow batches hold few bytes: what a worker holds at once stays bounded. Plans run after this returns, so
     the session keeps the setting; a lower one stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -76,6 +76,19 @@ def is_small(df: DataFrame, most: int = SMALL_ROWS) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the machine, where its allocators can do that."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 _held: dict = {}
 
 
@@ -84,5 +97,6 @@ def held(key, make):
     from stage to stage, and their memories must not add up."""
     if key not in _held:
         _held.clear()
+        give_back()
         _held[key] = make()
     return _held[key]
