@@ -163,3 +163,9 @@ def normal_name(c: Column) -> Column:
 def percent_text(p: Column) -> Column:
     n = half_up(p * 100)
     return F.when(p.isNull(), None).when((p > 0) & (n < 1), "<1%").when((p < 1) & (n > 99), ">99%").otherwise(F.concat(n.cast("string"), F.lit("%")))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson's, over rows that have both; null where one of them doesn't vary (``corr`` divides by zero there)."""
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import water_year
+from ..functions import correlation, water_year
 
 
 def years(month: Column, over) -> Column:
@@ -55,7 +55,7 @@ def coherence(series: DataFrame, driver: DataFrame, least: int = 12) -> DataFram
     """(key, corr, months): of a series' anomalies with its driver's cumulated anomalies."""
     cum = F.sum("anomaly").over(Window.partitionBy("key").orderBy("month").rowsBetween(Window.unboundedPreceding, 0))
     both = anomalies(series).select("key", "month", "anomaly").join(anomalies(driver).select("key", "month", cum.alias("cum")), ["key", "month"])
-    return both.groupBy("key").agg(F.when(F.count(F.lit(1)) >= least, F.corr("anomaly", "cum")).alias("corr"), F.count(F.lit(1)).alias("months"))
+    return both.groupBy("key").agg(F.when(F.count(F.lit(1)) >= least, correlation(F.col("anomaly"), F.col("cum"))).alias("corr"), F.count(F.lit(1)).alias("months"))
 
 
 def isolation(slopes: DataFrame, neighbours: DataFrame, slope_min: float, ratio: float = 3.0, least: int = 2) -> DataFrame:
@@ -74,4 +74,4 @@ def residual_checks(series: DataFrame) -> DataFrame:
     """(key, lag1, seasonal_share): autocorrelation of anomalies' neighbours and the share of variance between calendar months."""
     w = Window.partitionBy("key").orderBy("month")
     a = series.withColumn("before", F.lag("value").over(w)).withColumn("mm", F.avg("value").over(Window.partitionBy("key", F.month("month"))))
-    return a.groupBy("key").agg(F.corr("value", "before").alias("lag1"), F.try_divide(F.var_pop("mm"), F.var_pop("value")).alias("seasonal_share"))
+    return a.groupBy("key").agg(correlation(F.col("value"), F.col("before")).alias("lag1"), F.try_divide(F.var_pop("mm"), F.var_pop("value")).alias("seasonal_share"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, ensembles, extra, more, rest, series, spatial, streams, verification  # noqa: F401
+from . import catalogue, ensembles, extra, more, rest, screens, series, spatial, streams, verification  # noqa: F401
 from .registry import QUERIES, SQL
 
 

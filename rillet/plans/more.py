@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import haversine_km, normal_cdf
+from ..functions import correlation, haversine_km, normal_cdf
 from ..operators import resample, spatial, windows
 from .registry import Tables, query
 from .series import EVENTS_DAILY, GRID, events_daily
@@ -27,7 +27,7 @@ def provider_parity(t: Tables):
     side = lambda kind, name: t.events.filter(F.col("event_type") == kind).select("user_id", F.row_number().over(w).alias("rank"), F.col("value").alias(name))
     off = F.abs(F.col("a") - F.col("b"))
     out = side("view", "a").join(side("click", "b"), ["user_id", "rank"]).groupBy("user_id")
-    return out.agg(F.round(F.corr("a", "b"), 8).alias("r"), F.round(F.avg(off), 6).alias("mae"), F.round(F.median(off), 6).alias("mid"), F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    return out.agg(F.round(correlation(F.col("a"), F.col("b")), 8).alias("r"), F.round(F.avg(off), 6).alias("mae"), F.round(F.median(off), 6).alias("mid"), F.count(F.lit(1)).alias("n")).filter("n >= 5")
 
 
 @query(f"""WITH {GRID}, k(g, i, w) AS (VALUES (0, 1, 0.5), (0, 2, 0.3), (0, 3, 0.2), (1, 1, 0.2), (1, 2, 0.3), (1, 3, 0.5)), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY date) AS n FROM grid)
