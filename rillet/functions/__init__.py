@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,8 +54,22 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
 
 
+#: Edges up to which a ring is an expression of its own; one of more edges is a literal array of them.
+FEW_EDGES = 64
+
+
+def _edges(ring: list[tuple[float, float]]) -> Column:
+    """The edges that aren't level, as one literal of each coordinate."""
+    edges = [(a, b) for a, b in zip(ring, [*ring[1:], ring[0]]) if a[1] != b[1]]
+    numbers = np.array([[*a, *b] for a, b in edges], float).reshape(-1, 4)
+    return F.arrays_zip(*[F.lit(np.ascontiguousarray(numbers[:, i])).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
 def in_ring(lon: Column, lat: Column, ring: list[tuple[float, float]]) -> Column:
     """Even-odd rule over a closed or open ring of (lon, lat)."""
+    if len(ring) > FEW_EDGES:
+        crosses = lambda e: ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < (lat - e["y1"]) * ((e["x2"] - e["x1"]) / (e["y2"] - e["y1"])) + e["x1"])
+        return F.aggregate(_edges(ring), F.lit(False), lambda odd, e: odd != crosses(e))
     edges = [(a, b) for a, b in zip(ring, [*ring[1:], ring[0]]) if a != b]
     crossed = [F.when(((F.lit(y1) > lat) != (F.lit(y2) > lat)) & (lon < (lat - F.lit(y1)) * F.lit((x2 - x1) / (y2 - y1)) + F.lit(x1)), 1).otherwise(0) for (x1, y1), (x2, y2) in edges if y1 != y2]
     return total(crossed) % 2 == 1

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import day_number
+from ..functions import correlation, day_number
 
 
 def trace_windows(series: DataFrame, start_month: int, start_day: int, length: int) -> DataFrame:
@@ -105,8 +105,9 @@ def box_overlaps(spark, a: DataFrame, b: DataFrame, exclude: str) -> DataFrame:
 
 
 def longest_path(edges: DataFrame) -> DataFrame:
-    """(group, nodes, length): each group's longest directed path over (group, a, b, length) without cycles. A group is one river system, a
-    few thousand links, and is solved by dynamic programming in its task."""
+    """(group, nodes, length): each group's longest directed path over (group, a, b, length). Where nothing but cycles and what lies behind them is
+    left, the smallest node left starts anew, without the links into it. A group is one river system, a few thousand links, and is solved by
+    dynamic programming in its task."""
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out, into = {}, {}
@@ -116,9 +117,20 @@ def longest_path(edges: DataFrame) -> DataFrame:
         nodes = set(out) | set(into)
         ready = sorted(n for n in nodes if not into.get(n))
         best = {n: (0.0, None) for n in nodes}
-        while ready:
-            n = ready.pop()
+        left, by_name = set(nodes), sorted(nodes, reverse=True)
+        while left:
+            if ready:
+                n = ready.pop()
+            else:
+                while by_name[-1] not in left:
+                    by_name.pop()
+                n = by_name.pop()
+            if n not in left:
+                continue
+            left.discard(n)
             for m, w in out.get(n, []):
+                if m not in left:
+                    continue
                 if best[n][0] + w > best[m][0]:
                     best[m] = (best[n][0] + w, n)
                 into[m] -= 1
@@ -188,7 +200,7 @@ def baselines(series: DataFrame, lead: int) -> DataFrame:
     """(key, date, persistence, damped): the value ``lead`` days before, and its anomaly damped by the lag-one correlation."""
     w = Window.partitionBy("key").orderBy("_n")
     df = series.withColumn("_n", day_number(F.col("date")))
-    fit = df.withColumn("b", F.max("value").over(w.rangeBetween(-1, -1))).groupBy("key").agg(F.avg("value").alias("m"), F.greatest(F.coalesce(F.corr("value", "b"), F.lit(0.0)), F.lit(0.0)).alias("phi"))
+    fit = df.withColumn("b", F.max("value").over(w.rangeBetween(-1, -1))).groupBy("key").agg(F.avg("value").alias("m"), F.greatest(F.coalesce(correlation(F.col("value"), F.col("b")), F.lit(0.0)), F.lit(0.0)).alias("phi"))
     then = F.max("value").over(w.rangeBetween(-lead, -lead))
     out = df.withColumn("persistence", then).join(fit, "key")
     return out.select("key", "date", "persistence", (F.col("m") + F.pow("phi", F.lit(lead)) * (F.col("persistence") - F.col("m"))).alias("damped"))

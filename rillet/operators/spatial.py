@@ -16,20 +16,34 @@ from ..functions import EARTH_KM, haversine_km, in_polygon
 KM_A_DEGREE = 111.0
 
 
-def _cells(lat: Column, lon: Column, km: float, widest: float) -> tuple[Column, Column]:
-    dlat, dlon = km / KM_A_DEGREE, km / (KM_A_DEGREE * math.cos(math.radians(widest)))
-    return F.floor(lat / dlat), F.floor(lon / dlon)
-
-
-def within(left: DataFrame, right: DataFrame, km: float, radius: Column | None = None, widest: float = 70.0) -> DataFrame:
-    """(a, b, km) of ids in ``left`` and ``right`` (id, lat, lon) at ``km`` at most, or at the right row's own ``radius`` that is no larger.
-    Each right row goes to its cell and the eight around it; ``widest`` is the latitude up to which cells are wide enough."""
-    i, j = _cells(F.col("lat"), F.col("lon"), km, widest)
-    own = right.withColumn("_r", radius if radius is not None else F.lit(km))
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    there = own.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "_r", i.alias("i"), j.alias("j"), around.alias("s"))
-    there = there.select("b", "lat2", "lon2", "_r", (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"))
-    here = left.select(F.col("id").alias("a"), "lat", "lon", i.alias("i"), j.alias("j"))
+def _bands(km: float) -> float:
+    """Height of a band of cells in degrees: no less than the radius."""
+    return km / KM_A_DEGREE
+
+
+def _columns(band: Column, km: float) -> Column:
+    """Cells around a band: each at least as wide as the radius where the band is narrowest, one at a pole."""
+    edge = F.least(F.greatest(F.abs(band * _bands(km)), F.abs((band + 1) * _bands(km))), F.lit(90.0))
+    return F.greatest(F.lit(1).cast("long"), F.floor(360 * KM_A_DEGREE * F.cos(F.radians(edge)) / km))
+
+
+def within(left: DataFrame, right: DataFrame, km: float, radius: Column | None = None) -> DataFrame:
+    """(a, b, km) of ids in ``left`` and ``right`` (id, lat, lon) at ``km`` at most, or at the right row's own ``radius`` that is no larger,
+    anywhere on the globe. Cells are bands of latitude cut into columns by the band's own girth; a right row goes to the columns of its own and
+    the two bands beside it that its circle meets, poles and the turn of longitude included, so a pair meets once. Rows without a place meet nothing."""
+    here = left.filter("lat is not null and lon is not null").select(F.col("id").alias("a"), "lat", "lon", F.floor(F.col("lat") / _bands(km)).alias("i"))
+    column = lambda lon, n: F.floor((lon + 180) / 360 * n)
+    n = _columns(F.col("i"), km)
+    here = here.withColumn("j", F.pmod(column(F.col("lon"), n), n))
+    own = right.filter("lat is not null and lon is not null").withColumn("_r", radius if radius is not None else F.lit(km))
+    turn = km / EARTH_KM
+    # How far the circle reaches in longitude; all around where it holds a pole.
+    reach = F.when(F.abs("lat") + math.degrees(turn) >= 90 - 1e-6, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(math.sin(min(turn, math.pi / 2)) / F.cos(F.radians("lat")), F.lit(1.0)))) + 1e-6)
+    there = own.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "_r", reach.alias("reach"), F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda s: F.floor(F.col("lat") / _bands(km)) + s)).alias("i"))
+    there = there.withColumn("n", _columns(F.col("i"), km))
+    first, last = column(F.col("lon2") - F.col("reach"), F.col("n")), column(F.col("lon2") + F.col("reach"), F.col("n"))
+    met = F.transform(F.sequence(first, F.least(last, first + F.col("n") - 1)), lambda j: F.pmod(j, F.col("n")))
+    there = there.select("b", "lat2", "lon2", "_r", "i", F.explode(met).alias("j"))
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     return here.join(there, ["i", "j"]).withColumn("km", d).filter(F.col("km") <= F.col("_r")).select("a", "b", "km")
 
@@ -40,7 +54,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, most_right: int = 100_000
     row. Beyond that, grid cells grow until each row has k neighbours that are surely the nearest."""
     if right.limit(most_right + 1).count() <= most_right:
         return _nearest_of_few(left, right, k)
-    radius, open_, done = 2.5, left, None
+    radius, open_, done = 2.5, left.filter("lat is not null and lon is not null"), None
     while True:
         near = within(open_, right, radius)
         r = F.row_number().over(Window.partitionBy("a").orderBy(F.round("km", 9), "b"))

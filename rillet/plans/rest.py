@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import normals, resample, spatial, trend
 from .registry import Tables, query
-from .series import EVENTS_DAILY, NORMALS, OLS, events_daily, supplier_daily, supplier_monthly
+from .series import EVENTS_DAILY, NORMALS, OLS, _before, events_daily, supplier_daily, supplier_monthly
 from .spatial import KM, _places, places
 
 #: Rolls by name: the next state from the state, the day's value and the rest level.
@@ -62,7 +62,7 @@ def quality_codes(t: Tables):
 SELECT o.key, o.month, CASE WHEN value < q[2] - 1e-6 THEN 0 WHEN value > q[4] + 1e-6 THEN 2 ELSE 1 END AS tercile, round(pow(0.3 - CASE WHEN value < q[2] - 1e-6 THEN 1 ELSE 0 END, 2), 8) AS brier_below FROM o JOIN normals n ON n.key = o.key AND n.month = o.cm""")
 def month_outcomes(t: Tables):
     s = supplier_daily(t)
-    n = normals.monthly_normals(s, F.lit(s.agg(F.date_add(F.max("date"), 1)).head()[0])).withColumnRenamed("month", "cm")
+    n = normals.monthly_normals(s, _before(t)).withColumnRenamed("month", "cm")
     o = resample.monthly(s).filter("month >= date'2000-01-01'").withColumn("cm", F.month("month")).join(n, ["key", "cm"])
     below = F.col("value") < F.col("t1") - 1e-6
     return o.select("key", "month", F.when(below, 0).when(F.col("value") > F.col("t2") + 1e-6, 2).otherwise(1).alias("tercile"), F.round(F.pow(0.3 - F.when(below, 1).otherwise(0), 2), 8).alias("brier_below"))

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillet import functions as fn
-from rillet.operators import ensemble, fit, incremental, normals, quality, resample, spatial, trend, verify, windows
+from rillet import functions
+from rillet.operators import ensemble, extra, fit, incremental, normals, quality, resample, spatial, trend, verify, windows
 
 D = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
 SERIES = "key int, date date, value double"
@@ -234,4 +235,37 @@ def test_trace_weights_of_all_rows(spark, sf_dir):
 def test_neighbour_overlap_beyond_next_keys(spark, sf_dir):
     from rillet import plans
 
-    assert plans.queries()["neighbour_overlap"](spark, sf_dir).filter("b > a + 2").count() > 0
+    # Ten suppliers have no such neighbours; a hundred do.
+    assert plans.queries()["neighbour_overlap"](spark, sf_dir.replace("sf0.001", "sf0.01")).filter("b > a + 2").count() > 0
+
+
+def test_within_meets_all_pairs_anywhere(spark):
+    """Poles, the turn of longitude and the whole globe against all pairs."""
+    rng = np.random.default_rng(5)
+    lat = np.r_[rng.uniform(-90, 90, 150), rng.uniform(80, 90, 60), [90.0, -90.0, 89.999], rng.uniform(-5, 5, 60)]
+    lon = np.r_[rng.uniform(-180, 180, 210), [0.0, 10.0, -170.0], rng.choice([-1, 1], 60) * rng.uniform(179, 180, 60)]
+    d = spark.createDataFrame([*((i, float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))), (999, None, 1.0)], "id long, lat double, lon double")
+    p, q = np.radians(lat), np.radians(lon)
+    h = np.sin((p[:, None] - p) / 2) ** 2 + np.cos(p[:, None]) * np.cos(p) * np.sin((q[:, None] - q) / 2) ** 2
+    km = 2 * 6371.0 * np.arcsin(np.minimum(1, np.sqrt(h)))
+    for bound in (25.0, 300.0, 4000.0):
+        got = sorted((r.a, r.b) for r in spatial.within(d, d, bound).collect())
+        assert got == sorted(zip(*(x.tolist() for x in np.nonzero(km <= bound)))), bound
+
+
+def test_longest_path_with_cycles(spark):
+    edges = [(1, 1, 2, 1.0), (1, 2, 3, 1.0), (1, 3, 2, 5.0), (1, 3, 4, 2.0), (2, 7, 8, 1.0), (2, 8, 7, 1.0), (3, 1, 2, 4.0), (3, 1, 3, 1.0), (3, 3, 2, 1.0)]
+    got = {r.group: (r.nodes, r.length) for r in extra.longest_path(spark.createDataFrame(edges, "group long, a long, b long, length double")).collect()}
+    assert got == {1: ([1, 2, 3, 4], 4.0), 2: ([7, 8], 1.0), 3: ([1, 2], 4.0)}
+
+
+def test_rings_of_many_edges(spark):
+    turn = np.linspace(0, 2 * np.pi, 3000, endpoint=False)
+    ring = [(float(x), float(y)) for x, y in zip(np.cos(turn) * (1 + 0.3 * np.sin(9 * turn)), np.sin(turn) * (1 + 0.3 * np.sin(9 * turn)))]
+    rng = np.random.default_rng(6)
+    pts = rng.uniform(-1.4, 1.4, (400, 2))
+    d = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, lon double, lat double")
+    got = {r.id for r in d.filter(functions.in_ring(F.col("lon"), F.col("lat"), ring)).collect()}
+    angle = np.arctan2(pts[:, 1], pts[:, 0])
+    inside = np.hypot(*pts.T) < 1 + 0.3 * np.sin(9 * angle)
+    assert len(got ^ set(np.flatnonzero(inside).tolist())) <= 2 and 50 < len(got) < 350

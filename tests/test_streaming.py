@@ -63,3 +63,19 @@ def test_stuck_flags(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.stuck for r in spark.table("stuck").orderBy("ts").collect()] == [False, False, True, False]
+
+
+def test_upserts_rewrite_touched_parts_and_forget_old_versions(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    t = lambda d: dt.datetime(2024, 1, 1 + d)
+    batches = [[(k, t(0), float(k), "live") for k in range(40)], *[[(3, t(n), float(n), "live")] for n in range(1, 6)]]
+    for n, r in enumerate(batches):
+        land(spark, src, r, n)
+        upsert_stream(read(spark, src), out, ["key"], rank, "ts", str(tmp_path / "cp"), parts=8).awaitTermination()
+    got = {r.key: r.value for r in latest_version(spark, out).collect()}
+    assert got == {**{k: float(k) for k in range(40)}, 3: 5.0}
+    parts = {v.name: len(list(v.glob("_part=*"))) for v in (tmp_path / "out").iterdir()}
+    assert parts["v=0"] == 7 and parts["v=4"] == parts["v=5"] == 1 and parts["v=1"] == parts["v=3"] == 0
+    late = upsert_stream(read(spark, src), str(tmp_path / "short"), ["key", "ts"], rank, "ts", str(tmp_path / "cp2"), retention=2, parts=1)
+    late.awaitTermination()
+    assert min(r.ts for r in latest_version(spark, str(tmp_path / "short")).collect()) == t(3)
