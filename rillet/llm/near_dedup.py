@@ -215,7 +215,7 @@ def _blocks(size: int, percent: int):
         """Links between a block of a bucket's members outside its largest component and a block of all members, that join components: sketches
         first, then full sets, nearest first. A pair meets in every bucket that both are in; the first of them answers for it."""
         own_key = key[0].as_py()
-        id, n, comp, asks, outside = (rows[c].to_numpy(zero_copy_only=False) for c in ("id", "n", "comp", "asks", "outside"))
+        id, n, comp, asks, answers, outside = (rows[c].to_numpy(zero_copy_only=False) for c in ("id", "n", "comp", "asks", "answers", "outside"))
         bands, odd = np.stack(rows["bands"].to_pylist()), np.stack(rows["odd"].to_pylist()).astype(np.int64).view(np.uint64)
         texts, sets = rows["text"], {}
         root = np.unique(comp, return_inverse=True)[1]
@@ -225,7 +225,7 @@ def _blocks(size: int, percent: int):
                 sets[k] = shingles(texts[k].as_py(), size)
             return sets[k]
 
-        right, u, v = np.flatnonzero(~asks), [], []
+        right, u, v = np.flatnonzero(answers), [], []
         for x in np.flatnonzero(asks).tolist():
             near = right[(root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
             near = near[~outside[near] | (id[near] > id[x])]  # two that are both outside meet twice
@@ -263,11 +263,12 @@ def _rest(docs: DataFrame, members: DataFrame, comps: DataFrame, vertices: DataF
     ids = scratch.table(left.select("id").distinct(), "left-ids")
     side = F.broadcast(ids) if is_small(ids) else ids
     bodies = docs.join(side, "id", "left_semi").dropDuplicates(["id"]).join(vertices.select("id", "n", "odd", "bands").join(side, "id", "left_semi"), "id")
-    # A member goes once to each block of those outside; those outside go once to each block of members too, to ask.
-    every = lambda n, **fixed: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda x: F.struct(*[(x if c is None else c).alias(k) for k, c in fixed.items()]))
-    answers, asks = every("is", i=None, j=F.col("j"), asks=F.lit(False)), every("js", i=F.col("i"), j=None, asks=F.lit(True))
-    to = F.explode(F.when(F.col("outside"), F.concat(answers, asks)).otherwise(answers)).alias("to")
-    dealt = left.select("key", "id", "comp", "outside", to).select("key", "id", "comp", "outside", "to.i", "to.j", "to.asks").join(scratch.table(bodies, "bodies"), "id")
+    # A member answers once in each block of those outside; those outside ask once in each block of members, in their own one by the same row.
+    row = lambda i, j, asks, answers: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), F.lit(answers).alias("answers"))
+    answers = F.transform(F.sequence(F.lit(0), F.col("is") - 1), lambda x: row(x, F.col("j"), F.col("outside") & (x == F.col("i")), True))
+    others = F.filter(F.sequence(F.lit(0), F.col("js") - 1), lambda x: F.col("outside") & (x != F.col("j")))
+    to = F.explode(F.concat(answers, F.transform(others, lambda x: row(F.col("i"), x, F.lit(True), False)))).alias("to")
+    dealt = left.select("key", "id", "comp", "outside", to).select("key", "id", "comp", "outside", "to.*").join(scratch.table(bodies, "bodies"), "id")
     return scratch.table(dealt.groupBy("key", "i", "j").applyInArrow(_blocks(size, percent), "u long, v long"), "second")
 
 
