@@ -31,7 +31,7 @@ from .common import bound_batches, give_back, held, load, make_room
 #: Pieces longer than LONG bytes are encoded alone and not remembered. Pieces are looked up for so many characters of text at a time.
 LONG, TOGETHER = 64, 1 << 19
 #: Up to twice so many pieces, and so many pairs of tokens, are remembered by a worker.
-PIECES, PAIRS = 120_000, 300_000
+PIECES, PAIRS = 80_000, 300_000
 
 
 class Table:
@@ -252,7 +252,7 @@ class Codec:
 
     @cached_property
     def bytes_of(self) -> list[bytes | None]:
-        return bytes_by_id(read_ranks(self.path))
+        return self.bpe.bytes_of if "bpe" in self.__dict__ else bytes_by_id(read_ranks(self.path))
 
     @cached_property
     def bpe(self) -> PrefixBPE:

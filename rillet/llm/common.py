@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+def bound_batches(spark: SparkSession, most: int = 3 << 20) -> None:
     """Texts may be very long, so Arrow batches hold few bytes: what a worker holds at once stays bounded. Plans run after this returns, so
     the session keeps the setting; a lower one stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
