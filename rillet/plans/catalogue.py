@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import half_up, normal_name, percent_text, pipe_parts, slug, uri_tail
-from ..operators import matching, windows
+from ..operators import matching, picks, windows
 from .registry import Tables, query
 from .spatial import KM, _places, places
 
@@ -73,10 +73,7 @@ def _triage(t: Tables):
 @query("""WITH a AS (SELECT c_mktsegment, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS lo, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS hi FROM customer)
 SELECT c_mktsegment, c_custkey, c_acctbal, CASE WHEN lo <= 2 THEN 'lowest' ELSE 'highest' END AS kind FROM a WHERE lo <= 2 OR hi = 1""")
 def notable_pick(t: Tables):
-    lo = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey"))
-    hi = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").desc(), "c_custkey"))
-    a = t.customer.withColumns({"lo": lo, "hi": hi}).filter("lo <= 2 or hi = 1")
-    return a.select("c_mktsegment", "c_custkey", "c_acctbal", F.when(F.col("lo") <= 2, "lowest").otherwise("highest").alias("kind"))
+    return picks.notable(t.customer, "c_mktsegment", "c_acctbal", "c_custkey")
 
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000), x AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey = 3)
@@ -127,12 +124,8 @@ def percent_labels(t: Tables):
 @query("""WITH l AS (SELECT CAST(ts AS DATE) AS date, event_type, median(abs(value - 30)) AS e FROM events GROUP BY 1, 2), b AS (SELECT date, arg_min(event_type, e) AS source, min(e) AS e FROM l GROUP BY 1), k AS (SELECT * FROM b WHERE e <= 40),
 n AS (SELECT *, CASE WHEN lag(date) OVER w = date - 1 THEN lag(source) OVER w ELSE source END AS p, CASE WHEN lead(date) OVER w = date + 1 THEN lead(source) OVER w ELSE source END AS q FROM k WINDOW w AS (ORDER BY date)) SELECT date, source, round(e, 6) AS e, p = source AND q = source AS interior FROM n""")
 def attribution_and_interior(t: Tables):
-    per = t.events.groupBy(F.to_date("ts").alias("date"), "event_type").agg(F.median(F.abs(F.col("value") - 30)).alias("e"))
-    best = per.groupBy("date").agg(F.min_by("event_type", F.struct("e", "event_type")).alias("source"), F.min("e").alias("e")).filter("e <= 40")
-    # One row a day: a window over all days is a window over a calendar.
-    w = Window.orderBy("date")
-    near = lambda f, n: F.when(F.datediff(f("date").over(w), F.col("date")) == n, f("source").over(w)).otherwise(F.col("source"))
-    return best.select("date", "source", F.round("e", 6).alias("e"), ((near(F.lag, -1) == F.col("source")) & (near(F.lead, 1) == F.col("source"))).alias("interior"))
+    per = t.events.groupBy(F.to_date("ts").alias("date"), F.col("event_type").alias("source")).agg(F.median(F.abs(F.col("value") - 30)).alias("e"))
+    return picks.interior(picks.attributed(per, 40.0)).withColumn("e", F.round("e", 6))
 
 
 @query("""SELECT s_nationkey, to_json({'nation': n_name, 'n': count(*), 'keys': list(s_suppkey ORDER BY s_suppkey)}) AS doc FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY s_nationkey, n_name""")
@@ -146,35 +139,28 @@ SELECT l_suppkey, round(CASE WHEN x > 0 AND y IS NOT NULL AND n >= 30 THEN least
 def bias_factor(t: Tables):
     pick = lambda f: F.avg(F.when(F.col("l_returnflag") == f, F.col("l_extendedprice")))
     b = t.lineitem.groupBy("l_suppkey").agg(pick("A").alias("x"), pick("R").alias("y"), F.count(F.lit(1)).alias("n"))
-    ok = (F.col("x") > 0) & F.col("y").isNotNull() & (F.col("n") >= 30)
-    return b.select("l_suppkey", F.round(F.when(ok, F.least(F.greatest(F.col("y") / F.col("x"), F.lit(0.2)), F.lit(5.0))).otherwise(1.0), 6).alias("factor"))
+    return b.select("l_suppkey", F.round(picks.bias(F.col("x"), F.col("y"), F.col("n")), 6).alias("factor"))
 
 
 @query("""WITH d AS (SELECT l_suppkey AS key, CAST(date_trunc('week', l_shipdate) AS DATE) AS week, count(DISTINCT CAST(l_shipdate AS DATE)) AS days, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
 SELECT week, round(avg(v), 6) AS mean, count(*) AS n FROM d WHERE days >= 2 GROUP BY week""")
 def weekly_totals(t: Tables):
-    d = t.lineitem.groupBy(F.col("l_suppkey").alias("key"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("week")).agg(F.countDistinct(F.to_date("l_shipdate")).alias("days"), F.sum("l_quantity").alias("v"))
-    return d.filter("days >= 2").groupBy("week").agg(F.round(F.avg("v"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+    r = t.lineitem.select(F.col("l_suppkey").alias("key"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("value"))
+    return picks.weekly(r, 2).withColumn("mean", F.round("mean", 6))
 
 
 @query("""SELECT l_suppkey AS key, list_sort(list(l_extendedprice))[CAST(least(count(*), floor(0.2 * count(*)) + 1) AS BIGINT)] AS lo, list_sort(list(l_extendedprice))[CAST(least(count(*), floor(0.8 * count(*)) + 1) AS BIGINT)] AS hi FROM lineitem GROUP BY 1 HAVING count(*) >= 26""")
 def nearest_rank_quantiles(t: Tables):
-    n = F.size("a")
-    a = t.lineitem.groupBy(F.col("l_suppkey").alias("key")).agg(F.array_sort(F.collect_list("l_extendedprice")).alias("a")).filter(n >= 26)
-    at = lambda p: F.element_at("a", F.least(n, F.floor(p * n) + 1).cast("int"))
-    return a.select("key", at(0.2).alias("lo"), at(0.8).alias("hi"))
+    return picks.nearest_rank(t.lineitem.select(F.col("l_suppkey").alias("key"), F.col("l_extendedprice").alias("value")), {"lo": 0.2, "hi": 0.8})
 
 
 @query("""WITH m AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), k AS (SELECT o_custkey, arg_max(o_orderpriority, n * 10 - CAST(left(o_orderpriority, 1) AS INTEGER)) AS mode FROM m GROUP BY 1)
 SELECT o_orderkey FROM orders JOIN k USING (o_custkey) WHERE o_orderpriority = mode""")
 def modal_cohort(t: Tables):
-    m = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    k = m.groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct("n", -F.ascii("o_orderpriority"))).alias("mode"))
-    return t.orders.join(k, "o_custkey").filter("o_orderpriority = mode").select("o_orderkey")
+    return picks.modal(t.orders, "o_custkey", "o_orderpriority").select("o_orderkey")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size, p_retailprice, ntile(1) OVER () AS z FROM part) SELECT p_partkey, CASE WHEN p_size > 40 AND p_retailprice > 1000 THEN 'severe' WHEN p_size > 40 THEN 'strong' WHEN p_size > 20 THEN 'moderate' ELSE 'none' END AS rung FROM p WHERE p_size > 20""")
 def severity_floor(t: Tables):
-    rung = F.when((F.col("p_size") > 40) & (F.col("p_retailprice") > 1000), "severe").when(F.col("p_size") > 40, "strong").when(F.col("p_size") > 20, "moderate").otherwise("none")
-    rank = F.create_map(*[F.lit(x) for pair in (("none", 0), ("moderate", 1), ("strong", 2), ("severe", 3)) for x in pair])
-    return t.part.select("p_partkey", rung.alias("rung")).filter(rank[F.col("rung")] >= 1)
+    rung = picks.first_rule(((F.col("p_size") > 40) & (F.col("p_retailprice") > 1000), "severe"), (F.col("p_size") > 40, "strong"), (F.col("p_size") > 20, "moderate"), other="none")
+    return t.part.select("p_partkey", rung.alias("rung")).filter(picks.at_least(F.col("rung"), ["none", "moderate", "strong", "severe"], "moderate"))

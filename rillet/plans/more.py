@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import correlation, haversine_km, normal_cdf
-from ..operators import resample, spatial, windows
+from ..functions import normal_cdf
+from ..operators import picks, resample, spatial, windows
 from .registry import Tables, query
 from .series import EVENTS_DAILY, GRID, events_daily
 from .spatial import KM, _places, places
@@ -14,9 +14,8 @@ from .spatial import KM, _places, places
 
 @query("""SELECT user_id AS key, CAST(ts AS DATE) AS date, round(avg(value), 6) AS mean, round(median(value), 6) AS mid, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS flagged, arg_min(event_type, event_id) AS label FROM events GROUP BY 1, 2""")
 def daily_mean_median_flag_label(t: Tables):
-    return t.events.groupBy(F.col("user_id").alias("key"), F.to_date("ts").alias("date")).agg(
-        F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("mid"), F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("flagged"), F.min_by("event_type", "event_id").alias("label")
-    )
+    e = t.events.select(F.col("user_id").alias("key"), "ts", "value", F.col("event_type").alias("label"), F.col("event_id").alias("id"))
+    return picks.day_summary(e, F.col("label") == "error").withColumns({"mean": F.round("mean", 6), "mid": F.round("mid", 6)})
 
 
 @query("""WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS r, value FROM events WHERE event_type = 'view'), b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS r, value FROM events WHERE event_type = 'click')
@@ -25,26 +24,21 @@ def provider_parity(t: Tables):
     """Two providers' values matched by rank within a key."""
     w = Window.partitionBy("user_id").orderBy("value", "event_id")
     side = lambda kind, name: t.events.filter(F.col("event_type") == kind).select("user_id", F.row_number().over(w).alias("rank"), F.col("value").alias(name))
-    off = F.abs(F.col("a") - F.col("b"))
-    out = side("view", "a").join(side("click", "b"), ["user_id", "rank"]).groupBy("user_id")
-    return out.agg(F.round(correlation(F.col("a"), F.col("b")), 8).alias("r"), F.round(F.avg(off), 6).alias("mae"), F.round(F.median(off), 6).alias("mid"), F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    out = picks.parity(side("view", "a").join(side("click", "b"), ["user_id", "rank"]).withColumnRenamed("user_id", "key"))
+    return out.select(F.col("key").alias("user_id"), F.round("r", 8).alias("r"), F.round("mae", 6).alias("mae"), F.round("mid", 6).alias("mid"), "n")
 
 
 @query(f"""WITH {GRID}, k(g, i, w) AS (VALUES (0, 1, 0.5), (0, 2, 0.3), (0, 3, 0.2), (1, 1, 0.2), (1, 2, 0.3), (1, 3, 0.5)), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY date) AS n FROM grid)
 SELECT a.key, a.date, CASE WHEN max(a.n) > 3 THEN round(sum(coalesce(b.value, 0) * w), 6) END AS recharge FROM n a JOIN k ON k.g = a.key % 2 LEFT JOIN n b ON b.key = a.key AND b.date = a.date - CAST(k.i AS INTEGER) GROUP BY a.key, a.date""")
 def kernel_by_group(t: Tables):
     """A kernel chosen by the key's group."""
-    kernels = F.when(F.col("key") % 2 == 0, F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5))).otherwise(F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)))
-    w = Window.partitionBy("key").orderBy("date")
-    past = F.collect_list(F.coalesce("value", F.lit(0.0))).over(w.rowsBetween(-3, -1))
-    weighed = F.aggregate(F.zip_with(past, kernels, lambda x, k: x * k), F.lit(0.0), lambda a, x: a + x)
-    return resample.grid(events_daily(t)).select("key", "date", F.round(F.when(F.row_number().over(w) > 3, weighed), 6).alias("recharge"))
+    kernel = F.when(F.col("key") % 2 == 0, F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5))).otherwise(F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)))
+    return picks.kernel_recharge(resample.grid(events_daily(t)), kernel, 3).select("key", "date", F.round("recharge", 6).alias("recharge"))
 
 
 @query(f"WITH {EVENTS_DAILY} SELECT key, date, round(value, 6) AS value FROM (SELECT *, max(date) OVER (PARTITION BY key) AS m FROM daily) WHERE date >= m - 10")
 def trailing_history(t: Tables):
-    last = F.max("date").over(Window.partitionBy("key"))
-    return events_daily(t).withColumn("_m", last).filter(F.col("date") >= F.date_sub("_m", 10)).select("key", "date", F.round("value", 6).alias("value"))
+    return picks.trailing(events_daily(t), 10).select("key", "date", F.round("value", 6).alias("value"))
 
 
 @query("""WITH s AS (SELECT l_suppkey AS k, min(CAST(l_shipdate AS DATE)) AS a, max(CAST(l_shipdate AS DATE)) AS b FROM lineitem GROUP BY 1)
@@ -61,24 +55,21 @@ def record_overlap(t: Tables):
 n AS (SELECT l.id AS a, r.id AS b FROM l, r WHERE l.id < r.id AND {KM} <= 60) SELECT n.a, n.b, least(x.b, y.b) - greatest(x.a, y.a) AS days FROM n JOIN s x ON x.k = n.a JOIN s y ON y.k = n.b WHERE least(x.b, y.b) - greatest(x.a, y.a) >= 2 * 365""")
 def neighbour_overlap(t: Tables):
     """All pairs within 60 km whose records share two years."""
-    s = t.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(F.min(F.to_date("l_shipdate")).alias("first"), F.max(F.to_date("l_shipdate")).alias("last"))
+    s = t.lineitem.groupBy(F.col("l_suppkey").alias("key")).agg(F.min(F.to_date("l_shipdate")).alias("first"), F.max(F.to_date("l_shipdate")).alias("last"))
     p = places(t.supplier, "s_suppkey")
-    near = spatial.within(p, p, 60.0).filter("a < b").select("a", "b")
-    own, other = s.withColumnRenamed("k", "a"), s.select(F.col("k").alias("b"), F.col("first").alias("first2"), F.col("last").alias("last2"))
-    days = F.datediff(F.least("last", "last2"), F.greatest("first", "first2")).cast("long")
-    return near.join(own, "a").join(other, "b").select("a", "b", days.alias("days")).filter("days >= 730")
+    return picks.overlaps(spatial.within(p, p, 60.0).filter("a < b").select("a", "b"), s, 730)
 
 
 @query("""SELECT a.user_id, a.event_id, b.event_id AS event_id_b, round(a.value - b.value, 6) AS off FROM events a JOIN events b ON a.user_id = b.user_id AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE) WHERE a.event_type = 'view' AND b.event_type = 'click'""")
 def paired_difference(t: Tables):
-    side = lambda kind, suffix: t.events.filter(F.col("event_type") == kind).select("user_id", F.to_date("ts").alias("date"), F.col("event_id").alias(f"event_id{suffix}"), F.col("value").alias(f"value{suffix}"))
-    return side("view", "").join(side("click", "_b"), ["user_id", "date"]).select("user_id", "event_id", "event_id_b", F.round(F.col("value") - F.col("value_b"), 6).alias("off"))
+    side = lambda kind: t.events.filter(F.col("event_type") == kind).select("user_id", F.to_date("ts").alias("date"), "event_id", "value")
+    return picks.paired(side("view"), side("click"), ["user_id", "date"]).select("user_id", "event_id", "event_id_b", F.round("off", 6).alias("off"))
 
 
 @query("""WITH l AS (SELECT p_type AS g, p_partkey FROM part) SELECT g, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS keys FROM l GROUP BY g""")
 def inverted_links(t: Tables):
-    keys = F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",")
-    return t.part.groupBy(F.col("p_type").alias("g")).agg(F.count(F.lit(1)).alias("n"), keys.alias("keys"))
+    own = picks.inverted(t.part.select(F.col("p_type").alias("g"), "p_partkey"), "g", "p_partkey")
+    return own.withColumn("keys", F.array_join(F.transform("keys", lambda x: x.cast("string")), ","))
 
 
 @query(f"""WITH {EVENTS_DAILY}, f AS (SELECT key, date + 3 AS date, value * 0.9 AS p10, value AS p50, value * 1.4 AS p90, date AS run FROM daily), j AS (SELECT f.*, d.value AS obs, row_number() OVER (PARTITION BY f.key, f.date ORDER BY run DESC) AS k FROM f JOIN daily d USING (key, date))
@@ -86,100 +77,87 @@ SELECT key, count(*) AS n, round(avg(CASE WHEN obs BETWEEN p10 AND p90 THEN 1.0
 def forecast_verification(t: Tables):
     d = events_daily(t)
     f = d.select("key", F.date_add("date", 3).alias("date"), (F.col("value") * 0.9).alias("p10"), F.col("value").alias("p50"), (F.col("value") * 1.4).alias("p90"), F.col("date").alias("run"))
-    j = windows.keep_latest(f.join(d.withColumnRenamed("value", "obs"), ["key", "date"]), ["key", "date"], [F.col("run").desc()])
-    return j.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("obs").between(F.col("p10"), F.col("p90")).cast("double")), 6).alias("coverage"), F.round(F.avg(F.abs(F.col("obs") - F.col("p50"))), 6).alias("mae")).filter("n >= 8")
+    return picks.verified(f, d).withColumns({"coverage": F.round("coverage", 6), "mae": F.round("mae", 6)})
 
 
 @query("""WITH u AS (SELECT l_partkey AS id, 'rain' AS kind, 0 AS p FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_suppkey, 'flow', 1 FROM lineitem WHERE l_linenumber = 2) SELECT id, arg_min(kind, p) AS kind FROM u GROUP BY id""")
 def unique_ids_first_type(t: Tables):
-    one = lambda n, c, kind, p: t.lineitem.filter(F.col("l_linenumber") == n).select(F.col(c).alias("id"), F.lit(kind).alias("kind"), F.lit(p).alias("p"))
-    return one(1, "l_partkey", "rain", 0).unionByName(one(2, "l_suppkey", "flow", 1)).groupBy("id").agg(F.min_by("kind", "p").alias("kind"))
+    one = lambda n, c: t.lineitem.filter(F.col("l_linenumber") == n).select(F.col(c).alias("id"))
+    return picks.first_kind((one(1, "l_partkey"), "rain"), (one(2, "l_suppkey"), "flow"))
 
 
 @query("""SELECT c_custkey, coalesce(CASE WHEN c_custkey % 5 = 0 THEN c_acctbal END, CASE WHEN c_custkey % 2 = 0 THEN 9000.0 END) AS threshold, CASE WHEN c_custkey % 5 = 0 THEN 'user' WHEN c_custkey % 2 = 0 THEN 'p90_proxy' ELSE 'none' END AS source FROM customer""")
 def threshold_resolution(t: Tables):
-    user, proxy = F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal")), F.when(F.col("c_custkey") % 2 == 0, F.lit(9000.0))
-    return t.customer.select("c_custkey", F.coalesce(user, proxy).alias("threshold"), F.when(user.isNotNull(), "user").when(proxy.isNotNull(), "p90_proxy").otherwise("none").alias("source"))
+    value, source = picks.resolved(("user", F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal"))), ("p90_proxy", F.when(F.col("c_custkey") % 2 == 0, F.lit(9000.0))))
+    return t.customer.select("c_custkey", value.alias("threshold"), source.alias("source"))
 
 
 @query("""WITH l AS (SELECT c_custkey, max(CAST(o_orderdate AS DATE)) AS d FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) SELECT CASE WHEN count(*) = count(d) THEN min(d) - 7 END AS start, count(*) - count(d) AS missing FROM l""")
 def incremental_start(t: Tables):
     """Where a refresh starts: a week before the earliest tail, and from the beginning (null) if any key has none."""
-    last = t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("d")), "c_custkey", "left").groupBy("c_custkey").agg(F.max("d").alias("d"))
-    return last.agg(F.when(F.count(F.lit(1)) == F.count("d"), F.date_sub(F.min("d"), 7)).alias("start"), (F.count(F.lit(1)) - F.count("d")).alias("missing"))
+    return picks.refresh_start(t.customer.select(F.col("c_custkey").alias("key")), t.orders.select(F.col("o_custkey").alias("key"), F.to_date("o_orderdate").alias("date")))
 
 
 @query("""WITH r AS (SELECT l_suppkey AS k, year(l_shipdate) AS run, l_linenumber AS m, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3), n AS (SELECT *, dense_rank() OVER (PARTITION BY k ORDER BY run DESC) AS d FROM r)
 SELECT k, max(v) FILTER (m = 1) AS m1, max(v) FILTER (m = 2) AS m2, max(v) FILTER (m = 3) AS m3 FROM n WHERE d = 1 GROUP BY k""")
 def newest_run_pivot(t: Tables):
-    r = t.lineitem.groupBy(F.col("l_suppkey").alias("k"), F.year("l_shipdate").alias("run"), F.col("l_linenumber").alias("m")).agg(F.sum("l_quantity").alias("v"))
-    newest = r.join(r.groupBy("k").agg(F.max("run").alias("run")), ["k", "run"])
-    return newest.groupBy("k").pivot("m", [1, 2, 3]).agg(F.max("v")).select("k", *[F.col(str(i)).alias(f"m{i}") for i in (1, 2, 3)])
+    r = t.lineitem.groupBy(F.col("l_suppkey").alias("key"), F.year("l_shipdate").alias("run"), F.col("l_linenumber").alias("month")).agg(F.sum("l_quantity").alias("value"))
+    return picks.newest_run(r, [1, 2, 3]).withColumnRenamed("key", "k")
 
 
 @query("SELECT user_id % 14 AS lead, CASE WHEN count(*) >= 2 THEN round(greatest(stddev_samp(value - 45), 1e-3), 8) END AS sd FROM events GROUP BY 1")
 def error_sd_by_lead(t: Tables):
-    sd = F.greatest(F.stddev_samp(F.col("value") - 45), F.lit(1e-3))
-    return t.events.groupBy((F.col("user_id") % 14).alias("lead")).agg(F.when(F.count(F.lit(1)) >= 2, F.round(sd, 8)).alias("sd"))
+    return picks.error_sd(t.events.select((F.col("user_id") % 14).alias("lead"), (F.col("value") - 45).alias("error"))).withColumn("sd", F.round("sd", 8))
 
 
 @query(f"""WITH g AS (SELECT floor((lon + 5) / 0.5) AS i, floor((lat - 50) / 0.5) AS j, avg(id) AS v FROM ({_places("customer", "c_custkey")}) GROUP BY 1, 2)
 SELECT CAST(a.i AS BIGINT) AS i, CAST(a.j AS BIGINT) AS j, min(b.v) AS lo, max(b.v) AS hi FROM g a JOIN g b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY 1, 2""")
 def neighbourhood_envelope(t: Tables):
-    """Extremes over a cell and the eight around it: each cell is sent to nine, so it is an aggregation and no range join."""
-    g = places(t.customer, "c_custkey").groupBy(F.floor((F.col("lon") + 5) / 0.5).alias("i"), F.floor((F.col("lat") - 50) / 0.5).alias("j")).agg(F.avg("id").alias("v"))
-    to = F.explode(F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    around = g.select(to.alias("c"), "v").groupBy("c.i", "c.j").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return around.join(g.select("i", "j"), ["i", "j"], "left_semi").select("i", "j", "lo", "hi")
+    """Extremes over a cell and the eight around it."""
+    return picks.neighbourhood(places(t.customer, "c_custkey").groupBy(F.floor((F.col("lon") + 5) / 0.5).alias("i"), F.floor((F.col("lat") - 50) / 0.5).alias("j")).agg(F.avg("id").alias("v")))
 
 
 @query(f"""WITH p AS ({_places("supplier", "s_suppkey")}), e AS (SELECT arg_max(id, lat * 1e4 - id * 1e-3) AS id FROM p UNION SELECT arg_min(id, lat * 1e4 + id * 1e-3) FROM p UNION SELECT arg_max(id, lon * 1e4 - id * 1e-3) FROM p UNION SELECT arg_min(id, lon * 1e4 + id * 1e-3) FROM p),
 c AS (SELECT avg(lat) AS lat, avg(lon) AS lon FROM p), r AS (SELECT l.id, row_number() OVER (ORDER BY round({KM}, 6), l.id) AS k FROM p l, c r WHERE l.id NOT IN (SELECT id FROM e)) SELECT id FROM e UNION ALL SELECT id FROM r WHERE k <= 8 - (SELECT count(*) FROM e)""")
 def spread_panel(t: Tables):
     """Eight places: the four extremes, then those nearest the centre."""
-    p = places(t.supplier, "s_suppkey")
-    far = p.agg(*[f("id", F.col(c) * 1e4 + s * F.col("id") * 1e-3).alias(n) for n, f, c, s in (("a", F.max_by, "lat", -1), ("b", F.min_by, "lat", 1), ("c", F.max_by, "lon", -1), ("d", F.min_by, "lon", 1))], F.avg("lat").alias("y"), F.avg("lon").alias("x")).head()
-    ids = sorted({far.a, far.b, far.c, far.d})
-    km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.lit(far.y), F.lit(far.x)), 6)
-    return p.filter(F.col("id").isin(ids)).select("id").unionByName(p.filter(~F.col("id").isin(ids)).orderBy(km, "id").limit(8 - len(ids)).select("id"))
+    return picks.spread_panel(places(t.supplier, "s_suppkey"), 8)
 
 
 @query("""SELECT p_partkey, CASE WHEN upper(p_name) LIKE '%RING%' THEN 'ring' WHEN string_split(upper(p_name), ' ')[1] = 'RED' THEN 'red' WHEN string_split(upper(p_name), ' ')[1] IN ('SMALL', 'LARGE') THEN 'sized' ELSE 'other' END AS class FROM part""")
 def keyword_classifier(t: Tables):
     u, first = F.upper("p_name"), F.element_at(F.split(F.upper("p_name"), " "), 1)
-    return t.part.select("p_partkey", F.when(u.contains("RING"), "ring").when(first == "RED", "red").when(first.isin("SMALL", "LARGE"), "sized").otherwise("other").alias("class"))
+    return t.part.select("p_partkey", picks.first_rule((u.contains("RING"), "ring"), (first == "RED", "red"), (first.isin("SMALL", "LARGE"), "sized"), other="other").alias("class"))
 
 
 @query("""WITH u AS (SELECT s_suppkey AS k, 'a' AS c, (s_suppkey * 37 % 100) / 100.0 AS v, 0 AS o FROM supplier UNION ALL SELECT s_suppkey, 'b', (s_suppkey * 53 % 100) / 100.0, 1 FROM supplier UNION ALL SELECT s_suppkey, 'c', (s_suppkey * 71 % 100) / 100.0, 2 FROM supplier)
 SELECT k, arg_max(c, v * 1000 - o * 0.001) AS strongest FROM u WHERE v >= 0.5 GROUP BY k""")
 def strongest_signal(t: Tables):
-    s = F.explode(F.array(*[F.struct(F.lit(n).alias("c"), ((F.col("s_suppkey") * m % 100) / 100.0).alias("v"), F.lit(-o).alias("o")) for o, (n, m) in enumerate((("a", 37), ("b", 53), ("c", 71)))]))
-    return t.supplier.select(F.col("s_suppkey").alias("k"), s.alias("s")).filter("s.v >= 0.5").groupBy("k").agg(F.max_by("s.c", F.struct("s.v", "s.o")).alias("strongest"))
+    s = {n: (F.col("s_suppkey") * m % 100) / 100.0 for n, m in (("a", 37), ("b", 53), ("c", 71))}
+    return t.supplier.select(F.col("s_suppkey").alias("k"), picks.strongest(s).alias("strongest")).filter("strongest is not null")
 
 
 @query("SELECT s_suppkey, round(4 + 10 * sqrt(least(greatest(s_acctbal, 0), 8000) / 8000), 8) AS radius FROM supplier")
 def marker_radius(t: Tables):
-    return t.supplier.select("s_suppkey", F.round(4 + 10 * F.sqrt(F.least(F.greatest("s_acctbal", F.lit(0)), F.lit(8000)) / 8000), 8).alias("radius"))
+    return t.supplier.select("s_suppkey", F.round(picks.marker_radius(F.col("s_acctbal"), 8000.0), 8).alias("radius"))
 
 
 @query("""WITH e AS (SELECT s_nationkey AS g, s_suppkey AS a, (s_suppkey * 7) % 100 AS b FROM supplier) SELECT g, CASE WHEN a > b THEN b ELSE a END AS a, CASE WHEN a > b THEN a ELSE b END AS b, a > b AS turned FROM e""")
 def oriented_edges(t: Tables):
-    b = F.col("s_suppkey") * 7 % 100
-    return t.supplier.select(F.col("s_nationkey").alias("g"), F.least("s_suppkey", b).alias("a"), F.greatest("s_suppkey", b).alias("b"), (F.col("s_suppkey") > b).alias("turned"))
+    return picks.oriented(t.supplier.select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("a"), (F.col("s_suppkey") * 7 % 100).alias("b")))
 
 
 @query("""WITH s AS (SELECT l_suppkey AS k, abs(avg(l_extendedprice) - 50000) AS e1, abs(median(l_extendedprice) - 50000) AS e2, abs(min(l_extendedprice) - 50000) AS e3 FROM lineitem GROUP BY 1)
 SELECT k, CASE WHEN e1 * 1.1 <= e2 AND e1 * 1.1 <= 0.5 * e3 THEN 'mean' WHEN e2 <= 0.5 * e3 THEN 'median' ELSE 'least' END AS winner FROM s""")
 def weighted_winner(t: Tables):
-    s = t.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(*[F.abs(f("l_extendedprice") - 50000).alias(n) for n, f in (("e1", F.avg), ("e2", F.median), ("e3", F.min))])
-    scored = F.array_min(F.array(F.struct((F.col("e1") * 1.1).alias("s"), F.lit(0).alias("o"), F.lit("mean").alias("n")), F.struct(F.col("e2").alias("s"), F.lit(1).alias("o"), F.lit("median").alias("n")), F.struct((F.col("e3") * 0.5).alias("s"), F.lit(2).alias("o"), F.lit("least").alias("n"))))
-    return s.select("k", scored["n"].alias("winner"))
+    s = t.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(*[F.abs(f("l_extendedprice") - 50000).alias(n) for n, f in (("mean", F.avg), ("median", F.median), ("least", F.min))])
+    return s.select("k", picks.winner({n: F.col(n) for n in ("mean", "median", "least")}, {"mean": 1.1, "least": 0.5}).alias("winner"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') ORDER BY c_acctbal DESC, c_custkey LIMIT 40")
 def capped_selection(t: Tables):
     gone = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return t.customer.filter("c_acctbal > 0").join(gone, "c_custkey", "left_anti").orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(40).select("c_custkey")
+    return picks.selection(t.customer.filter("c_acctbal > 0"), gone, "c_custkey", [F.col("c_acctbal").desc(), F.col("c_custkey")], 40).select("c_custkey")
 
 
 @query("""WITH v AS (SELECT p_partkey, nullif(p_size % 7, 0) AS x FROM part) SELECT p_partkey, row_number() OVER (ORDER BY x DESC NULLS LAST, p_partkey) AS place FROM v QUALIFY place <= 100""")
@@ -200,9 +178,7 @@ def nulls_last_order(t: Tables):
 
 @query("SELECT p_brand, p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS code FROM part")
 def station_codes(t: Tables):
-    """Codes by rank of the name; ranked over the names alone, so the window holds a register and not the rows."""
-    names = t.part.select("p_brand").distinct().withColumn("code", F.row_number().over(Window.orderBy("p_brand")) - 1)
-    return t.part.join(names, "p_brand").select("p_brand", "p_partkey", F.col("code").cast("long").alias("code"))
+    return picks.codes(t.part, "p_brand").select("p_brand", "p_partkey", "code")
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..operators import normals, resample, spatial, trend
+from ..operators import normals, picks, resample, spatial, trend
 from .registry import Tables, query
 from .series import EVENTS_DAILY, NORMALS, OLS, _before, events_daily, supplier_daily, supplier_monthly
 from .spatial import KM, _places, places
@@ -82,8 +82,7 @@ SELECT k, CASE WHEN p >= 0.5 THEN 'high' WHEN p >= 0.2 THEN 'elevated' WHEN p >
 def tier_and_urgency(t: Tables):
     p = F.avg((F.col("o_orderstatus") == "F").cast("double"))
     s = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(p.alias("p"), F.max("o_totalprice").alias("v"))
-    tier = F.when(F.col("p") >= 0.5, "high").when(F.col("p") >= 0.2, "elevated").when(F.col("p") > 0, "low").otherwise("none")
-    return s.select("k", tier.alias("tier"), F.round(100 * F.col("p") + F.least(F.col("v") / 10000, F.lit(50.0)) / 2, 9).alias("urgency"))
+    return s.select("k", picks.tier(F.col("p")).alias("tier"), F.round(picks.urgency(F.col("p"), F.col("v"), 10000.0), 9).alias("urgency"))
 
 
 @query("""WITH m AS (SELECT l_suppkey AS k, year(l_shipdate) AS y, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT k, string_agg(CASE WHEN n >= 100 THEN 'busy' WHEN n >= 60 THEN 'usual' ELSE 'quiet' END, ',' ORDER BY y) AS timeline, max(n) AS most FROM m GROUP BY k""")
