@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,3 +55,43 @@ def to_grid(lat: Column, lon: Column) -> tuple[Column, Column]:
     x, y, z = _cartesian(F.radians(lat), F.radians(lon), WGS84)
     k, (rx, ry, rz) = 1 + PPM * 1e-6, (math.radians(r / 3600) for r in TURN)
     return project(*_geographic(SHIFT[0] + x * k - y * rz + z * ry, SHIFT[1] + x * rz + y * k - z * rx, SHIFT[2] - x * ry + y * rx + z * k, AIRY))
+
+
+def _meridian(lat, xp):
+    a, b = AIRY
+    n = (a - b) / (a + b)
+    d, u = lat - LAT0, lat + LAT0
+    return b * F0 * ((1 + n + 1.25 * (n**2 + n**3)) * d - (3 * (n + n**2) + 2.625 * n**3) * xp.sin(d) * xp.cos(u) + 1.875 * (n**2 + n**3) * xp.sin(2 * d) * xp.cos(2 * u) - 35 / 24 * n**3 * xp.sin(3 * d) * xp.cos(3 * u))
+
+
+def from_grid(east: Column, north: Column) -> Column:
+    """struct<lat, lon> in WGS84 degrees: ``to_grid`` turned round, by repeated correction in vectors, as the projection has no closed inverse."""
+    @F.pandas_udf("struct<lat: double, lon: double>")
+    def back(e: pd.Series, n: pd.Series) -> pd.DataFrame:
+        e, n = e.to_numpy(float), n.to_numpy(float)
+        a, b = AIRY
+        e2 = 1 - (b / a) ** 2
+        lat = LAT0 + (n - N0) / (a * F0)
+        for _ in range(12):
+            lat = lat + (n - N0 - _meridian(lat, np)) / (a * F0)
+        s, c, t = np.sin(lat), np.cos(lat), np.tan(lat)
+        v = a * F0 / np.sqrt(1 - e2 * s * s)
+        rho = a * F0 * (1 - e2) / (1 - e2 * s * s) ** 1.5
+        eta, d = v / rho - 1, e - E0
+        own = lat - t / (2 * rho * v) * d**2 + t / (24 * rho * v**3) * (5 + 3 * t**2 + eta - 9 * t**2 * eta) * d**4 - t / (720 * rho * v**5) * (61 + 90 * t**2 + 45 * t**4) * d**6
+        lon = LON0 + d / (c * v) - d**3 / (6 * c * v**3) * (v / rho + 2 * t**2) + d**5 / (120 * c * v**5) * (5 + 28 * t**2 + 24 * t**4)
+        # To the other ellipsoid: the shift's inverse by the same parameters with their signs turned, corrected until the way there gives where we began.
+        w = AIRY[0] / np.sqrt(1 - e2 * np.sin(own) ** 2)
+        goal = np.stack([w * np.cos(own) * np.cos(lon), w * np.cos(own) * np.sin(lon), (1 - e2) * w * np.sin(own)])
+        k, (rx, ry, rz) = 1 + PPM * 1e-6, (math.radians(r / 3600) for r in TURN)
+        turn = np.array([[k, -rz, ry], [rz, k, -rx], [-ry, rx, k]])
+        x, y, z = np.linalg.solve(turn, goal - np.array(SHIFT)[:, None])
+        a, b = WGS84
+        e2 = 1 - (b / a) ** 2
+        p = np.hypot(x, y)
+        lat = np.arctan2(z, p * (1 - e2))
+        for _ in range(6):
+            lat = np.arctan2(z + e2 * a / np.sqrt(1 - e2 * np.sin(lat) ** 2) * np.sin(lat), p)
+        return pd.DataFrame({"lat": np.degrees(lat), "lon": np.degrees(np.arctan2(y, x))})
+
+    return back(east, north)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vapour_pressure, wind_at_2m
 
@@ -83,3 +86,39 @@ def penman_monteith(tmin: Column, tmax: Column, dew: Column, wind10: Column, sun
     short = 0.77 * sun
     lack = (vapour_pressure(tmin) + vapour_pressure(tmax)) / 2 - vapour
     return F.greatest((0.408 * slope * (short - long_waves) + gamma * 900 / (mean + 273) * wind * lack) / (slope + gamma * (1 + 0.34 * wind)), F.lit(0.0))
+
+
+def lower_gamma(n: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised lower incomplete gamma function, by its series below n + 1 and a continued fraction above (published forms)."""
+    n, x = np.asarray(n, float), np.maximum(np.asarray(x, float), 1e-300)
+    scale = np.exp(-x + n * np.log(x) - np.array([math.lgamma(v) for v in n]))
+    term = total = 1 / n
+    for k in range(1, 400):
+        term = term * x / (n + k)
+        total = total + term
+    b = x + 1 - n
+    c, d = np.full_like(x, 1e300), 1 / np.where(np.abs(b) < 1e-300, 1e-300, b)
+    h = d.copy()
+    for i in range(1, 400):
+        a, b = -i * (i - n), b + 2
+        d = 1 / np.where(np.abs(a * d + b) < 1e-300, 1e-300, a * d + b)
+        c = b + a / c
+        c = np.where(np.abs(c) < 1e-300, 1e-300, c)
+        h = h * d * c
+    return np.where(x < n + 1, scale * total, 1 - scale * h)
+
+
+@F.pandas_udf(T.DoubleType())
+def memory_days(n: pd.Series, a: pd.Series, alpha: pd.Series) -> pd.Series:
+    """How long a level's anomaly lasts: the later of the time by which a Gamma response (shape n, scale a) has given 95 %, by bisection, and the noise's own
+    ``alpha``; 30 to 2000 days, and 30 where neither is known."""
+    k, scale, noise = n.to_numpy(float), a.to_numpy(float), np.nan_to_num(alpha.to_numpy(float), nan=0.0, posinf=0.0)
+    sound = np.isfinite(k) & np.isfinite(scale) & (k > 0) & (scale > 0)
+    k = np.where(sound, k, 1.0)
+    low, high = np.zeros(len(k)), k + 60 * np.sqrt(k) + 60
+    for _ in range(80):
+        mid = (low + high) / 2
+        under = lower_gamma(k, mid) < 0.95
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    days = np.maximum(np.where(sound, scale * high, 0.0), noise)
+    return pd.Series(np.clip(np.where(days > 0, days, 30.0), 30.0, 2000.0), index=n.index)

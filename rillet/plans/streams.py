@@ -46,9 +46,14 @@ def bridge_splice(t: Tables):
     return incremental.bridge(d.filter("date <= date'2024-01-20'"), f, ["key", "date"]).select("key", "date", F.round("value", 6).alias("value"))
 
 
-@query("SELECT c_custkey AS key, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+_days = lambda what: f"SELECT DISTINCT CAST(ts AS DATE) + CAST(user_id * 100 AS INTEGER) AS key FROM events WHERE event_type = '{what}'"
+
+
+@query(f"WITH a AS ({_days('view')}), b AS ({_days('error')}) SELECT key, 'left' AS side FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT key, 'right' FROM b WHERE key NOT IN (SELECT key FROM a)")
 def coverage_difference(t: Tables):
-    return incremental.coverage_difference(t.customer.withColumnRenamed("c_custkey", "key"), t.orders.withColumnRenamed("o_custkey", "key"), "key")
+    """Days (of users, told apart by a hundred days each) on which one kind of event alone was met."""
+    days = lambda what: t.events.filter(F.col("event_type") == what).select(F.date_add(F.to_date("ts"), (F.col("user_id") * 100).cast("int")).alias("key"))
+    return incremental.coverage_difference(days("view"), days("error"), "key")
 
 
 @query("""SELECT s_suppkey, CAST(d AS DATE) AS "from", CAST(least(d + INTERVAL 1 YEAR, DATE '1998-06-15' + INTERVAL 0 DAY) AS DATE) AS "to" FROM supplier, generate_series(DATE '1995-01-01', DATE '1998-06-15', INTERVAL 1 YEAR) g(d)""")
