@@ -17,6 +17,11 @@ SHIFT, PPM, TURN = (-446.448, 125.157, -542.060), 20.4894, (-0.1502, -0.2470, -0
 F0, LAT0, LON0, E0, N0 = 0.9996012717, math.radians(49), math.radians(-2), 400000.0, -100000.0
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: an expression that names it many times would else hold it as often."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _cartesian(lat: Column, lon: Column, axes) -> tuple[Column, Column, Column]:
     a, b = axes
     e2 = 1 - (b / a) ** 2
@@ -30,7 +35,7 @@ def _geographic(x: Column, y: Column, z: Column, axes, rounds: int = 4) -> tuple
     p = F.sqrt(x * x + y * y)
     lat = F.atan2(z, p * (1 - e2))
     for _ in range(rounds):
-        lat = F.atan2(z + e2 * a / F.sqrt(1 - e2 * F.pow(F.sin(lat), 2)) * F.sin(lat), p)
+        lat = _let(F.sin(lat), lambda s: F.atan2(z + e2 * a / F.sqrt(1 - e2 * s * s) * s, p))
     return lat, F.atan2(y, x)
 
 
@@ -54,7 +59,10 @@ def to_grid(lat: Column, lon: Column) -> tuple[Column, Column]:
     """(east, north) of WGS84 degrees."""
     x, y, z = _cartesian(F.radians(lat), F.radians(lon), WGS84)
     k, (rx, ry, rz) = 1 + PPM * 1e-6, (math.radians(r / 3600) for r in TURN)
-    return project(*_geographic(SHIFT[0] + x * k - y * rz + z * ry, SHIFT[1] + x * rz + y * k - z * rx, SHIFT[2] - x * ry + y * rx + z * k, AIRY))
+    moved = F.struct((SHIFT[0] + x * k - y * rz + z * ry).alias("x"), (SHIFT[1] + x * rz + y * k - z * rx).alias("y"), (SHIFT[2] - x * ry + y * rx + z * k).alias("z"))
+    place = _let(moved, lambda m: F.struct(*[c.alias(n) for c, n in zip(_geographic(m["x"], m["y"], m["z"], AIRY), ("lat", "lon"))]))
+    east, north = _let(place, lambda g: project(g["lat"], g["lon"])[0]), _let(place, lambda g: project(g["lat"], g["lon"])[1])
+    return east, north
 
 
 def _meridian(lat, xp):

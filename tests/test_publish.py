@@ -57,7 +57,8 @@ def test_grid_and_back(spark):
     rows = [(float(a), float(b)) for a, b in zip(rng.uniform(50, 58, 50), rng.uniform(-6, 1.5, 50))]
     d = spark.createDataFrame(rows, "lat double, lon double")
     east, north = geodesy.to_grid(F.col("lat"), F.col("lon"))
-    for r in d.withColumns({"e": east, "n": north}).withColumn("x", geodesy.from_grid(F.col("e"), F.col("n"))).collect():
+    there = spark.createDataFrame([tuple(r) for r in d.select("lat", "lon", east, north).collect()], "lat double, lon double, e double, n double")
+    for r in there.withColumn("x", geodesy.from_grid(F.col("e"), F.col("n"))).collect():
         assert abs(r.x.lat - r.lat) < 2e-6 and abs(r.x.lon - r.lon) < 2e-6
 
 
