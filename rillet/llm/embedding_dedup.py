@@ -10,7 +10,8 @@
 4. Answers are verified by the cosine in double precision. A batch gives each query's number of links, and of the links a spanning
    forest only, at most one row a vertex: components come out the same and no group is expanded into pairs.
 
-Shards are as many as tasks that run at once, and more when PER_SHARD vectors or SHARD_BYTES are reached, so memory is bounded at any size.
+There are SHARDS shards, fewer while each is small enough to be compared whole, and more when PER_SHARD vectors or SHARD_BYTES are reached, so memory is
+bounded at any size.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of different
 length link with nothing; a row with a null id takes no part, its component is null and it is kept; equal vectors link; an id that has several
@@ -188,7 +189,7 @@ def near_copies(table: DataFrame, id: str = "vec_id", vector: str = "embedding",
     points = points.join(F.broadcast(again) if is_small(again) else again, "least", "left").withColumn("id", number).drop("least", "first")
     points = scratch.table(points, "points")
     size = points.agg(F.count(F.lit(1)), F.max("dim")).head()
-    shards = max(SHARDS, -(-size[0] // PER_SHARD), -(-size[0] * 8 * (size[1] or 1) // SHARD_BYTES))
+    shards = max(1, min(SHARDS, -(-size[0] // max(1, SCAN * BEAM))), -(-size[0] // PER_SHARD), -(-size[0] * 8 * (size[1] or 1) // SHARD_BYTES))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salts = max(1, min(-(-tasks // shards), -(-size[0] // 1024)))
     own = points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
