@@ -13,7 +13,7 @@ with a third of all rows is many chunks. Random choices are hashes of (source, l
 
 Defined cases: a null text has no words; an empty document is taken with 0 words; documents with a null source are a source, the last
 in order; ties in size fly by id, null ids first; rows that repeat an id are documents of their own here, while ``mixed``, which joins by id,
-takes them alike; an empty table gives an empty result; columns that clash with the added ones give way.
+takes them alike; a document that holds most of its source's words limits how near the source can come to its target, as copies are whole; an empty table gives an empty result; columns that clash with the added ones give way.
 """
 
 from __future__ import annotations

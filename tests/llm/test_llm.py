@@ -666,3 +666,87 @@ def test_embedding_dedup_ids_with_several_vectors(spark, monkeypatch):
     got = embedding_dedup.near_copies(df)
     assert got.columns == ["vec_id", "embedding", "label", "n_links", "component_id", "kept"]
     assert sorted((r.label, r.n_links, r.component_id, r.kept) for r in got.collect()) == [("p", 1, 5, True), ("q", 1, 5, True), ("r", 1, 5, False), ("s", 1, 5, False), ("t", 2, 4, False), ("t", 2, 4, False), ("u", 2, 4, True)]
+
+
+def label_model_by_hand(votes, start, rounds):
+    """EM over voters as plain loops: (prior, fires by label, share by voter, posterior by row)."""
+    n, m = len(votes), len(votes[0])
+    post = list(start)
+    for _ in range(rounds):
+        mass = [sum(1 - p for p in post), sum(post)]
+        mean = [[sum((1 - p if k == 0 else p) * v[j] for p, v in zip(post, votes)) / mass[k] for j in range(m)] for k in (0, 1)]
+        left = [[v[j] - ((1 - p) * mean[0][j] + p * mean[1][j]) for j in range(m)] for p, v in zip(post, votes)]
+        sd = [(sum(r[j] ** 2 for r in left) / n) ** 0.5 + 1e-9 for j in range(m)]
+        corr = [[sum(r[i] * r[j] for r in left) / n / sd[i] / sd[j] for j in range(m)] for i in range(m)]
+        share = [1 / max(1.0, sum(corr[i][j] for i in range(m) if corr[i][j] > 0.3)) for j in range(m)]
+        prior = (mass[1] + 1) / (n + 2)
+        fires = [[(mean[k][j] * mass[k] + 0.5) / (mass[k] + 1) for j in range(m)] for k in (0, 1)]
+        post = []
+        for v in votes:
+            logit = np.log(prior / (1 - prior)) + sum(share[j] * np.log(fires[1][j] / fires[0][j]) for j in range(m) if v[j])
+            post.append(1 / (1 + np.exp(-min(30, max(-30, logit)))))
+    return prior, fires, share, post
+
+
+def test_label_model_by_hand():
+    rng = random.Random(21)
+    truth = [rng.random() < 0.3 for _ in range(120)]
+    votes = [[int(rng.random() < (0.7 if t else 0.05)), 0, int(rng.random() < (0.5 if t else 0.1)), int(rng.random() < 0.2)] for t in truth]
+    for v in votes:
+        v[1] = v[0]  # the same voter again
+    start = [0.9 if v[0] or v[2] else 0.02 for v in votes]
+    model = toxicity.LabelModel().fit(np.array(votes, np.uint8), np.array(start), rounds=4)
+    prior, fires, share, post = label_model_by_hand(votes, start, 4)
+    assert abs(model.prior - prior) < 1e-9 and np.allclose(model.fires, fires) and np.allclose(model.share, share) and np.allclose(model.posterior(np.array(votes)), post)
+    assert abs(share[0] - share[1]) < 1e-9 and share[0] < 0.6 and share[3] > 0.9
+
+
+def test_toxicity_edges(spark):
+    """Rows that repeat, labels that contradict each other, clashing columns, a very long text, no rows at all."""
+    rng = random.Random(22)
+    ids = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5]
+    bad = [i for i in ids if i % 4 == 0]
+    text = lambda i: words(rng, 30) + (" vile nasty" if i % 4 == 0 else "")
+    rows = [(i, text(i), 9.0, "x") for i in ids]
+    rows += [(ids[0], rows[0][1], 9.0, "x"), (9_001, "vile nasty " * 100_000, None, None), (9_002, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, SCORE double, predicted string")
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in ids] + [(bad[0], 0), (None, 1), (ids[1], None)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+    again = toxicity.train(df.repartition(5), labels.repartition(3))
+    assert model["names"] == again["names"] and np.allclose(model["weights"], again["weights"], atol=1e-6)
+    out = toxicity.score(df, model)
+    assert out.columns == ["doc_id", "text", "score", "held_out", "predicted"] and out.count() == len(rows)
+    got = out.collect()
+    assert len({r.score for r in got if r.doc_id == ids[0]}) == 1 and by_id(out)[9_001].predicted == 1 and by_id(out)[9_002].predicted == 0
+    assert toxicity.score(df.limit(0), toxicity.train(df.limit(0), labels)).count() == 0
+
+
+def test_mix_edges(spark):
+    """A third of the rows without an id, a very long text, clashing columns."""
+    rows = [(None if i % 3 == 0 else i, "w " * (1 + i % 50), "a" if i % 2 else "b") for i in range(6000)] + [(9_999, "w " * 20_000, "a")]
+    df = docs(spark, rows).withColumn("SIZE", F.lit("x"))
+    got = mixing.decide(df).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target and all(r.copies <= 2 for r in own)
+    again = mixing.decide(df.repartition(9)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def test_lines_and_urls_edges(spark):
+    long = "x" * 3_000_000
+    rows = [(i, f"{long}\nown {i}", "a") for i in range(6)] + [(7, None, None), (7, None, None)]
+    got = line_dedup.drop_boilerplate(docs(spark, rows), ratio=0.5).filter("source = 'a'").collect()
+    assert {r.text for r in got} == {f"own {i}" for i in range(6)}
+    d = spark.createDataFrame([(1, "http://com/en/x", "old", 1), (1, "http://com/en/x", "old", 1), (2, "http://a.com/" + "y/" * 300_000, None, 2), (3, None, None, None)], "page_id long, url string, HOST string, verdict int")
+    out = url_filter.judge(d)
+    assert [c for c in out.columns if c.lower() == "host"] == ["host"] and sorted((r.page_id, r.verdict) for r in out.collect()) == [(1, "block"), (1, "block"), (2, "allow"), (3, "allow")]
+    assert url_filter.judge(d.limit(0)).count() == 0
+
+
+def test_near_dedup_of_a_very_long_text(spark):
+    rng = random.Random(23)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
+    got = by_id(near_dedup.near_copies(docs(spark, [(1, long, "s"), (2, long.upper() + " tail", "s"), (3, "w1 w2", "s")]), size=3, threshold=0.85))
+    assert (got[2].component_id, got[3].component_id, got[1].n_shingles) == (1, 3, 199_998)

@@ -47,3 +47,17 @@ def test_stages_on_nothing(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
         assert docs.count() == 0
+
+
+def test_stages_on_nulls_and_repeats(spark, sf_dir):
+    """Nulls in any column, rows that repeat, another column: every stage keeps the columns and does not fail."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    some = docs.collect()
+    rows = [*some, some[0], (None, some[1].text + " x", "en", None, None), (None, None, None, None, None), (7_000_001, "", None, "src0", 0), (7_000_002, some[2].text, None, None, None)]
+    docs = spark.createDataFrame([tuple(r) for r in rows], docs.schema)
+    columns, scratch = docs.columns, Scratch(spark, "odd")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        assert name == "byte_bpe" or docs.columns == columns
+        assert docs.count() > 30
+    assert {r.doc_id for r in docs.select("doc_id").collect()} <= {r[0] for r in rows}
