@@ -9,7 +9,8 @@ log P(language | all) = log P(language | host) + log P(text | language) + log P(
   Counts are sums of the texts' own posteriors, by grouped aggregation, and a row's own share is taken out of its host's before it is judged.
 
 One class more stands for all that is in no known language: other languages and noise. Its trigrams are half the square roots of all languages' shares
-(letters that go together anywhere) and half alike, its share is UNKNOWN before anything is seen, and it has counts by host and tag as languages have.
+(letters that go together anywhere) and half alike, its share is UNKNOWN before anything is seen, and it has counts by host and tag as languages have. Of any language's own
+trigrams STRAY are of that kind too, so that addresses, keys and names within a text don't outvote its words.
 
 A row is rejected if its text holds no letters, or if that class is likelier than all languages together. The fit uses a documented bound of labelled
 rows, TRAIN a language (by a hash of the id, about so many); all counts cover all rows.
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, is_small, load, make_room
 
-TRAIN, BUCKETS, EFFECTIVE, SMOOTH, UNKNOWN, TAG = 3000, 1 << 14, 100, 20.0, 0.01, 0.5
+TRAIN, BUCKETS, EFFECTIVE, SMOOTH, UNKNOWN, STRAY, TAG = 3000, 1 << 14, 100, 20.0, 0.01, 0.1, 0.5
 ADDED = ("language", "posterior", "kept")
 #: Everything in ASCII that is no letter becomes a blank.
 BLANK = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -70,7 +71,8 @@ def log_shares(counts: np.ndarray) -> np.ndarray:
     smooth = counts + 0.5
     shares = smooth / smooth.sum(1, keepdims=True)
     root = np.sqrt(shares.mean(0))
-    return np.log(np.concatenate([shares, [root / root.sum() / 2 + 0.5 / BUCKETS]])).T.copy()
+    unknown = root / root.sum() / 2 + 0.5 / BUCKETS
+    return np.log(np.concatenate([(1 - STRAY) * shares + STRAY * unknown, [unknown]])).T.copy()
 
 
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", language: str = "lang") -> dict:
