@@ -5,7 +5,8 @@
    silence, which speaks when no lexicon voter does, stand beside them.
 2. A generative label model takes the votes alone: each round of EM estimates how often each voter fires under either label (its accuracy) and, from
    what the votes have in common beyond the label, their correlations; voters that say the same share one vote's weight.
-3. A logistic classifier over terms is trained on the model's posterior labels, and scores every whole text in one scan.
+3. A logistic classifier over terms is trained on the model's posterior labels, and scores every whole text in one scan. Its logits are brought to
+   the scale of the sample's labels by two numbers, which leaves the order of scores as it is.
 
 Only the sample's labels are used, from rows whose crc32(id as text) mod 5 isn't 0. The sample has TRAIN rows at most (the first by a hash
 of the id), a documented bound; what is collected from it is bounded too, counts of TERMS terms and a row of term numbers a document.
@@ -96,7 +97,7 @@ def _describe(names: list[str]):
                 text = text.as_py() or ""
                 ids.append(sorted(known.of(text)))
                 shares.append([len(p.findall(text)) > most * max(1, len(text)) for _, p, most in PATTERNS])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.bool_()))], ["terms", "patterns"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.bool_())), b.column("toxic")], ["terms", "patterns", "toxic"])
 
     return describe
 
@@ -142,6 +143,24 @@ def logistic(rows: list[list[int]], target: np.ndarray, n: int, ridge: float = 0
     return w, b
 
 
+def calibration(logit: np.ndarray, label: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift that make a logit a probability of the label, by Newton's steps on a logistic regression of one number; both labels weigh alike in
+    sum, so that 0.5 is where neither is likelier than its share. The order of scores stays: without a rising slope the slope is 1."""
+    share = label.mean()
+    weight = np.where(label > 0, 0.5 / share, 0.5 / (1 - share))
+    x = np.stack([logit, np.ones(len(logit))], 1)
+    w = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (weight * (p - label)) + (w - np.array([1.0, 0.0]))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2)
+        step = np.linalg.solve(h, g)
+        w = w - step * min(1.0, 5 / np.abs(step).max())
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
     """names and weights of terms, constant; and the label model's voters for inspection."""
     scratch = Scratch(docs.sparkSession, "toxic")
@@ -161,10 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     best = counts.select("term", odds.alias("odds"), (odds / sd).alias("z"), "pos", "neg").orderBy(F.abs(odds / sd).desc(), "term").limit(TERMS).collect()
     names = list(dict.fromkeys([*(r.term for r in best), *INSULTS]))
     told = sample.select("text", "toxic").repartition(8).select("text", "toxic")
-    rows, patterns = [], []
-    for r in told.select("text").mapInArrow(_describe(names), "terms array<int>, patterns array<boolean>").toLocalIterator():
+    rows, patterns, toxic = [], [], []
+    for r in told.mapInArrow(_describe(names), "terms array<int>, patterns array<boolean>, toxic int").toLocalIterator():
         rows.append(list(r[0]))
         patterns.append(list(r[1]))
+        toxic.append(r[2])
     # Clear lexicon voters: nearly always with the label, and surely not by chance.
     mined = [i for i, r in enumerate(best) if r.z >= SURE and r.pos >= PRECISION * (r.pos + r.neg)][:VOTERS]
     lexicon = sorted({*mined, *(names.index(w) for w in INSULTS)})
@@ -177,6 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     votes[:, -1] = ~fired
     model = LabelModel().fit(votes, np.where(fired, 0.9, 0.02))
     weights, constant = logistic(rows, model.posterior(votes), len(names))
+    slope, shift = calibration(np.array([weights[r].sum() + constant for r in rows]), np.array(toxic))
+    weights, constant = slope * weights, slope * constant + shift
     voters = [*(names[i] for i in lexicon), *(p[0] for p in PATTERNS), "silence"]
     return {"names": names, "weights": weights.tolist(), "constant": constant, "voters": list(zip(voters, model.fires.T.tolist(), model.share.tolist()))}
 

@@ -750,3 +750,15 @@ def test_near_dedup_of_a_very_long_text(spark):
     long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
     got = by_id(near_dedup.near_copies(docs(spark, [(1, long, "s"), (2, long.upper() + " tail", "s"), (3, "w1 w2", "s")]), size=3, threshold=0.85))
     assert (got[2].component_id, got[3].component_id, got[1].n_shingles) == (1, 3, 199_998)
+
+
+def test_scores_are_brought_to_the_labels_scale():
+    rng = np.random.default_rng(3)
+    label = (rng.random(4000) < 0.1).astype(int)
+    logit = np.where(label, -2.0, -4.0) + 0.5 * rng.normal(size=4000)
+    slope, shift = toxicity.calibration(logit, label)
+    told = slope * logit + shift >= 0
+    assert slope > 1 and told[label == 1].mean() > 0.95 and told[label == 0].mean() < 0.05
+    assert toxicity.calibration(-logit, label) == (1.0, 0.0)
+    slope, shift = toxicity.calibration(np.array([-1.0, 1.0, 1.1]), np.array([0, 1, 1]))
+    assert 0 < slope < 10
