@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, toxicity, url_filter
+from . import bpe, embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, phrases, toxicity, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.query,
     "op9_minhash_near_dedup": near_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op13_phrase_mining": phrases.query,
 }
 
 SQL = {
     "op6_line_dedup": line_dedup.SQL,
     "op7_url_filter": url_filter.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op13_phrase_mining": phrases.SQL,
 }
