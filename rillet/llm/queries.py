@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversations, embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, phrases, toxicity, url_filter
+from . import bpe, collision, conversations, embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, phrases, toxicity, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.query,
     "op9_minhash_near_dedup": near_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_nearest_vectors": collision.query,
     "op12_conversation_repair": conversations.query,
     "op13_phrase_mining": phrases.query,
 }
