@@ -1,15 +1,16 @@
 """Phrase collocation mining by hierarchical pair naming.
 
-1. Tasks cut their texts into blocks of about WORDS words. A block is a sequence of local word numbers, with a bit at the start of each piece,
-   next to one row for each word in it with its count. Nothing is exploded into one row a word.
-2. Counts are added up over all blocks; what occurs ``least`` times gets a global id, and the ids are joined back to the blocks' rows.
+1. Tasks cut their texts into blocks of about WORDS words. A block is a sequence of local word numbers, with a bit at the start of each piece, and
+   lists of its words with their counts, one list for each owner (a hash of the word) that has any. Nothing is exploded into one row a word.
+2. An owner puts the lists of all blocks together. What occurs ``least`` times gets a global id, and each block is told the ids of what it has.
 3. A block meets its ids: neighbours that both have one are a pair, a pair of (k-1)-grams that overlap is a k-gram, and the sequence of
-   pairs is the next level's. Pairs are counted and named as words were. A pair's parents are its two (k-1)-grams.
+   pairs is the next level's. Pairs are listed, counted and named as words were. A pair's parents are its two (k-1)-grams.
 4. Following the parents gives the counts of all beginnings and ends of a phrase, so of each cut, one join a level. A phrase lies inside a
    longer one with at least some count just when it is a parent of one: counts never rise with length.
 
-What is held at once is a block; there is no dictionary in any worker. Words and pairs are compared by value. A pair that stands everywhere is one
-row a block. The blocks' tables are in the shared folder; each level's go when the next is there.
+There is no dictionary in any worker: what is held at once is a block or one owner's lists, 1 / spark.sql.shuffle.partitions of all. Lists are sorted and
+packed; a word or pair that stands everywhere is one entry a block. Words and pairs are compared by value. The tables of a level are in the shared
+folder and go when the next is there.
 
 Defined cases: a null text is empty; a null language is ``und``, together with the language of that name; rows that repeat count as often as
 they occur; only A-Z are lower-cased; columns besides text and language are not read; an empty table gives an empty result. A text of more than
@@ -23,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, is_small, load
+from .common import Scratch, load
 
-LONGEST, LEAST, INSIDE, TOP, WORDS = 5, 100, 100, 2000, 4 << 20
+LONGEST, LEAST, INSIDE, TOP, WORDS = 5, 100, 100, 2000, 3 << 20
 _START = np.uint32(1 << 31)
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LEVEL = "block long, seq binary, idx int, left long, right long, count long"
+_LEVEL = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("owner", pa.int32()), ("lang", pa.string()), ("base", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("counts", pa.binary()), ("total", pa.int64())])
+_NAMED = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("ids", pa.binary()), ("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("left", pa.int64()), ("right", pa.int64()), ("a", pa.int64())])
+_MIX = np.random.default_rng(1).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -56,66 +59,161 @@ def _sequence(numbers: np.ndarray, start: np.ndarray) -> bytes:
     return (numbers.astype(np.uint32) | np.where(start, _START, np.uint32(0))).tobytes()
 
 
-def _blocks(batches):
-    """Texts as blocks: a row with the sequence, and a row for each (language, word)."""
-    import pandas as pd
-    from pyspark import TaskContext
-
-    serial, held, n = 0, [], 0
-    schema = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("idx", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("count", pa.int64())])
-
-    def close():
-        encoded = pa.chunked_array([w for w, *_ in held]).unify_dictionaries()
-        langs = pa.chunked_array([x for *_, x in held]).unify_dictionaries()
-        known, spoken = encoded.chunk(0).dictionary, langs.chunk(0).dictionary
-        at = lambda chunked: np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in chunked.chunks])
-        codes, pairs = pd.factorize(at(encoded).astype(np.int64) * len(spoken) + np.repeat(at(langs), np.concatenate([c for _, _, c, _ in held])))
-        block, k = (TaskContext.get().partitionId() << 32) + serial, len(pairs)
-        word = known.take(pa.array(pairs // len(spoken)))
-        word = pa.Array.from_buffers(pa.string(), len(word), word.buffers(), offset=word.offset)
-        yield pa.RecordBatch.from_pylist([{"block": block, "seq": _sequence(codes, np.concatenate([s for _, s, *_ in held]))}], schema)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.nulls(k, pa.binary()), pa.array(np.arange(k, dtype=np.int32)), spoken.take(pa.array(pairs % len(spoken))), word, pa.array(np.bincount(codes, minlength=k))], schema=schema)
-
-    for b in batches:
-        words, start, each = words_of(b.column("text"))
-        if len(words):
-            held.append((words.dictionary_encode(), start, each, b.column("lang").dictionary_encode()))
-            n += len(words)
-        if n >= WORDS:
+def _pack(a: np.ndarray) -> bytes:
+    """Whole numbers, their bytes by significance, compressed."""
+    return pa.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: list, n: list[int], kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    parts = [np.frombuffer(pa.decompress(b, width * k, codec="zstd"), np.uint8).reshape(width, k).T for b, k in zip(packed, n)]
+    return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel() if parts else np.empty(0, kind)
+
+
+def _rows(schema: pa.Schema, n: int, /, **columns) -> pa.Table:
+    return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _level(block: int, seq: bytes, lists: list[dict]) -> pa.Table:
+    first = _rows(_LEVEL, 1, block=[block], seq=[seq])
+    return pa.concat_tables([first, _rows(_LEVEL, len(lists), block=[block] * len(lists), **{k: [x[k] for x in lists] for k in lists[0]})]) if lists else first
+
+
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal keys."""
+    new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+    return list(zip([0, *new.tolist()], [*new.tolist(), len(keys[0])]))
+
+
+def _owners(words: pa.Array, salt: np.ndarray, owners: int) -> np.ndarray:
+    """A number below ``owners`` for each word and salt, the same everywhere."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    starts = ends[:-1] - ends[0]
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(ends))
+    mixed = np.add.reduceat(data * _MIX[place & 255] * (place.astype(np.uint64) + np.uint64(1)), starts) + salt * _MIX[0]
+    return ((mixed >> np.uint64(33)) % np.uint64(owners)).astype(np.int32)
+
+
+def _blocks(owners: int):
+    """Texts as blocks: a row with the sequence, and a row for each owner and language with the words' bytes, lengths and counts."""
+
+    def blocks(batches):
+        import zlib
+
+        import pandas as pd
+        from pyspark import TaskContext
+
+        serial, held, n = 0, [], 0
+
+        def close() -> list[pa.RecordBatch]:
+            encoded = pa.chunked_array([w for w, *_ in held]).unify_dictionaries()
+            spoken = pa.chunked_array([x for *_, x in held]).unify_dictionaries()
+            known, langs = encoded.chunk(0).dictionary, spoken.chunk(0).dictionary.to_pylist()
+            at = lambda chunked: np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in chunked.chunks])
+            codes, pairs = pd.factorize(at(encoded).astype(np.int64) * len(langs) + np.repeat(at(spoken), np.concatenate([c for _, _, c, _ in held])))
+            lang, words = pairs % len(langs), known.take(pa.array(pairs // len(langs)))
+            owner = _owners(words, np.array([zlib.crc32(x.encode()) for x in langs], np.uint64)[lang], owners)
+            order = np.lexsort((lang, owner))
+            rank, counts = np.empty(len(order), np.int64), np.bincount(codes, minlength=len(order))[order]
+            rank[order] = np.arange(len(order))
+            words, lang, owner, lists = words.take(pa.array(order)), lang[order], owner[order], []
+            ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1]
+            for i, j in _runs(owner, lang):
+                keys = pa.compress(words.buffers()[2][int(ends[i]) : int(ends[j])], codec="zstd", asbytes=True)
+                lists.append({"owner": owner[i], "lang": langs[lang[i]], "base": i, "n": j - i, "keys": keys, "more": _pack(np.diff(ends[i : j + 1])), "counts": _pack(counts[i:j]), "total": counts[i:j].sum()})
+            return _level((TaskContext.get().partitionId() << 32) + serial, _sequence(rank[codes], np.concatenate([s for _, s, *_ in held])), lists).to_batches()
+
+        for b in batches:
+            words, start, each = words_of(b.column("text"))
+            if len(words):
+                held.append((words.dictionary_encode(), start, each, b.column("lang").dictionary_encode()))
+                n += len(words)
+            if n >= WORDS:
+                yield from close()
+                serial, held, n = serial + 1, [], 0
+        if n:
             yield from close()
-            serial, held, n = serial + 1, [], 0
-    if n:
-        yield from close()
-
-
-def _pairs(sequence: pa.Table, names: pa.Table) -> pa.Table:
-    """A block's next level: the sequence of neighbours that both have a name, and a row for each pair."""
-    import pandas as pd
-
-    if not (sequence.num_rows and names.num_rows):
-        return pa.table({f: pa.array([], t) for f, t in zip(("block", "seq", "idx", "left", "right", "count"), (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))})
-    block = sequence["block"][0].as_py()
-    seq = np.frombuffer(sequence["seq"][0].as_buffer(), np.uint32)
-    start, numbers = seq >= _START, seq & ~_START
-    ids, local = names["id"].to_numpy(), np.full(int(numbers.max()) + 1, -1, np.int32)
-    local[names["idx"].to_numpy()] = np.arange(len(ids))
-    now = local[numbers]
-    both = (now[:-1] >= 0) & (now[1:] >= 0) & ~start[1:]
-    at = np.flatnonzero(both)
-    codes, pairs = pd.factorize(now[:-1][both].astype(np.int64) << 32 | now[1:][both])
-    k = len(pairs)
-    return pa.table({
-        "block": pa.array(np.full(k + 1, block)),
-        "seq": pa.concat_arrays([pa.array([_sequence(codes, np.diff(at, prepend=-2) != 1)], pa.binary()), pa.nulls(k, pa.binary())]),
-        "idx": pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(np.arange(k, dtype=np.int32))]),
-        "left": pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(ids[pairs >> 32])]),
-        "right": pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(ids[pairs & 0xFFFFFFFF])]),
-        "count": pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(np.bincount(codes, minlength=k))]),
-    })
+
+    return blocks
+
+
+def _names(least: int):
+    """An owner's lists to a row for each name, and for each list the places of what has one, with the ids."""
+
+    def names(key: tuple[pa.Scalar, ...], lists: pa.Table) -> pa.Table:
+        import pandas as pd
+
+        n = lists["n"].to_pylist()
+        counts = _unpack(lists["counts"].to_pylist(), n, np.int64)
+        if lists["lang"][0].is_valid:
+            lengths = _unpack(lists["more"].to_pylist(), n, np.int32).astype(np.int64)
+            ends = np.r_[0, np.cumsum(lengths)]
+            tops = np.cumsum([0, *n])
+            data = b"".join(pa.decompress(k, int(ends[j] - ends[i]), codec="zstd", asbytes=True) for k, i, j in zip(lists["keys"].to_pylist(), tops, tops[1:]))
+            words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+            langs = lists["lang"].combine_chunks().dictionary_encode()
+            both = words.indices.to_numpy().astype(np.int64) * len(langs.dictionary) + np.repeat(langs.indices.to_numpy(), n)
+        else:
+            left = np.concatenate([np.cumsum(_unpack([b], [k], np.int64)) for b, k in zip(lists["keys"].to_pylist(), n)])
+            right = _unpack(lists["more"].to_pylist(), n, np.int64)
+            (l, lefts), (r, rights) = pd.factorize(left), pd.factorize(right)
+            both = l * len(rights) + r
+        codes, found = pd.factorize(both)
+        a = np.zeros(len(found), np.int64)
+        np.add.at(a, codes, counts)
+        often = np.flatnonzero(a >= least)
+        ids, named = np.full(len(found), -1, np.int64), found[often]
+        ids[often] = (key[0].as_py() << 32) + np.arange(len(often))
+        if lists["lang"][0].is_valid:
+            width = len(langs.dictionary)
+            told = {"lang": langs.dictionary.take(pa.array(named % width)), "word": words.dictionary.take(pa.array(named // width)).cast(pa.binary()).cast(pa.string())}
+        else:
+            told = {"left": lefts[named // len(rights)], "right": rights[named % len(rights)]}
+        out, at = [], 0
+        for block, base, k in zip(lists["block"].to_pylist(), lists["base"].to_pylist(), n):
+            own = ids[codes[at : at + k]]
+            places = np.flatnonzero(own >= 0)
+            if len(places):
+                out.append((block, _pack((places + base).astype(np.int32)), _pack(own[places]), len(places)))
+            at += k
+        sent = _rows(_NAMED, len(out), **{c: [x[i] for x in out] for i, c in enumerate(("block", "places", "ids"))}, a=[x[3] for x in out])
+        return pa.concat_tables([_rows(_NAMED, len(often), id=ids[often], a=a[often], **told), sent])
+
+    return names
+
+
+def _pairs(owners: int):
+    """A block's next level: the sequence of neighbours that both have a name, and for each owner a list of its pairs with their counts."""
+
+    def pairs_of(sequence: pa.Table, names: pa.Table) -> pa.Table:
+        import pandas as pd
+
+        if not (sequence.num_rows and names.num_rows):
+            return _rows(_LEVEL, 0)
+        seq, n = np.frombuffer(sequence["seq"][0].as_buffer(), np.uint32), names["a"].to_pylist()
+        start, numbers = seq >= _START, seq & ~_START
+        places, ids = _unpack(names["places"].to_pylist(), n, np.int32), _unpack(names["ids"].to_pylist(), n, np.int64)
+        local = np.full(int(numbers.max()) + 1, -1, np.int32)
+        local[places] = np.arange(len(ids))
+        now = local[numbers]
+        both = (now[:-1] >= 0) & (now[1:] >= 0) & ~start[1:]
+        at = np.flatnonzero(both)
+        codes, found = pd.factorize(now[:-1][both].astype(np.int64) << 32 | now[1:][both])
+        left, right = ids[found >> 32], ids[found & 0xFFFFFFFF]
+        owner = (((left.astype(np.uint64) * _MIX[1] + right.astype(np.uint64) * _MIX[2]) >> np.uint64(33)) % np.uint64(owners)).astype(np.int32)
+        order = np.lexsort((right, left, owner))
+        rank, counts = np.empty(len(order), np.int64), np.bincount(codes, minlength=len(order))[order]
+        rank[order] = np.arange(len(order))
+        left, right, owner = left[order], right[order], owner[order]
+        lists = [{"owner": owner[i], "base": i, "n": j - i, "keys": _pack(np.diff(left[i:j], prepend=0)), "more": _pack(right[i:j]), "counts": _pack(counts[i:j])} for i, j in _runs(owner) if j > i]
+        return _level(sequence["block"][0].as_py(), _sequence(rank[codes], np.diff(at, prepend=-2) != 1), lists)
+
+    return pairs_of
 
 
 def _score(a: Column, n: Column, l: Column, r: Column) -> Column:
-    """floor(1000 a n / (l r)) in whole numbers of up to 38 digits."""
+    """floor(1000 a n / (l r)) in whole numbers of 38 digits: exact for counts up to 3e17."""
     wide = lambda c: c.cast("decimal(19,0)")
     above, below = (wide(a) * wide(n) * F.lit(1000).cast("decimal(4,0)")).cast("decimal(38,0)"), (wide(l) * wide(r)).cast("decimal(38,0)")
     return F.call_function("div", above, below).cast("long")
@@ -133,34 +231,37 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: in
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
     plain = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    level = scratch.table(plain.mapInArrow(_blocks, "block long, seq binary, idx int, lang string, word string, count long"), "level1")
-    totals = scratch.table(level.filter("seq is null").groupBy("lang").agg(F.sum("count").alias("n")), "totals")
-    named: list[DataFrame] = []
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    level_type, named_type = from_arrow_schema(_LEVEL), from_arrow_schema(_NAMED)
+    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level = scratch.table(plain.mapInArrow(_blocks(owners), level_type), "level1")
+    totals = scratch.table(level.filter("lang is not null").groupBy("lang").agg(F.sum("total").alias("n")), "totals")
+    phrased: list[DataFrame] = []
     for k in range(1, longest + 1):
-        key = ["lang", "word"] if k == 1 else ["left", "right"]
-        rows = level.filter("seq is null")
-        counted = rows.groupBy(*key).agg(F.sum("count").alias("a")).filter(F.col("a") >= least)
-        names = scratch.table(counted.withColumn("id", F.monotonically_increasing_id()), f"names{k}")
+        lists = level.filter("seq is null").drop("seq", "total")
+        told = scratch.table(lists.groupBy("owner").applyInArrow(_names(least), named_type), f"names{k}")
+        names = told.filter("id is not null")
         if k == 1:
-            one = names.select("id", "lang", F.array("word").alias("words"), "a", F.array("a").alias("heads"), F.array("a").alias("tails"), F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"))
+            one = names.select("id", "lang", F.array("word").alias("words"), "a", F.array("a").alias("heads"), F.array("a").alias("tails"), "left", "right")
         else:
-            head = named[-1].select(F.col("id").alias("left"), "lang", "words", "heads")
-            tail = named[-1].select(F.col("id").alias("right"), F.element_at("words", -1).alias("word"), "tails")
-            one = names.join(head, "left").join(tail, "right")
+            head = phrased[-1].select(F.col("id").alias("left"), "lang", "words", "heads")
+            tail = phrased[-1].select(F.col("id").alias("right"), F.element_at("words", -1).alias("word"), "tails")
+            one = names.select("id", "a", "left", "right").join(head, "left").join(tail, "right")
             grown = lambda c: F.concat(c, F.array("a"))
             one = one.select("id", "lang", F.concat("words", F.array("word")).alias("words"), "a", grown("heads").alias("heads"), grown("tails").alias("tails"), "left", "right")
-        named.append(scratch.table(one, f"phrases{k}"))
+        phrased.append(scratch.table(one, f"phrases{k}"))
         if k < longest:
-            back = rows.join(F.broadcast(names) if is_small(names) else names, key).select(F.col("block").alias("of"), "idx", "id")
+            back = told.filter("id is null").select(F.col("block").alias("of"), "places", "ids", "a")
             blocks = level.filter("seq is not null").select("block", "seq").groupBy("block").cogroup(back.groupBy("of"))
-            level = scratch.table(blocks.applyInArrow(_pairs, _LEVEL), f"level{k + 1}")
-            scratch.drop(f"level{k}")
+            level = scratch.table(blocks.applyInArrow(_pairs(owners), level_type), f"level{k + 1}")
+            scratch.drop(f"level{k}", f"names{k}")
             spark.sparkContext._jvm.System.gc()  # the shuffle files of finished levels go with what refers to them
     found = None
     for k in range(2, longest + 1):
-        one = named[k - 1]
+        one = phrased[k - 1]
         if k < longest:
-            around = named[k].select(F.explode(F.array("left", "right")).alias("id"), "a").groupBy("id").agg(F.max("a").alias("within"))
+            around = phrased[k].select(F.explode(F.array("left", "right")).alias("id"), "a").groupBy("id").agg(F.max("a").alias("within"))
             one = one.join(around, "id", "left")
         else:
             one = one.withColumn("within", F.lit(None).cast("long"))
