@@ -5,11 +5,13 @@
    them all: vectors of a shard are lifted to one length, so that the largest inner product is the least distance, and projected on random
    directions, each of which is kept as a sorted array. Building that takes about as long as reading it, so a shard moves as its vectors.
 3. A query's projections are the centres of windows, one an array. Windows grow by GROW a round; a point's collisions are counted as windows
-   reach it, and a point with enough of them is verified by the inner product in double precision. Width, number of arrays and the collisions
-   asked for follow from the shard's size (a point at the radius collides often enough but for ERROR of cases, one RATIO times as far
-   seldom). A query ends when its k-th verified distance is within ``slack`` times the radius.
+   reach it, and a point with enough of them is verified: by the product of unit vectors in single precision, and what can be among the nearest
+   by the inner product in double precision. The number of arrays and the collisions asked for follow from the tails of the count: a point at
+   the radius collides often enough but for ERROR of cases, one RATIO times as far in FALSE of cases. A query ends when it has k points
+   within ``slack`` times the radius.
 4. Each batch audits itself: AUDITED of its queries are compared with the whole shard, and while they miss more than 1 - AUDIT of what is nearest,
-   slack shrinks for all of the batch; at zero windows grow until they hold every point.
+   slack shrinks for all of the batch; at zero windows grow until they hold every point. Where neighbours are hardly nearer than the rest, as in
+   noise, windows hold most of the shard and a query costs as much as a scan.
 5. Answers of the shards meet in one bounded window a query point, then points become ids again.
 
 Candidates have no cap: each point with enough collisions is verified. Memory is a shard and a batch.
@@ -22,6 +24,8 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,8 @@ from .common import Scratch, load
 
 TOP, EVERY = 20, 20
 PER_SHARD, SHARD_BYTES, QUERIES = 100_000, 64 << 20, 256
-RATIO, ERROR, GROW, SLACK = 2.0, 0.05, 1.25, 1.25
-AUDITED, AUDIT = 8, 0.97
+RATIO, ERROR, FALSE, GROW, SLACK, LESS = 2.0, 0.05, 0.05, 1.2, 1.2, 0.9
+AUDITED, AUDIT = 8, 0.95
 #: Half the window at radius one, as the method's authors derive it from the ratio.
 HALF = math.sqrt(8 * RATIO**2 * math.log(RATIO) / (RATIO**2 - 1)) / 2
 
@@ -43,13 +47,13 @@ def _collides(distance: float) -> float:
     return math.erf(HALF / distance / math.sqrt(2))
 
 
-def arrays_for(n: int) -> tuple[int, int]:
-    """(arrays, collisions asked for) for ``n`` points, by Hoeffding's bound on both sides."""
+@lru_cache
+def arrays_for(error: float = ERROR, false: float = FALSE) -> tuple[int, int]:
+    """(arrays, collisions asked for): the fewest arrays with which a point at the radius collides often enough but for ``error`` of cases, and one
+    RATIO times as far in ``false`` of cases at most."""
     near, far = _collides(1), _collides(RATIO)
-    wrong = math.log(2 * max(n, 200) / 100)
-    share = math.sqrt(wrong) / math.sqrt(math.log(1 / ERROR))
-    m = math.ceil((math.sqrt(wrong) + math.sqrt(math.log(1 / ERROR))) ** 2 / (2 * (near - far) ** 2))
-    return m, math.ceil(m * (share * near + far) / (1 + share))
+    tail = lambda m, l, p: sum(math.comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(l, m + 1))
+    return next((m, l) for m in count(1) for l in range(m, 0, -1) if tail(m, l, near) >= 1 - error and tail(m, l, far) <= false)
 
 
 class Arrays:
@@ -57,33 +61,35 @@ class Arrays:
 
     def __init__(self, x: np.ndarray, tie: np.ndarray, seed: int = 0):
         """x: (n, d) vectors; tie: their order where products are equal."""
-        self.x, self.tie, n = x, tie, len(x)
-        self.m, self.asked = arrays_for(n)
+        self.x, self.tie = x, tie
+        self.m, self.asked = arrays_for()
         self.length = float(np.linalg.norm(x.astype(np.float64), axis=1).max())
-        unit = (x / self.length).astype(np.float32)
-        rest = np.sqrt(np.maximum(0, 1 - (unit**2).sum(1, dtype=np.float32)))
+        self.unit = (x / self.length).astype(np.float32)
+        rest = np.sqrt(np.maximum(0, 1 - (self.unit**2).sum(1, dtype=np.float32)))
         self.directions = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, self.m), dtype=np.float32)
-        along = unit @ self.directions[:-1] + rest[:, None] * self.directions[-1]
-        order = np.argsort(along, axis=0, kind="stable")
-        self.along, self.order = np.ascontiguousarray(np.take_along_axis(along, order, 0).T), np.ascontiguousarray(order.T.astype(np.int32))
-
-    def _best(self, score: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-        """Places of the k largest scores, ties by ``tie``."""
-        if len(score) > k:
-            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-            score, at = score[keep], at[keep]
-        return at[np.lexsort((self.tie[at], -score))[:k]]
+        along = np.ascontiguousarray((self.unit @ self.directions[:-1] + rest[:, None] * self.directions[-1]).T)
+        self.order = np.argsort(along, axis=1, kind="stable").astype(np.int32)
+        self.along = np.take_along_axis(along, self.order, 1)
 
     def products(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
         return (self.x[at].astype(np.float64) * q.astype(np.float64)).sum(1)
 
-    def search(self, q: np.ndarray, k: int, slack: float) -> list[np.ndarray]:
-        """For each query the places of its k nearest found, nearest first."""
-        n, size = len(self.x), np.linalg.norm(q.astype(np.float64), axis=1)
-        centre = ((q / size[:, None]).astype(np.float32) @ self.directions[:-1]).T
-        count, seen = np.zeros((len(q), n), np.int16), [(np.empty(0, np.int64), np.empty(0))] * len(q)
+    def _best(self, about: np.ndarray, at: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and products of the k largest, ties by ``tie``. ``about``: products of unit vectors in single precision, which leave out what
+        can't be among them."""
+        if len(at) > k:
+            at = at[about >= np.partition(about, len(at) - k)[len(at) - k] - 1e-5]
+        exact = self.products(at, q)
+        order = np.lexsort((self.tie[at], -exact))[:k]
+        return at[order], exact[order]
+
+    def search(self, q: np.ndarray, k: int, slack: float, radius: float = 2**-5) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and products of its k nearest found, nearest first. ``radius``: of the first round."""
+        n, unit = len(self.x), (q / np.linalg.norm(q.astype(np.float64), axis=1)[:, None]).astype(np.float32)
+        centre = (unit @ self.directions[:-1]).T
+        hits, seen = np.zeros((len(q), n), np.int16), [(np.empty(0, np.int64), np.empty(0, np.float32))] * len(q)
         low = np.stack([np.searchsorted(a, c) for a, c in zip(self.along, centre)])
-        high, live, radius, found = low.copy(), np.arange(len(q)), 2**-5, [None] * len(q)
+        high, live, found = low.copy(), np.arange(len(q)), [None] * len(q)
         while len(live):
             left = np.stack([np.searchsorted(a, c - HALF * radius, "left") for a, c in zip(self.along, centre[:, live])])
             right = np.stack([np.searchsorted(a, c + HALF * radius, "right") for a, c in zip(self.along, centre[:, live])])
@@ -91,41 +97,39 @@ class Arrays:
             for j, i in enumerate(live):
                 l0, l1, r0, r1 = left[:, j].tolist(), low[:, i].tolist(), high[:, i].tolist(), right[:, j].tolist()
                 new = [o[a:b] for o, a, b in zip(self.order, l0, l1) if a < b] + [o[a:b] for o, a, b in zip(self.order, r0, r1) if a < b]
-                at, score = seen[i]
+                at, about = seen[i]
                 if new:
-                    before = count[i] >= self.asked
-                    count[i] += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
-                    fresh = np.flatnonzero((count[i] >= self.asked) & ~before)
+                    before = hits[i] >= self.asked
+                    hits[i] += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
+                    fresh = np.flatnonzero((hits[i] >= self.asked) & ~before)
                     if len(fresh):
-                        at, score = np.r_[at, fresh], np.r_[score, self.products(fresh, q[i])]
-                        seen[i] = at, score
-                if len(at) >= n:
-                    found[i] = self._best(score, at, k)
-                    continue
-                if len(at) >= k:
-                    last = np.partition(score, len(score) - k)[len(score) - k]
-                    if math.sqrt(max(0.0, 2 - 2 * last / (size[i] * self.length))) <= slack * radius:
-                        found[i] = self._best(score, at, k)
-                        continue
-                going.append(i)
+                        at, about = np.r_[at, fresh], np.r_[about, self.unit[fresh] @ unit[i]]
+                        seen[i] = at, about
+                last = 1 - (slack * radius) ** 2 / 2  # the product at the distance at which the search may end
+                if len(at) >= n or np.count_nonzero(about >= last) >= k:
+                    found[i] = self._best(about, at, q[i], k)
+                else:
+                    going.append(i)
             low[:, live], high[:, live] = np.minimum(left, low[:, live]), np.maximum(right, high[:, live])
             live, radius = np.array(going, np.int64), radius * GROW
         return found
 
-    def exact(self, q: np.ndarray, k: int) -> np.ndarray:
-        every = np.arange(len(self.x))
-        return self._best(self.products(every, q), every, k)
+    def exact(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        unit = (q / np.linalg.norm(q.astype(np.float64))).astype(np.float32)
+        return self._best(self.unit @ unit, np.arange(len(self.x)), q, k)
 
-    def audited(self, q: np.ndarray, k: int) -> list[np.ndarray]:
-        """``search`` with the slack at which a sample of the queries finds what a full scan finds."""
+    def audited(self, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``search`` with the slack at which a sample of the queries finds what a full scan finds, from the radius at which the first could end."""
         sample, slack = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(np.int64)), SLACK
         truth = [self.exact(q[i], k) for i in sample]
+        size = np.linalg.norm(q[sample].astype(np.float64), axis=1) * self.length
+        far = min(math.sqrt(max(1e-4, 2 - 2 * score[-1] / s)) for (_, score), s in zip(truth, size))
         while slack > 0:
-            found = self.search(q[sample], k, slack)
-            if np.mean([np.isin(t, f).mean() for t, f in zip(truth, found)]) >= AUDIT:
+            found = self.search(q[sample], k, slack, far / slack / GROW)
+            if np.mean([np.isin(t, f).mean() for (t, _), (f, _) in zip(truth, found)]) >= AUDIT:
                 break
-            slack = slack * 0.75 if slack > 0.2 else 0.0
-        return self.search(q, k, slack)
+            slack = slack * LESS if slack > 0.2 else 0.0
+        return self.search(q, k, slack, far / max(slack, 0.1) / GROW)
 
 
 def _vectors(column, dim: int) -> np.ndarray:
@@ -138,7 +142,7 @@ def _answers(k: int):
 
     def told(index: Arrays, points: pa.Table, asked: pa.RecordBatch, dim: int):
         q = _vectors(asked.column("v"), dim)
-        rows = [(np.full(len(at), i), at, index.products(at, q[i])) for i, at in enumerate(index.audited(q, k))]
+        rows = [(np.full(len(at), i), at, score) for i, (at, score) in enumerate(index.audited(q, k))]
         who, at, score = (np.concatenate(c) for c in zip(*rows))
         pick = lambda t, name, i: t.column(name).to_numpy()[i]
         columns = [pick(asked, "h1", who), pick(asked, "h2", who), pick(points, "h1", at), pick(points, "h2", at), pick(points, "least", at), score]
