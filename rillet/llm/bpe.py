@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, give_back, held, load, make_room
+from .common import apart, bound_batches, give_back, held, load
 
 #: Pieces longer than LONG bytes are encoded alone and not remembered. Pieces are looked up for so many characters of text at a time.
 LONG, TOGETHER = 64, 1 << 19
@@ -362,9 +362,8 @@ def coded(text: Column, vocabulary=public_vocabulary) -> Column:
 def tokenize(docs: DataFrame, text: str = "text", vocabulary=public_vocabulary) -> DataFrame:
     """``docs`` with ids (array<int>), n_tokens (long) and decoded (binary); columns of those names give way."""
     bound_batches(docs.sparkSession)
-    docs = make_room(docs, "ids", "n_tokens", "decoded", "_coded")
-    told = docs.withColumn("_coded", coded(F.col(text), vocabulary))
-    return told.select(*docs.columns, "_coded.ids", F.size("_coded.ids").cast("long").alias("n_tokens"), "_coded.decoded")
+    add = lambda d: d.withColumn("coded", coded(F.col("text"), vocabulary)).select("*", "coded.ids", F.size("coded.ids").cast("long").alias("n_tokens"), "coded.decoded")
+    return apart(docs, add, {"text": text}, ("ids", "n_tokens", "decoded"))
 
 
 def digests(tokens: DataFrame) -> DataFrame:

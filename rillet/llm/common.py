@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -67,13 +68,33 @@ def make_room(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
-#: Rows that may be sent to every executor: at about 100 bytes a row in a hash table, 100 MB.
-SMALL_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, most: int = SMALL_ROWS) -> bool:
-    """Whether a written table of narrow rows is within the bound for sending it to every executor."""
-    return df.limit(most + 1).count() <= most
+def apart(df: DataFrame, run, own: dict[str, str], added: tuple[str, ...]) -> DataFrame:
+    """What ``run`` makes of the columns that it works on, under its own names for them (``own``: its name, the caller's), with ``added``. The
+    caller's other columns are carried as one and come back as they were, so that no name of theirs meets one of ``run``'s; those that clash with
+    the added ones give way."""
+    df = make_room(df, *[c for c in added if c not in own.values()])
+    others = [c for c in df.columns if c not in own.values()]
+    named = lambda c: F.col(f"`{c}`")
+    carried = [F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("carried")] if others else []
+    out = run(df.select(*[named(c).alias(name) for name, c in own.items()], *carried))
+    back = {c: F.col(name).alias(c) for name, c in own.items()} | {c: F.col(f"carried.c{i}").alias(c) for i, c in enumerate(others)}
+    return out.select(*[back[c] for c in df.columns if c not in added], *added)
+
+
+#: Bytes that may be sent to every executor, as Spark's rows.
+SMALL_BYTES = 100 << 20
+
+
+def is_small(df: DataFrame, most: int = SMALL_BYTES) -> bool:
+    """Whether a written table is within the bound for sending it to every executor: as rows of a hash table, 24 bytes and 8 a column each, and what
+    its texts and arrays have. One pass, map-side, after a count of what can't be small whatever it holds."""
+    fixed = 24 + 8 * len(df.columns)
+    if df.limit(most // fixed + 1).count() > most // fixed:
+        return False
+    long = [f.name for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    lists = [f.name for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in long), F.lit(fixed)) + sum((F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in lists), F.lit(0))
+    return (df.agg(F.sum(size.cast("long"))).head()[0] or 0) <= most
 
 
 def give_back() -> None:

@@ -4,14 +4,13 @@
 2. Vertices go to shards by hash. A task builds a shard's graph and writes it to the shared folder, in parts of PART bytes.
 3. A shard goes to as many tasks as run at once, not more, and each streams its part of all queries past it, in Arrow batches. A query whose
    whole beam is over the bound is asked again with a wider one, until its worst answer is under it. Each batch audits itself: a few of its
-   queries are compared with the whole shard, and while any of them misses more than 1 - AUDIT of its links or of its NEAREST other
-   vectors, over the bound or not, the beam is doubled for all. A beam that costs more than comparing with the whole shard
-   gives way to that, and a shard that is small enough for it from the start gets no graph.
+   queries, and probes that are just over the bound from a node each, are compared with the whole shard, and while they miss more than
+   1 - AUDIT of their links the beam is doubled for all. A beam of more than WIDEST of the shard gives way to comparing with all of it.
 4. Answers are verified by the cosine in double precision. A batch gives each query's number of links, and of the links a spanning
    forest only, at most one row a vertex: components come out the same and no group is expanded into pairs.
 
-There are SHARDS shards, fewer while each is small enough to be compared whole, and more when PER_SHARD vectors or SHARD_BYTES are reached, so memory is
-bounded at any size.
+There are SHARDS shards, fewer while they would hold less than LEAST vectors, and more when PER_SHARD vectors or SHARD_BYTES are reached, so memory
+is bounded at any size. Vectors are kept as they are stored, in single precision if the column is.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of different
 length link with nothing; a row with a null id takes no part, its component is null and it is kept; equal vectors link; an id that has several
@@ -26,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, is_small, load, make_room
+from .common import Scratch, apart, bound_batches, is_small, load
 from .components import components
 from .hnsw import Graph, M
 
-SHARDS, PER_SHARD, SHARD_BYTES, PART = 8, 200_000, 256 << 20, 4 << 20
+SHARDS, LEAST, PER_SHARD, SHARD_BYTES, PART = 8, 5000, 200_000, 256 << 20, 4 << 20
 BEAM, AUDITED, AUDIT, CHUNK = 16, 48, 0.99, 256
-#: The audit looks at so many nearest vectors of a query; comparing with SCAN vectors costs as much as one place in a beam (measured at 64 components).
-NEAREST, SCAN = 10, 1500
+PROBES, WIDEST = 144, 0.25
 ADDED = ("n_links", "component_id", "kept")
 
 
@@ -51,9 +49,9 @@ def _build(key: tuple[pa.Scalar, ...], shard: pa.Table) -> pa.Table:
     dim = key[0].as_py()
     order = np.argsort(shard["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
     x = _vectors(shard["v"], dim)[order]
-    links = Graph(_unit(x)).links if len(x) > SCAN * BEAM else np.empty((0, M), np.int32)
+    links = Graph(_unit(x)).links
     columns = (shard["id"].to_numpy()[order].astype(np.int64), shard["weight"].to_numpy()[order].astype(np.int64), x, links)
-    step = max(1, PART // (8 * dim))
+    step = max(1, PART // (x.itemsize * dim))
     n = -(-max(map(len, columns)) // step)  # layers make more rows of links than there are nodes
     cut = {name: pa.array([np.ascontiguousarray(c[i * step : (i + 1) * step]).tobytes() for i in range(n)], pa.binary()) for name, c in zip(("ids", "weights", "x", "links"), columns)}
     return pa.table({"dim": pa.array([dim] * n, pa.int32()), "shard": pa.array([key[1].as_py()] * n, pa.int32()), "part": pa.array(range(n), pa.int32()), **cut})
@@ -85,22 +83,29 @@ def scan(graph: Graph, q: np.ndarray, bound: float):
     return [np.flatnonzero(s >= bound) for at in range(0, len(q), step) for s in q[at : at + step] @ graph.x.T]
 
 
+def probes(x: np.ndarray, bound: float, n: int) -> np.ndarray:
+    """Unit vectors that have a cosine of just over ``bound`` with a node each, in a random direction: links as hard to find as links can be."""
+    at = np.unique(np.linspace(0, len(x) - 1, min(n, len(x))).astype(np.int64))
+    away = np.random.default_rng(len(x)).standard_normal((len(at), x.shape[1]))
+    away -= (away * x[at]).sum(1, keepdims=True) * x[at]
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    level = min(1.0, bound + 1e-4)
+    return (level * x[at] + np.sqrt(1 - level**2) * away / np.maximum(length, 1e-12)).astype(np.float32)
+
+
 def audited(graph: Graph, q: np.ndarray, bound: float, own: np.ndarray | None = None):
-    """``ask``, with the beam widened until each of a sample of the queries finds what a full scan finds: its links and its nearest
-    nodes. ``own``: each query's own node (-1: none), which is no evidence."""
+    """``ask``, with the beam widened until a sample of the queries, and probes at the bound, find of their links what a full scan finds. ``own``: each
+    query's own node (-1: none), which is no evidence."""
     n = len(graph.x)
     sample = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(np.int64))
-    beam, truth = BEAM, None
-    while beam < n and beam * SCAN < n:
-        if truth is None:
-            sims = q[sample] @ graph.x.T
-            if own is not None:
-                rows = np.flatnonzero(own[sample] >= 0)
-                sims[rows, own[sample][rows]] = -np.inf
-            k = min(NEAREST, n - 1)
-            truth = [(np.flatnonzero(s >= bound), np.argpartition(-s, k - 1)[:k]) for s in sims]
-        found, near = ask(graph, q[sample], bound, beam), graph.search(q[sample], beam)[0]
-        if all(np.isin(t, f).sum() >= AUDIT * len(t) and np.isin(c, i).sum() >= AUDIT * len(c) for (t, c), f, i in zip(truth, found, near)):
+    asked = np.concatenate([q[sample], probes(graph.x, bound, PROBES)])
+    self = np.full(len(asked), -1) if own is None else np.r_[own[sample], np.full(len(asked) - len(sample), -1)]
+    truth = [t[t != i] for t, i in zip(scan(graph, asked, bound), self)]
+    total = np.array([sum(map(len, truth[: len(sample)])), sum(map(len, truth[len(sample) :]))])
+    beam = BEAM
+    while beam <= max(BEAM, WIDEST * n):
+        hits = [np.isin(t, f).sum() for t, f in zip(truth, ask(graph, asked, bound, beam))]
+        if (np.array([sum(hits[: len(sample)]), sum(hits[len(sample) :])]) >= AUDIT * total).all():
             return ask(graph, q, bound, beam)
         beam *= 2
     return scan(graph, q, bound)
@@ -111,13 +116,16 @@ class Shard:
 
     def __init__(self, dim: int, parts: list[dict]):
         read = lambda n, t: np.frombuffer(b"".join(p[n] for p in parts), t)
-        self.ids, self.weights, self.x = read("ids", np.int64), read("weights", np.int64), read("x", np.float64).reshape(-1, dim)
-        self.norms, self.by_id = np.linalg.norm(self.x, axis=1), np.argsort(self.ids, kind="stable")
+        self.ids, self.weights, self.x = read("ids", np.int64), read("weights", np.int64), None
+        data = b"".join(p["x"] for p in parts)
+        self.x = np.frombuffer(data, f"f{len(data) // (len(self.ids) * dim)}").reshape(-1, dim)
+        self.norms, self.by_id = np.linalg.norm(self.x.astype(np.float64), axis=1), np.argsort(self.ids, kind="stable")
         self.graph = Graph(_unit(self.x), read("links", np.int32).reshape(-1, M))
 
     def answer(self, qid: np.ndarray, qx: np.ndarray, bound: float) -> pa.RecordBatch:
         """(id, links, other): the links of each query in the shard, and rows (id, null, other) of a spanning forest."""
-        ids, x, weights, norms, qnorms = self.ids, self.x, self.weights, self.norms, np.linalg.norm(qx, axis=1)
+        exact = qx.astype(np.float64)
+        ids, x, weights, norms, qnorms = self.ids, self.x, self.weights, self.norms, np.linalg.norm(exact, axis=1)
         at = np.minimum(np.searchsorted(ids, qid, sorter=self.by_id), len(ids) - 1)
         own = np.where(ids[self.by_id[at]] == qid, self.by_id[at], -1)
         found = audited(self.graph, _unit(qx), bound - 1e-5, own)
@@ -128,7 +136,7 @@ class Shard:
         tops = lambda v: v if (root[v] == v).all() else tops(root[v])
         u, v = [], []
         for i, near in enumerate(found):
-            near = near[(x[near] @ qx[i]) / (norms[near] * qnorms[i]) >= bound]
+            near = near[(x[near].astype(np.float64) @ exact[i]) / (norms[near] * qnorms[i]) >= bound]
             near = near[ids[near] != qid[i]]
             counts[i] = weights[near].sum()
             if len(near):
@@ -170,11 +178,14 @@ def _search(bound: float):
 
 def near_copies(table: DataFrame, id: str = "vec_id", vector: str = "embedding", bound: float = 0.9) -> DataFrame:
     """``table`` with n_links (long), component_id and kept (id = component_id)."""
+    return apart(table, lambda d: _near_copies(d, "vec_id", "embedding", bound), {"vec_id": id, "embedding": vector}, ADDED)
+
+
+def _near_copies(table: DataFrame, id: str, vector: str, bound: float) -> DataFrame:
     spark = table.sparkSession
     bound_batches(spark)
-    table = make_room(table, *[c for c in (*ADDED, "_h1", "_h2") if c not in (id, vector)])
     scratch = Scratch(spark, "vectors")
-    v = F.col(vector).cast("array<double>")
+    v = F.col(vector) if table.schema[vector].dataType.elementType.typeName() == "float" else F.col(vector).cast("array<double>")
     # NaN and infinities: their product with zero isn't zero.
     sound = F.coalesce(F.forall(v, lambda c: c.isNotNull() & (c * 0 == 0)) & F.exists(v, lambda c: c != 0), F.lit(False)) & F.col(id).isNotNull()
     hashed = table.withColumns({"_h1": F.when(sound, F.xxhash64(v)), "_h2": F.when(sound, F.xxhash64(F.lit(1), v))})
@@ -189,7 +200,7 @@ def near_copies(table: DataFrame, id: str = "vec_id", vector: str = "embedding",
     points = points.join(F.broadcast(again) if is_small(again) else again, "least", "left").withColumn("id", number).drop("least", "first")
     points = scratch.table(points, "points")
     size = points.agg(F.count(F.lit(1)), F.max("dim")).head()
-    shards = max(1, min(SHARDS, -(-size[0] // max(1, SCAN * BEAM))), -(-size[0] // PER_SHARD), -(-size[0] * 8 * (size[1] or 1) // SHARD_BYTES))
+    shards = max(1, min(SHARDS, size[0] // LEAST), -(-size[0] // PER_SHARD), -(-size[0] * 8 * (size[1] or 1) // SHARD_BYTES))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salts = max(1, min(-(-tasks // shards), -(-size[0] // 1024)))
     own = points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))

@@ -4,7 +4,7 @@
    of the fingerprint space) its part once per distinct value, as Golomb-Rice codes of the gaps.
 2. An owner decodes what it got, finds the values that more than one chunk sent, and answers each chunk with a bitmap.
 3. Chunks turn bitmaps, and what they hold twice themselves, into suspects. Only suspects' texts are shuffled, and they are
-   grouped by their bytes. Up to SMALL_ROWS suspects every executor gets them, and a text that no other row shares is never moved. Beyond, every
+   grouped by their bytes. Up to SMALL_BYTES of suspects every executor gets them, and a text that no other row shares is never moved. Beyond, every
    executor gets a bitmap of them, SIEVE bits for each and MOST_BITS at most, and a text that no other row shares moves with a probability
    of 1 / SIEVE (more, where the bitmap has reached its most); grouping by bytes settles the rest.
 
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, is_small, load, make_room
+from .common import Scratch, apart, is_small, load
 
 #: Fingerprints of a chunk at most, and rows for each owner of fingerprints on average.
 CHUNK, PER_OWNER = 1 << 18, 1 << 18
@@ -135,7 +135,10 @@ def sieved(rows: DataFrame, fp: str, found: DataFrame, bits: int) -> DataFrame:
 
 def copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with keep_id, group_size (long), kept (boolean) and text_sha256 (string) of each row."""
-    docs = make_room(docs, *ADDED, "_fp", "_maybe", "_sha")
+    return apart(docs, lambda d: _copies(d, "doc_id", "text"), {"doc_id": id, "text": text}, ADDED)
+
+
+def _copies(docs: DataFrame, id: str, text: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "copies")
     whole = F.coalesce(F.col(text), F.lit(""))
     found = scratch.table(suspects(docs.select(text), whole, scratch), "suspects")
@@ -174,9 +177,13 @@ def copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without copies: one row of each text, with the columns of ``docs``."""
+    return apart(docs, lambda d: _dedup(d, "doc_id", "text"), {"doc_id": id, "text": text}, ())
+
+
+def _dedup(docs: DataFrame, id: str, text: str) -> DataFrame:
     from pyspark.sql import Window
 
-    kept = copies(docs, id, text).filter("kept")
+    kept = _copies(docs, id, text).filter("kept")
     # Only rows that repeat both id and text are still double; they are few, so the rest isn't moved for them.
     again = Scratch(docs.sparkSession, "repeats").table(kept.filter("group_size > 1").groupBy("text_sha256").count().filter("count > 1").select(F.col("text_sha256").alias("_sha")), "sha")
     if not again.head(1):

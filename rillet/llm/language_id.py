@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, is_small, load, make_room
+from .common import Scratch, apart, is_small, load
 
 TRAIN, BUCKETS, EFFECTIVE, SMOOTH, UNKNOWN, STRAY, TAG = 3000, 1 << 14, 100, 20.0, 0.01, 0.1, 0.5
 ADDED = ("language", "posterior", "kept")
@@ -191,7 +191,11 @@ def identify(docs: DataFrame, model: dict | None = None, id: str = "doc_id", tex
 
 def known_only(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", language: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language isn't identified. A row without an id is judged by its text alone."""
-    docs = make_room(docs, "_id", "_letters")
+    own = {"doc_id": id, "text": text, "source": host, "lang": language}
+    return apart(docs, lambda d: _known_only(d, *own), own, ())
+
+
+def _known_only(docs: DataFrame, id: str, text: str, host: str, language: str) -> DataFrame:
     gone = identify(docs.select(id, text, host, language), None, id, text, host, language).filter(~F.col("kept") & F.col(id).isNotNull())
     gone = Scratch(docs.sparkSession, "rejected").table(gone.select(F.col(id).alias("_id")).distinct(), "ids")
     kept = docs.join(F.broadcast(gone) if is_small(gone) else gone, F.col(id) == F.col("_id"), "left_anti")

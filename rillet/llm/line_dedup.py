@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, make_room
+from .common import SPACE, Scratch, apart
 
 RATIO, MIN_PAGES = 0.05, 5
 #: Boilerplate lines that may go to every executor: 32 bytes each, so 16 MB at most.
@@ -49,7 +49,10 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
 
 def drop_boilerplate(pages: DataFrame, id: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``pages`` without its boilerplate lines in ``text``, plus n_lines (long) and n_dropped (long)."""
-    pages = make_room(pages, *[c for c in ADDED if c not in (id, host, text)])
+    return apart(pages, lambda d: _drop(d, "doc_id", "source", "text", ratio, min_pages, broadcast_lines), {"doc_id": id, "source": host, "text": text}, ADDED)
+
+
+def _drop(pages: DataFrame, id: str, host: str, text: str, ratio: float, min_pages: int, broadcast_lines: int) -> DataFrame:
     found = Scratch(pages.sparkSession, "lines").table(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
     small = found.limit(broadcast_lines + 1).count() <= broadcast_lines
     # One row a host that has any: its hashes as a list, a / (ratio) times a page's lines at most.

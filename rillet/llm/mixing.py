@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, Scratch, is_small, load, make_room
+from .common import WORD, Scratch, apart, is_small, load
 
 WEIGHTS, SHARE, CAP, CHUNK, LANDING = (3.0, 1.0, 2.0), 1.5, 2.0, 2048, 12
 STATE = "id long, print long, s long, size long, whole long, p double, chunk long"
@@ -143,7 +143,10 @@ def decide(docs: DataFrame, id: str = "doc_id", source: str = "source", text: st
 
 def mixed(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """``docs``, each row as often as the mix takes it."""
-    docs = make_room(docs, "_id", "_copies")
+    return apart(docs, lambda d: _mixed(d, "doc_id", "source", "text", weights, share, cap), {"doc_id": id, "source": source, "text": text}, ())
+
+
+def _mixed(docs: DataFrame, id: str, source: str, text: str, weights, share: float, cap: float) -> DataFrame:
     own = decide(docs.select(id, source, text), id, source, text, weights, share, cap)
     own = Scratch(docs.sparkSession, "mixed").table(own.groupBy(F.col(id).alias("_id")).agg(F.min("copies").cast("int").alias("_copies")), "copies")
     joined = docs.join(F.broadcast(own) if is_small(own) else own, F.col(id).eqNullSafe(F.col("_id"))).filter("_copies > 0")

@@ -26,6 +26,7 @@ the id; columns that clash with the added ones give way; an empty table gives an
 from __future__ import annotations
 
 import math
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, is_small, load, make_room
+from .common import Scratch, apart, held, is_small, load
 from .components import components
 
 #: MinHash samples, bits of an odd sketch, and the probability with which a pair at the threshold may share no bucket.
@@ -286,9 +287,15 @@ def links(docs: DataFrame, vertices: DataFrame, scratch: Scratch, size: int, per
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with n_shingles, component_id (the smallest id that links reach) and kept (id = component_id)."""
+    """``docs`` with n_shingles, component_id (the smallest id that links reach) and kept (id = component_id); of docs that have but ids and texts the ids
+    alone."""
     percent = round(100 * threshold)
-    docs = make_room(docs, *ADDED)
+    if set(docs.columns) == {id, text}:  # nothing to carry: the texts needn't move
+        return _near_copies(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", size, percent).withColumnRenamed("doc_id", id)
+    return apart(docs, lambda d: _near_copies(d, "doc_id", "text", size, percent), {"doc_id": id, "text": text}, ADDED)
+
+
+def _near_copies(docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
     kind = "id long, print long, n long, s1 long, s2 long, bands array<long>, odd array<long>"
@@ -327,7 +334,8 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", size: i
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies (the one with the smallest id); all columns stay."""
     own = Scratch(docs.sparkSession, "gone").table(near_copies(docs.select(id, text), id, text, size, threshold).filter(~F.col("kept")).select(F.col(id).alias("_id")), "ids")
-    return docs.join(F.broadcast(own) if is_small(own) else own, F.col(id) == F.col("_id"), "left_anti")
+    gone = (F.broadcast(own) if is_small(own) else own).withColumnRenamed("_id", name := f"gone_{uuid.uuid4().hex}")
+    return docs.join(gone, F.col(id) == F.col(name), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

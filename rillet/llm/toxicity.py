@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, held, load, make_room
+from .common import Scratch, apart, held, load
 
 TRAIN, TERMS, VOTERS, SUPPORT, PREFIXES = 16_000, 4000, 300, 4, (3, 4, 5, 6)
 #: A mined voter stands with the label in this share of its rows, and beats chance by so many standard deviations.
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     known = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id))).groupBy(F.col(id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     chosen = scratch.table(known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN), "chosen")
     # TRAIN rows of two numbers: a fixed bound, so they may go to every executor.
-    sample = scratch.table(docs.join(F.broadcast(chosen), F.col(id) == F.col("_id")).select(F.col(text).alias("text"), "toxic").groupBy(F.xxhash64("text").alias("print")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "sample")
+    sample = scratch.table(docs.select(F.col(id).alias("own"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("own") == F.col("_id")).select("text", "toxic").groupBy(F.xxhash64("text").alias("print")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "sample")
     size = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
@@ -209,7 +209,6 @@ def _terms(names: tuple[str, ...]) -> Terms:
 
 def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with held_out, score and predicted."""
-    docs = make_room(docs, *ADDED)
     names, weights, constant = tuple(model["names"]), np.array(model["weights"]), model["constant"]
 
     @F.arrow_udf(T.DoubleType())
@@ -218,7 +217,8 @@ def score(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text")
         logit = np.array([constant + sum(weights[i] for i in sorted(known.of(t.as_py()))) for t in texts])
         return pa.array(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
-    return docs.withColumn("score", scored(F.col(text))).withColumns({"held_out": held_out(F.col(id)), "predicted": F.when(F.col("score") >= 0.5, 1).otherwise(0)})
+    add = lambda d: d.withColumn("score", scored(F.col("text"))).withColumns({"held_out": held_out(F.col("doc_id")), "predicted": F.when(F.col("score") >= 0.5, 1).otherwise(0)})
+    return apart(docs, add, {"doc_id": id, "text": text}, ("score", "held_out", "predicted"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -113,13 +113,12 @@ def token_counts(urls: DataFrame, url: str, rules) -> dict[str, int]:
 
 def judge(urls: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """``urls`` with host, path, rule (the listed rule that decides, else null), pattern (the pattern that fits) and verdict."""
-    from .common import make_room
+    from .common import apart
 
     rules = tuple(rules)
     if bare := [r.name for r in rules if not r.tokens]:
         raise ValueError(f"rules without a literal token: {bare}")
     names = [n for n in ("host", "path", "rule", "pattern", "verdict") if n != url]
-    urls = make_room(urls, *names)
     index = Index(rules, token_counts(urls, url, rules))
     kind = T.StructType([T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "pattern", "verdict")])
 
@@ -128,7 +127,8 @@ def judge(urls: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
         seen = [index.judge(u) for u in given.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([s[i] for s in seen], pa.string()) for i in range(5)], names=list(kind.names))
 
-    return urls.withColumn("_told", told(F.col(url))).select(*urls.columns, *[F.col(f"_told.{n}").alias(n) for n in names])
+    add = lambda d: d.withColumn("told", told(F.col("url"))).select("*", *[F.col(f"told.{n}").alias(n) for n in names])
+    return apart(urls, add, {"url": url}, tuple(names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

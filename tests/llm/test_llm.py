@@ -189,7 +189,6 @@ def test_graph_audit_without_links(monkeypatch):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x = x[r.permutation(8000)]
     monkeypatch.setattr(embedding_dedup, "BEAM", 2)
-    monkeypatch.setattr(embedding_dedup, "SCAN", 0, raising=False)
     true = [np.flatnonzero(s >= 0.9) for s in x @ x.T]
     pairs, lone = [[i for i, t in enumerate(true) if (len(t) > 1) == k] for k in (True, False)]
     asked = np.zeros(600 + embedding_dedup.AUDITED, int)
@@ -658,7 +657,6 @@ def test_near_dedup_ids_with_several_texts(spark):
 def test_embedding_dedup_ids_with_several_vectors(spark, monkeypatch):
     """Rows that repeat an id with another vector link by both; other columns stay, clashing ones give way; parts and graphs of several shards."""
     monkeypatch.setattr(embedding_dedup, "PART", 8 * 4 * 3)
-    monkeypatch.setattr(embedding_dedup, "SCAN", 0)
     a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
     near = lambda v: [x + 0.05 for x in v]
     rows = [(5, a, "p", 1), (5, b, "q", 2), (7, near(a), "r", 3), (8, near(b), "s", 4), (9, c, "t", 5), (9, c, "t", 5), (4, near(c), "u", 6)]
