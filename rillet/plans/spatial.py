@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import edge_distance, in_polygon
-from ..operators import spatial
+from ..operators import cover, spatial
 from .registry import Tables, query
 
 #: Fixed values of the test region: an outer ring and a hole, (lon, lat).
@@ -73,6 +73,30 @@ def first_region(t: Tables):
     return spatial.first_region(places(t.supplier, "s_suppkey"), [("middle", REGION), ("west", WEST)]).select("id", "region")
 
 
+#: Fixed values of the polygons around suppliers: corners of the outer ring and of a hole, in radii around the middle.
+RINGS = ([(1.0, 0.1), (0.6, 0.7), (0.1, 0.4), (-0.5, 0.9), (-0.9, 0.2), (-0.4, -0.3), (-0.7, -0.8), (0.2, -0.9), (0.7, -0.5)], [(0.2, 0.1), (-0.1, 0.2), (-0.2, -0.1), (0.1, -0.2)])
+
+
+def areas(suppliers):
+    """(region, place, rings): a polygon around each supplier, those of even keys with a hole."""
+    s = places(suppliers, "s_suppkey").withColumn("r", F.lit(0.15) + (F.col("id") % 7) * 0.05)
+    outer, hole = (F.array(*[F.struct((F.col("lon") + x * F.col("r")).alias("x"), (F.col("lat") + y * F.col("r")).alias("y")) for x, y in ring]) for ring in RINGS)
+    return s.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("region"), (F.col("id") % 10).alias("place"), F.when(F.col("id") % 2 == 0, F.array(outer, hole)).otherwise(F.array(outer)).alias("rings"))
+
+
+_corner = ", ".join(f"({k}, {', '.join(f'{v!r}::DOUBLE' for v in (*a, *b))})" for k, ring in enumerate(RINGS) for a, b in zip(ring, [*ring[1:], ring[0]]))
+
+
+@query(f"""WITH p AS ({_places('customer', 'c_custkey')}), s AS (SELECT *, 0.15::DOUBLE + (id % 7) * 0.05::DOUBLE AS r FROM ({_places('supplier', 's_suppkey')})),
+e AS (SELECT s.id, lon + dx1 * r AS x1, lat + dy1 * r AS y1, lon + dx2 * r AS x2, lat + dy2 * r AS y2 FROM s, (VALUES {_corner}) c(ring, dx1, dy1, dx2, dy2) WHERE ring = 0 OR id % 2 = 0),
+hits AS (SELECT p.id, e.id AS polygon FROM p, e WHERE (y1 > lat) <> (y2 > lat) AND lon < (lat - y1) * ((x2 - x1) / (y2 - y1)) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1),
+best AS (SELECT id, arg_min('r' || polygon, struct_pack(a := polygon % 10, b := 'r' || polygon)) AS region FROM hits GROUP BY 1)
+SELECT p.id, region FROM p LEFT JOIN best USING (id)""")
+def region_join(t: Tables):
+    """Every customer with the first polygon of a table that holds it."""
+    return cover.regions(places(t.customer, "c_custkey"), areas(t.supplier)).select("id", "region")
+
+
 @query(f"""WITH g AS (SELECT l.*, floor((lon + 5) / 0.5) AS i, floor((lat - 50) / 0.5) AS j FROM ({_places('customer', 'c_custkey')}) l)
 SELECT CAST(floor(i / 4) AS BIGINT) AS i4, CAST(floor(j / 4) AS BIGINT) AS j4, round(avg(v), 6) AS pooled, count(*) AS cells FROM (SELECT i, j, avg(lat + lon) AS v FROM g GROUP BY 1, 2) GROUP BY 1, 2""")
 def block_mean_pool(t: Tables):
