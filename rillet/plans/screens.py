@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import documents, units
-from ..operators import incremental, montecarlo, records, resample, rolls, screens
+from ..operators import forest, incremental, montecarlo, records, resample, rolls, screens
 from .registry import Tables, query
 from .series import MONTHLY, OLS, supplier_daily
 
@@ -173,6 +174,35 @@ def roll_backtest(t: Tables):
     return rounded(rolls.gate(rolls.backtest(h, "momentum", origins, 14)), 6, "mae", "mae_persistence", "skill")
 
 
+@query("""WITH v AS (SELECT l_suppkey % 20 AS key, unnest([0, 1, 2]) AS feature, unnest([l_quantity, l_discount, l_tax]) AS edge, l_extendedprice AS y FROM lineitem),
+h AS (SELECT key, feature, edge, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM v GROUP BY 1, 2, 3),
+c AS (SELECT key, feature, edge, sum(n) OVER w AS n1, sum(s) OVER w AS s1, sum(n) OVER a AS n, sum(s) OVER a AS s, sum(q) OVER a AS q FROM h WINDOW w AS (PARTITION BY key, feature ORDER BY edge), a AS (PARTITION BY key, feature)),
+g AS (SELECT *, round((s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) - s * s / n) / (q - s * s / n), 9) AS share FROM c WHERE n1 >= 5 AND n - n1 >= 5)
+SELECT key, CAST(feature AS INTEGER) AS feature, round(edge, 6) AS edge, round(s / n, 6) AS mean, round(s1 / n1, 6) AS below, round((s - s1) / (n - n1), 6) AS above FROM g QUALIFY row_number() OVER (PARTITION BY key ORDER BY share DESC, feature, edge) = 1""")
+def forest_cuts(t: Tables):
+    """The first cut of each key's tree, without bagging."""
+    rows = t.lineitem.select((F.col("l_suppkey") % 20).alias("key"), "l_quantity", "l_discount", "l_tax", "l_extendedprice", F.xxhash64("l_orderkey", "l_linenumber").alias("row"))
+    tree = forest.grow(rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "row", trees=1, depth=1, bagged=False).select("key", F.col("trees")[0].alias("t"))
+    out = tree.select("key", F.col("t")[0]["feature"].alias("feature"), F.col("t")[0]["edge"].alias("edge"), *[F.col("t")[i]["value"].alias(n) for i, n in enumerate(("mean", "below", "above"))])
+    return rounded(out.filter("feature is not null"), 6, "edge", "mean", "below", "above")
+
+
+@query()
+def forest_rolls(t: Tables):
+    """A forest of each key's daily change, grown on what came before June 1998, rolled through the days from then on for three members."""
+    day = Window.partitionBy("key").orderBy(F.datediff("date", F.lit("1970-01-01").cast("date")))
+    ago = lambda n: F.last("value").over(day.rangeBetween(-n, -n))
+    h = _history(t).withColumns({"lag": ago(7), "change": F.col("value") - ago(1)})
+    xs = ["lag", "recharge", "season_sin", "season_cos"]
+    past = h.filter("date < date'1998-06-01'")
+    bounds = past.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.percentile("change", F.array(F.lit(0.01), F.lit(0.99))).alias("q"), F.max_by("value", "date").alias("level"))
+    model = forest.grow(past, xs, "change", "date", trees=12, depth=4)
+    params = model.join(bounds, "key").select("key", "trees", "lo", "hi", F.col("q")[0].alias("lo_change"), F.col("q")[1].alias("hi_change"))
+    ahead = h.filter("date >= date'1998-06-01'").na.drop(subset=xs).withColumn("member", F.explode(F.array(*map(F.lit, range(3)))))
+    drivers = ahead.select("key", "member", "date", F.array("lag", F.col("recharge") * (1 + F.col("member") / 10), "season_sin", "season_cos").alias("x"))
+    return rounded(forest.roll(drivers, params, bounds, 4, 0), 6, "value")
+
+
 @query("""WITH e AS (SELECT l_shipmode AS method, regime, l_linenumber AS lead, l_discount - l_tax AS error FROM (SELECT CAST(l_suppkey % 4 AS VARCHAR) AS l_shipmode, CASE l_returnflag WHEN 'A' THEN 'strong' WHEN 'N' THEN 'rising' ELSE 'quiescent' END AS regime, * FROM lineitem)),
 b AS (SELECT method, regr_slope(bias, lead) AS s FROM (SELECT method, lead, avg(error) AS bias FROM e GROUP BY 1, 2) GROUP BY 1)
 SELECT method, round(avg(abs(error)), 8) AS mae, round(avg(abs(error)) FILTER (regime = 'strong'), 8) AS mae_strong, round(avg(abs(error)) FILTER (regime = 'rising'), 8) AS mae_rising, round(avg(abs(error)) FILTER (regime = 'quiescent'), 8) AS mae_quiescent, round(avg(abs(error)) FILTER (lead = 7), 8) AS mae_last, round(any_value(s), 8) AS bias_slope
