@@ -52,32 +52,6 @@ def ar1_fan(series: DataFrame, horizon: int, samples: int) -> DataFrame:
     return series.groupBy("key").applyInPandas(simulate, "key long, lead int, p10 double, p50 double, p90 double, phi double, sigma double")
 
 
-def gamma_response(series: DataFrame, lags: int = 30) -> DataFrame:
-    """(key, a, scale, offset, r2, sigma): value = offset + a * (rain convolved with a Gamma density), shape 2; the scale by a bounded grid
-    search, the rest by least squares. A documented stand-in for a transfer-function library."""
-    grid = np.geomspace(0.5, 15.0, 12)
-
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf.sort_values("date").set_index("date")
-        days = pd.date_range(s.index.min(), s.index.max())
-        rain = s["rain"].reindex(days.date).fillna(0.0).to_numpy(float)
-        at = np.array([(d - s.index.min()).days for d in s.index])
-        y, best = s["value"].to_numpy(float), None
-        for scale in grid:
-            i = np.arange(1, lags + 1)
-            k = i / scale**2 * np.exp(-i / scale)
-            x = np.convolve(rain, k / k.sum())[: len(rain)][at]
-            a = np.stack([np.ones(len(x)), x], 1)
-            c = np.linalg.lstsq(a, y, rcond=None)[0]
-            left = y - a @ c
-            if best is None or left @ left < best[0]:
-                best = (left @ left, float(c[1]), float(scale), float(c[0]), float(left.std()))
-        all_ = ((y - y.mean()) ** 2).sum()
-        return pd.DataFrame([(key[0], best[1], best[2], best[3], float(1 - best[0] / all_) if all_ > 0 else 0.0, best[4])], columns=["key", "a", "scale", "offset", "r2", "sigma"])
-
-    return series.groupBy("key").applyInPandas(search, "key long, a double, scale double, offset double, r2 double, sigma double")
-
-
 def hindcast(series: DataFrame, stride: int, horizon: int) -> DataFrame:
     """(lead, mae, bias, n) of persistence from every ``stride``-th row of a key; natively, by one window and a frame of days."""
     w = Window.partitionBy("key").orderBy("date")

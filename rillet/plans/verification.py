@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fit, verify
+from ..operators import fit, transfer, verify
 from .ensembles import MEMBERS, members
 from .registry import Tables, query
 from .series import events_daily, supplier_daily
@@ -87,9 +87,12 @@ def mc_fan(t: Tables):
 
 @query()
 def gamma_response(t: Tables):
-    """Transfer function: each supplier's daily mean against its rainfall stand-in, by bounded search."""
-    rain = t.lineitem.groupBy(F.col("l_suppkey").alias("key"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("rain"))
-    return fit.gamma_response(supplier_daily(t).join(rain, ["key", "date"]))
+    """Transfer function: each supplier's daily mean as the response to its quantities, with a season for evaporation."""
+    day = F.to_date("l_shipdate")
+    season = 2 + 2 * F.sin(2 * 3.141592653589793 * F.dayofyear("date") / 365.25)
+    rain = t.lineitem.groupBy(F.col("l_suppkey").alias("key"), day.alias("date")).agg(F.sum("l_quantity").alias("rain")).withColumn("evaporation", season)
+    out = transfer.transfer(supplier_daily(t), rain)
+    return out.select("key", "n", *[F.round(c, 4).alias(c) for c in ("gain", "shape", "scale", "factor", "base", "alpha", "sigma", "objective", "evp", "lag_one")], "rescued")
 
 
 @query()
