@@ -3,84 +3,74 @@
 from __future__ import annotations
 
 import difflib
-import math
-from collections import Counter
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import types as T
 
 from ..functions import normal_name
-from .spatial import within
+from .spatial import _cut, within
 from .windows import keep_latest
 
-#: Names of a side in a block; a character's further occurrences than OFTEN in a name are counted together.
-BLOCK, OFTEN = 20_000, 16
-
-
-def _marks(names: list[str], columns: dict[tuple[str, int], int]) -> tuple[np.ndarray, np.ndarray]:
-    """(names, columns) with a one for a name's n-th occurrence of a character, and each name's count of those beyond OFTEN."""
-    out, rest = np.zeros((len(names), len(columns)), np.float32), np.zeros(len(names), np.float32)
-    for i, name in enumerate(names):
-        for c, n in Counter(name).items():
-            rest[i] += max(0, n - OFTEN)
-            out[i, [columns[c, k] for k in range(min(n, OFTEN)) if (c, k) in columns]] = 1
-    return out, rest
-
-
-def _most_similar(ratio: float, kind: pa.Schema):
-    """For each name of a left block the most similar of a right block at ``ratio`` or more. Characters in common, twice of which over both lengths is
-    at least the ratio, and then pairs of characters in common leave few to compare; neither loses any."""
-
-    def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names, others, ids = left["norm"].to_pylist(), right["norm"].to_pylist(), right["b"].to_pylist()
-        columns: dict[tuple[str, int], int] = {}
-        for name in others:
-            for c, n in Counter(name).items():
-                for k in range(min(n, OFTEN)):
-                    columns.setdefault((c, k), len(columns))
-        (x, more), (y, more2) = _marks(names, columns), _marks(others, columns)
-        size, size2 = np.array([len(n) for n in names], np.float32), np.array([len(n) for n in others], np.float32)
-        pairs = [Counter(zip(n, n[1:])) for n in others]
-        out, step = [], max(1, 4_000_000 // max(1, len(others)))
-        for at in range(0, len(names), step):
-            common = x[at : at + step] @ y.T + np.minimum(more[at : at + step, None], more2)
-            rows, cols = np.nonzero(2 * common >= ratio * (size[at : at + step, None] + size2) - 1e-3)
-            found: dict[int, tuple] = {}
-            own, last = None, -1
-            for i, j in zip((rows + at).tolist(), cols.tolist()):
-                if i != last:
-                    own, last = Counter(zip(names[i], names[i][1:])), i
-                both = len(names[i]) + len(others[j])
-                if (own & pairs[j]).total() < 3 * (ratio * both / 2) - both - 1 - 1e-6:
-                    continue
-                s = difflib.SequenceMatcher(None, names[i], others[j]).ratio()
-                if s >= ratio:
-                    found[i] = min(found.get(i, (1.0,)), (-s, ids[j] is not None, ids[j]))
-            out += [(names[i], b, -s) for i, (s, _, b) in found.items()]
-        return pa.table([pa.array([r[k] for r in out], kind.field(k).type) for k in range(3)], schema=kind)
-
-    return best
+#: Over this ratio names that aren't equal share a pair of neighbouring characters for sure; up to it they are compared by single ones.
+PAIRS_OVER = 0.8
 
 
-def similar(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
-    """(norm, b, s): for each ``norm`` of ``left`` the ``b`` of the most similar ``norm`` of ``right`` (b, norm), if its ratio is ``ratio`` or more; every
-    pair of names whose lengths allow that meets, in blocks."""
-    step = math.log((2 - ratio) / ratio) + 1e-6
-    classes = F.floor(F.log(F.length("norm")) / F.lit(step)).cast("int")
+def _marks(name: Column, width: int) -> Column:
+    """The name's runs of ``width`` characters, each with its number among equal ones, so that marks in common count as often as both have them."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(name) - width + 1), lambda i: F.substr(name, i, F.lit(width)))
+    runs = F.when(F.length(name) >= width, runs).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(runs), lambda g: F.transform(g, lambda x, i: F.concat(x, F.size(F.filter(F.slice(g, 1, i), lambda y: y == x)).cast("string"))))[0]
+
+
+def _shared(ratio: float, width: int, both: Column) -> Column:
+    """Marks that names of ``both`` characters together share at least, if their ratio is reached: m characters match, 2 m being the ratio's part of both, in
+    both - 2 m + 1 runs at most, and a run of k characters has k - 1 pairs."""
+    least = F.lit(1.5 * ratio - 1) * both - 1 if width == 2 else F.lit(ratio / 2) * both
+    return F.greatest(F.ceil(least - 1e-6).cast("int"), F.lit(0))
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over both lengths."""
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], index=a.index, dtype=float)
+
+
+def candidates(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
+    """(norm, other, b): pairs of ``left`` (norm) and ``right`` (norm, b) that may reach the ratio, none lost. Names have their marks in order of rarity over both
+    sides; names that share enough marks share one among the first few of each, so the sides meet by those, within the lengths that the ratio allows,
+    and a pair stands once, under its first mark in common. What is left has the marks in common that it needs."""
+    width = 2 if ratio > PAIRS_OVER else 1
     l = left.filter("norm <> ''").select("norm").distinct()
     r = right.filter("norm <> ''").groupBy("norm").agg(F.min("b").alias("b"))
-    blocks = lambda df: max(1, -(-df.count() // BLOCK))
-    m, n = blocks(l), blocks(r)
-    deal = lambda k: F.pmod(F.xxhash64("norm"), F.lit(k)).cast("int")
-    all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    l = l.select("norm", classes.alias("k"), deal(m).alias("i")).withColumn("j", all_(n))
-    r = r.select("norm", "b", F.explode(F.array(classes - 1, classes, classes + 1)).alias("k"), deal(n).alias("j")).withColumn("i", all_(m))
-    kind = l.select("norm").schema.add("b", r.schema["b"].dataType).add("s", "double")
-    keys = ["k", "i", "j"]
-    return l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(_most_similar(ratio, to_arrow_schema(kind)), kind)
+    both = l.select("norm", F.lit(True).alias("own")).unionByName(r.select("norm", F.lit(False).alias("own")))
+    marks = _cut(both.select("norm", "own", F.explode(_marks(F.col("norm"), width)).alias("mark")))
+    rare = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    ordered = marks.join(rare, "mark").groupBy("norm", "own").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "mark"))), lambda x: x["mark"]).alias("marks"))
+    # The fewest marks that any partner of allowed length shares with it; one less may be missing from the first ones.
+    shortest = F.ceil(F.length("norm") * (ratio / (2 - ratio)) - 1e-6)
+    need = F.greatest(_shared(ratio, width, F.length("norm") + shortest), F.lit(1))
+    first = ordered.withColumn("first", F.slice("marks", 1, F.greatest(F.size("marks") - need + 1, F.lit(0))))
+    side = lambda own: first.filter("own" if own else "not own").select(F.col("norm").alias("norm" if own else "other"), F.explode("first").alias("mark"), F.col("first").alias("f1" if own else "f2"), F.col("marks").alias("m1" if own else "m2"))
+    met = side(True).join(side(False), "mark")
+    size1, size2 = F.length("norm"), F.length("other")
+    fits = 2 * F.least(size1, size2) >= ratio * (size1 + size2) - 1e-9
+    once = F.get(F.array_intersect("f1", "f2"), F.lit(0)) == F.col("mark")
+    enough = F.size(F.array_intersect("m1", "m2")) >= _shared(ratio, width, size1 + size2)
+    pairs = met.filter(fits & once & enough).select("norm", "other")
+    # Names too short for any mark to be needed are similar only if they are equal.
+    same = l.join(r.select(F.col("norm")), "norm").select("norm", F.col("norm").alias("other"))
+    pairs = pairs.filter("norm <> other").unionByName(same)
+    return pairs.join(r.select(F.col("norm").alias("other"), "b"), "other").select("norm", "other", "b")
+
+
+def similar(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
+    """(norm, b, s): for each ``norm`` of ``left`` the ``b`` of the most similar ``norm`` of ``right`` (b, norm), if its ratio is ``ratio`` or more; ties to the
+    smallest ``b``, null ones first."""
+    told = candidates(left, right, ratio).withColumn("s", similarity("norm", "other")).filter(F.col("s") >= ratio)
+    best = told.groupBy("norm").agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("b").isNotNull().alias("known"), "b")).alias("x"))
+    return best.select("norm", "x.b", (-F.col("x.s")).alias("s"))
 
 
 def cascade(left: DataFrame, right: DataFrame, metres: float = 50.0, ratio: float = 0.9, names: bool = True) -> DataFrame:
