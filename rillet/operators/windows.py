@@ -51,16 +51,6 @@ def steps(series: DataFrame, bound: float, times: float = 4.0) -> DataFrame:
     return d.join(scale, "key").groupBy("key").agg(F.max("max_step").alias("max_step"), F.sum(F.when((F.col("d") > bound) & (F.col("d") > times * F.col("scale")), 1).otherwise(0)).alias("n_steps"))
 
 
-def interpolate(grid: DataFrame, most: int = 30) -> DataFrame:
-    """filled: linear between the neighbours that have values, where both are within ``most`` days."""
-    w = Window.partitionBy("key").orderBy("date")
-    there = F.when(F.col("value").isNotNull(), F.struct("date", "value"))
-    df = grid.withColumns({"_a": F.last(there, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first(there, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    gone, left = F.datediff("date", F.col("_a.date")), F.datediff(F.col("_b.date"), "date")
-    line = F.col("_a.value") + (F.col("_b.value") - F.col("_a.value")) * gone / (gone + left)
-    return df.withColumn("filled", F.when(F.col("value").isNotNull(), F.col("value")).when((gone <= most) & (left <= most), line)).drop("_a", "_b")
-
-
 def fill(grid: DataFrame) -> DataFrame:
     """filled: the last value before, else the first after, else 0."""
     w = Window.partitionBy("key").orderBy("date")
@@ -68,16 +58,6 @@ def fill(grid: DataFrame) -> DataFrame:
     return grid.withColumn("filled", F.coalesce(before, after, F.lit(0.0)))
 
 
-def stuck(readings: DataFrame, hours: float = 24.0) -> DataFrame:
-    """(key, last_value, run_start, run_end, stuck) of (key, ts, value): whether the key's last run of equal values lasts longer."""
-    w = Window.partitionBy("key").orderBy("ts")
-    runs = readings.withColumn("_new", F.when(F.col("value") == F.lag("value").over(w), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    per = runs.groupBy("key", "_run").agg(F.min("ts").alias("run_start"), F.max("ts").alias("run_end"), F.first("value").alias("last_value"))
-    last = per.groupBy("key").agg(F.max_by(F.struct("last_value", "run_start", "run_end"), "_run").alias("r")).select("key", "r.*")
-    seconds = F.unix_micros(F.col("run_end").cast("timestamp")) - F.unix_micros(F.col("run_start").cast("timestamp"))
-    return last.withColumn("stuck", seconds > hours * 3_600_000_000)
-
-
 def keep_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row a key, the first in ``order``."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -110,16 +90,6 @@ def split_by_time(series: DataFrame, share: float) -> DataFrame:
     return series.withColumn("part", F.when(F.row_number().over(w) <= F.floor(n * share), "train").otherwise("test"))
 
 
-def as_of(axis: DataFrame, obs: DataFrame, tolerance: int) -> DataFrame:
-    """(key, date, value, seen) for each (key, date) of ``axis``: the last value at or before it, if it is ``tolerance`` days old at most.
-    A union and one window instead of a range join, so it is one sort a key however many observations there are."""
-    both = axis.select("key", "date", F.lit(None).cast("double").alias("value"), F.lit(1).alias("ask")).unionByName(obs.select("key", "date", "value", F.lit(0).alias("ask")))
-    w = Window.partitionBy("key").orderBy("date", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("ask") == 0, F.struct("date", "value")), True).over(w)
-    near = F.datediff("date", last["date"]) <= tolerance
-    return both.withColumns({"v": F.when(near, last["value"]), "seen": F.when(near, last["date"])}).filter("ask = 1").select("key", "date", F.col("v").alias("value"), "seen")
-
-
 def places_in_order(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """``df`` with each row's place (long, from 1) in a total ``order``: ranges of the order are ranked apart, and each starts after the
     rows of those before it, so no task holds more than a range."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import effective_rain, season_day, seasonality, water_year, weibull_kernel
-from ..operators import normals, quality, resample, trend, windows
+from ..operators import normals, quality, resample, segments, trend, windows
 from .registry import Tables, query
 
 
@@ -99,7 +99,7 @@ first_value(CASE WHEN value IS NOT NULL THEN date END IGNORE NULLS) OVER f AS db
 WINDOW p AS (PARTITION BY key ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY key ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT key, date, round(CASE WHEN value IS NOT NULL THEN value WHEN date - da <= 2 AND db - date <= 2 THEN va + (vb - va) * (date - da) / (db - da) END, 6) AS filled FROM ab""")
 def gap_interpolate(t: Tables):
-    return windows.interpolate(resample.grid(events_daily(t)), 2).select("key", "date", F.round("filled", 6).alias("filled"))
+    return segments.interpolate(resample.grid(events_daily(t)), 2).select("key", "date", F.round("filled", 6).alias("filled"))
 
 
 @query(f"""WITH {GRID} SELECT key, date, round(coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY key ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 6) AS filled FROM grid""")
@@ -112,7 +112,7 @@ g AS (SELECT *, sum(s) OVER (PARTITION BY key ORDER BY ts) AS run FROM n), p AS
 SELECT key, CAST(v AS BIGINT) AS last_value, epoch_us(b) - epoch_us(a) > 24 * 3600000000 AS stuck FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run DESC) AS k FROM p) WHERE k = 1""")
 def stuck_run_flag(t: Tables):
     r = t.events.select(F.col("user_id").alias("key"), "ts", F.floor(F.col("value") / 40).alias("value"))
-    return windows.stuck(r).select("key", "last_value", "stuck")
+    return segments.stuck(r).select("key", "last_value", "stuck")
 
 
 NORMALS = f"""{MONTHLY}, cutoff AS (SELECT date_trunc('month', max(date) + 1) AS m FROM daily),
@@ -227,7 +227,7 @@ def train_test_split(t: Tables):
 SELECT axis.key, axis.date, CASE WHEN axis.date - o.date <= 3 THEN round(o.value, 6) END AS value, CASE WHEN axis.date - o.date <= 3 THEN o.date END AS seen FROM axis ASOF LEFT JOIN daily o ON axis.key = o.key AND axis.date >= o.date""")
 def as_of_weekly(t: Tables):
     axis = t.events.select(F.col("user_id").alias("key")).distinct().select("key", F.explode(F.expr("sequence(date'2024-01-01', date'2024-02-05', interval 7 day)")).alias("date"))
-    return windows.as_of(axis, events_daily(t), 3).select("key", "date", F.round("value", 6).alias("value"), "seen")
+    return segments.as_of(axis, events_daily(t), 3).select("key", "date", F.round("value", 6).alias("value"), "seen")
 
 
 @query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS v FROM orders GROUP BY 1)

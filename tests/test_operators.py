@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillet import functions as fn
 from rillet import functions
-from rillet.operators import ensemble, extra, fit, incremental, normals, quality, resample, spatial, trend, verify, windows
+from rillet.operators import ensemble, extra, fit, incremental, normals, quality, resample, segments, spatial, trend, verify, windows
 
 D = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
 SERIES = "key int, date date, value double"
@@ -50,7 +50,7 @@ def test_weibull_against_numpy(spark):
 
 def test_interpolation_stops_at_long_gaps(spark):
     g = resample.grid(series(spark, [(0, 0.0), (4, 8.0), (10, 2.0)]))
-    got = {r[1]: r[3] for r in rows(windows.interpolate(g, 3))}
+    got = {r[1]: r[3] for r in rows(segments.interpolate(g, 3))}
     assert got[D(1)] == 2.0 and got[D(3)] == 6.0 and got[D(5)] is None and got[D(7)] == 5.0
 
 
@@ -144,7 +144,7 @@ def test_normals_leave_out_the_open_month(spark):
 
 def test_empty_tables(spark):
     e = spark.createDataFrame([], SERIES)
-    for df in (windows.calendar_lags(e), windows.rolling_full(e), resample.grid(e), windows.interpolate(e), windows.noise(e), incremental.missing_ranges(e), trend.theil_sen(resample.monthly(e)), windows.recurrence(e, 0.5, 0.5)):
+    for df in (windows.calendar_lags(e), windows.rolling_full(e), resample.grid(e), segments.interpolate(e), windows.noise(e), incremental.missing_ranges(e), trend.theil_sen(resample.monthly(e)), windows.recurrence(e, 0.5, 0.5)):
         assert df.collect() == []
 
 
