@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extra, windows
+from ..operators import extra, quantiles, windows
 from .registry import Tables, query
 from .series import EVENTS_DAILY, events_daily
 from .spatial import _places, places
@@ -142,3 +142,11 @@ def simplified_lines(t: Tables):
     p = places(t.customer, "c_custkey").groupBy((F.col("id") % 20).alias("id_")).agg(F.array_sort(F.collect_list(F.struct("id", "lon", "lat"))).alias("a"))
     lines = p.select(F.col("id_").alias("id"), F.transform("a", lambda q: F.struct(q["lon"].alias("x"), q["lat"].alias("y"))).alias("points"))
     return extra.simplify(lines, 0.5)
+
+
+@query("""SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, [round(q, 6) for q in quantile_cont(l_extendedprice, [0.1, 1.0/3, 0.5, 0.9, 0.999])] AS quantiles FROM lineitem GROUP BY 1, 2""")
+def big_group_quantiles(t: Tables):
+    """Exact quantiles of groups of which each has a good part of all rows, by rounds of counting instead of one task a group."""
+    rows = t.lineitem.select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), "l_extendedprice")
+    found = quantiles.quantiles(rows, ["flag", "status"], "l_extendedprice", [0.1, 1 / 3, 0.5, 0.9, 0.999], bound=1000)
+    return found.withColumn("quantiles", F.transform("quantiles", lambda q: F.round(q, 6)))
