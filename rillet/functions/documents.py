@@ -51,15 +51,26 @@ def percent(p: Column, digits: int = 0) -> Column:
     return F.format_string(f"%.{digits}f%%", p * 100)
 
 
+#: What headlines are made of.
+NONE = "No breach threshold available for this borehole — fan shown without a breach probability."
+TAG = "  Indicative — uncalibrated."
+PROXY = " (proxy threshold)"
+CHANCE = " chance of breaching "
+CROSSING = "; median first crossing "
+REST = " of members do not cross."
+SAMPLED = "sampled trajectories"
+WITHIN = " within the {}-day operational window)"
+
+
 def headline(source: Column, threshold: Column, days: Column, p: Column, p_window: Column, samples: Column, members: Column, first: Column, early: Column, late: Column, censored: Column, window: int = 14) -> Column:
     """A sentence on the chance of a breach, the first crossing and its quartiles. Nothing crossing is told as less than one in the samples."""
-    note = F.when(source == "gw_p90_proxy", " (proxy threshold)").otherwise("")
-    tag = F.lit("  Indicative — uncalibrated.")
+    note = F.when(source == "gw_p90_proxy", PROXY).otherwise("")
+    tag = F.lit(TAG)
     at = F.format_string("%.1f mAOD within %d days", threshold.cast("double"), days.cast("int"))
     n = F.coalesce(samples.cast("double"), members.cast("double"), F.lit(51.0))
-    basis = F.when(samples.isNotNull(), "sampled trajectories").otherwise("members")
-    never = F.concat(F.lit("<"), percent(F.greatest(1 / n, F.lit(0.001)), 1), F.lit(" chance of breaching "), at, note, F.lit("; no "), basis, F.lit(" cross."), tag)
-    within = F.when((days > window) & p_window.isNotNull(), F.concat(F.lit(" ("), percent(p_window), F.lit(f" within the {window}-day operational window)"))).otherwise("")
-    some = F.concat(percent(p), F.lit(" chance of breaching "), at, within, note, F.lit("; median first crossing "), iso_day(first), F.lit(" (P25–P75: "), iso_day(early), F.lit("–"), iso_day(late), F.lit("). "), percent(censored), F.lit(" of members do not cross."), tag)
-    none = F.lit("No breach threshold available for this borehole — fan shown without a breach probability.")
+    basis = F.when(samples.isNotNull(), SAMPLED).otherwise("members")
+    never = F.concat(F.lit("<"), percent(F.greatest(1 / n, F.lit(0.001)), 1), F.lit(CHANCE), at, note, F.lit("; no "), basis, F.lit(" cross."), tag)
+    within = F.when((days > window) & p_window.isNotNull(), F.concat(F.lit(" ("), percent(p_window), F.lit(WITHIN.format(window)))).otherwise("")
+    some = F.concat(percent(p), F.lit(CHANCE), at, within, note, F.lit(CROSSING), iso_day(first), F.lit(" (P25–P75: "), iso_day(early), F.lit("–"), iso_day(late), F.lit("). "), percent(censored), F.lit(REST), tag)
+    none = F.lit(NONE)
     return F.when((source == "none") | source.isNull() | threshold.isNull(), none).when(p <= 0, never).otherwise(some)

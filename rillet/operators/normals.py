@@ -14,7 +14,7 @@ RUNGS = ("p10", "t1", "median", "t2", "p90")
 
 def monthly_normals(series: DataFrame, before, least: int = 5, how: str = "avg") -> DataFrame:
     """(key, month, p10, t1, median, t2, p90, years) by calendar month from whole months before ``before`` (a date column);
-    months are averaged first, so that dense years don't outvote sparse ones."""
+    each month is one number, whatever its number of rows."""
     m = monthly(series, how).filter(F.col("month") < F.trunc(before, "MM"))
     q = m.groupBy("key", F.month("month").alias("month")).agg(F.percentile("value", F.array(*map(F.lit, LADDER))).alias("q"), F.count(F.lit(1)).alias("years"))
     return q.filter(F.col("years") >= least).select("key", "month", *[F.col("q")[i].alias(n) for i, n in enumerate(RUNGS)], "years")

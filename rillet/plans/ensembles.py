@@ -65,13 +65,6 @@ def tercile_probs(t: Tables):
     return ensemble.tercile_probabilities(m).select("key", *[F.round(c, 6).alias(c) for c in ("below", "near", "above")])
 
 
-@query("""WITH r AS (SELECT l_suppkey AS key, year(l_shipdate) AS trace, CASE WHEN min(l_discount) <= 0 THEN 0 ELSE exp(sum(ln(l_discount + 0.5))) END AS w FROM lineitem WHERE l_linenumber = 7 GROUP BY 1, 2)
-SELECT key, trace, round(CASE WHEN sum(w) OVER p > 0 THEN w / sum(w) OVER p ELSE 1.0 / count(*) OVER p END, 8) AS weight FROM r WINDOW p AS (PARTITION BY key)""")
-def trace_weights(t: Tables):
-    x = t.lineitem.filter("l_linenumber = 7").select(F.col("l_suppkey").alias("key"), F.year("l_shipdate").alias("trace"), F.when(F.col("l_discount") <= 0, 0.0).otherwise(F.col("l_discount") + 0.5).alias("p"))
-    return ensemble.trace_weights(x).withColumn("weight", F.round("weight", 8))
-
-
 @query("""WITH m AS (SELECT l_suppkey AS key, year(l_shipdate) AS trace, month(l_shipdate) AS month, round(avg(l_discount), 9) AS d FROM lineitem GROUP BY 1, 2, 3),
 r AS (SELECT key, trace, CASE WHEN min(d) FILTER (month <= 3) <= 0 THEN 0 ELSE coalesce(exp(sum(ln(d + 0.5)) FILTER (month <= 3)), 1) END AS w FROM m GROUP BY 1, 2)
 SELECT key, trace, round(CASE WHEN sum(w) OVER p > 0 THEN w / sum(w) OVER p ELSE 1.0 / count(*) OVER p END, 8) AS weight FROM r WINDOW p AS (PARTITION BY key)""")

@@ -41,16 +41,6 @@ def trailing_history(t: Tables):
     return picks.trailing(events_daily(t), 10).select("key", "date", F.round("value", 6).alias("value"))
 
 
-@query("""WITH s AS (SELECT l_suppkey AS k, min(CAST(l_shipdate AS DATE)) AS a, max(CAST(l_shipdate AS DATE)) AS b FROM lineitem GROUP BY 1)
-SELECT x.k AS a, y.k AS b, least(x.b, y.b) - greatest(x.a, y.a) AS days FROM s x JOIN s y ON x.k < y.k AND (x.k + 1 = y.k OR x.k + 2 = y.k) WHERE least(x.b, y.b) - greatest(x.a, y.a) >= 2 * 365""")
-def record_overlap(t: Tables):
-    """Neighbours whose records share years; the neighbours are the keys next to a key."""
-    s = t.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(F.min(F.to_date("l_shipdate")).alias("a"), F.max(F.to_date("l_shipdate")).alias("b"))
-    y = s.select(F.explode(F.array(F.col("k") - 1, F.col("k") - 2)).alias("k"), F.col("k").alias("k2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    both = s.join(y, "k").withColumn("days", F.datediff(F.least("b", "b2"), F.greatest("a", "a2")).cast("long"))
-    return both.filter("days >= 730").select(F.col("k").alias("a"), F.col("k2").alias("b"), "days")
-
-
 @query(f"""WITH s AS (SELECT l_suppkey AS k, min(CAST(l_shipdate AS DATE)) AS a, max(CAST(l_shipdate AS DATE)) AS b FROM lineitem GROUP BY 1), l AS ({_places("supplier", "s_suppkey")}), r AS (SELECT * FROM l),
 n AS (SELECT l.id AS a, r.id AS b FROM l, r WHERE l.id < r.id AND {KM} <= 60) SELECT n.a, n.b, least(x.b, y.b) - greatest(x.a, y.a) AS days FROM n JOIN s x ON x.k = n.a JOIN s y ON y.k = n.b WHERE least(x.b, y.b) - greatest(x.a, y.a) >= 2 * 365""")
 def neighbour_overlap(t: Tables):

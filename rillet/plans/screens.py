@@ -253,10 +253,10 @@ def unit_conversions(t: Tables):
     )
 
 
-@query("""WITH r AS (SELECT c_custkey AS key, CASE c_custkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'gw_p90_proxy' ELSE 'user' END AS source, CASE WHEN c_custkey % 11 > 0 THEN c_acctbal / 100 END AS threshold, 10 + c_custkey % 40 AS h, (c_custkey * 7 % 11) / 10.0 AS p, CASE WHEN c_custkey % 5 > 0 THEN (c_custkey * 3 % 11) / 10.0 END AS w,
+@query(f"""WITH r AS (SELECT c_custkey AS key, CASE c_custkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'gw_p90_proxy' ELSE 'user' END AS source, CASE WHEN c_custkey % 11 > 0 THEN c_acctbal / 100 END AS threshold, 10 + c_custkey % 40 AS h, (c_custkey * 7 % 11) / 10.0 AS p, CASE WHEN c_custkey % 5 > 0 THEN (c_custkey * 3 % 11) / 10.0 END AS w,
 CASE WHEN c_custkey % 2 = 0 THEN 4000 END AS ns, CASE WHEN c_custkey % 3 = 0 THEN 51 END AS nm, DATE '2024-01-01' + CAST(c_custkey % 50 AS INTEGER) AS md FROM customer)
-SELECT key, CASE WHEN source = 'none' OR threshold IS NULL THEN 'No breach threshold available for this borehole — fan shown without a breach probability.' WHEN p <= 0 THEN '<' || printf('%.1f%%', 100 * greatest(1.0 / coalesce(ns, nm, 51), 0.001)) || ' chance of breaching ' || printf('%.1f', threshold) || ' mAOD within ' || h || ' days' || CASE source WHEN 'gw_p90_proxy' THEN ' (proxy threshold)' ELSE '' END || '; no ' || CASE WHEN ns IS NULL THEN 'members' ELSE 'sampled trajectories' END || ' cross.  Indicative — uncalibrated.'
-ELSE printf('%.0f%%', 100 * p) || ' chance of breaching ' || printf('%.1f', threshold) || ' mAOD within ' || h || ' days' || CASE WHEN h > 14 AND w IS NOT NULL THEN printf(' (%.0f%% within the 14-day operational window)', 100 * w) ELSE '' END || CASE source WHEN 'gw_p90_proxy' THEN ' (proxy threshold)' ELSE '' END || '; median first crossing ' || md || ' (P25–P75: ' || (md - 3) || '–' || (md + 4) || printf('). %.0f%% of members do not cross.  Indicative — uncalibrated.', 100 * (1 - p)) END AS sentence FROM r""")
+SELECT key, CASE WHEN source = 'none' OR threshold IS NULL THEN '{documents.NONE}' WHEN p <= 0 THEN '<' || printf('%.1f%%', 100 * greatest(1.0 / coalesce(ns, nm, 51), 0.001)) || '{documents.CHANCE}' || printf('%.1f', threshold) || ' mAOD within ' || h || ' days' || CASE source WHEN 'gw_p90_proxy' THEN '{documents.PROXY}' ELSE '' END || '; no ' || CASE WHEN ns IS NULL THEN 'members' ELSE '{documents.SAMPLED}' END || ' cross.{documents.TAG}'
+ELSE printf('%.0f%%', 100 * p) || '{documents.CHANCE}' || printf('%.1f', threshold) || ' mAOD within ' || h || ' days' || CASE WHEN h > 14 AND w IS NOT NULL THEN printf(' (%.0f%%{documents.WITHIN.format(14)}', 100 * w) ELSE '' END || CASE source WHEN 'gw_p90_proxy' THEN '{documents.PROXY}' ELSE '' END || '{documents.CROSSING}' || md || ' (P25–P75: ' || (md - 3) || '–' || (md + 4) || printf('). %.0f%%{documents.REST}{documents.TAG}', 100 * (1 - p)) END AS sentence FROM r""")
 def headlines(t: Tables):
     k = F.col("c_custkey")
     source = F.when(k % 6 == 0, "none").when(k % 6 == 1, "gw_p90_proxy").otherwise("user")
