@@ -54,16 +54,23 @@ CHROME_WORDS = frozenset(
 ) for a in a.split() for b in bs.split()}
 DOUBT_WORDS = frozenset("side rail promotion notice notices alert consent login register footnotes copyright legal respond reply replies discussion social follow related recommended recommendations trending popular tags search form".split())
 MAIN_WORDS = frozenset("article articlebody article-body main main-content maincontent content post post-body post-content entry entry-content story story-body body-text text prose".split())
+#: Parts of longer names that say the same as the whole ones, unless another part says that the element merely has such a thing.
+CHROME_PARTS = frozenset("comment comments advert adverts advertisement advertisements ads sponsored cookie cookies gdpr newsletter".split())
+NOTICE_PARTS = frozenset("notice notices".split())
+HAVING_PARTS = frozenset("has no not with without open closed enabled disabled allow allowed page body layout site".split())
 #: Comments, declarations, and tags with their attributes. Nothing is read twice: groups are possessive, and a tag ends at the next one at the latest.
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:[\"'][^<>]*+)?(?:>|(?=<)|$)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
+#: What short blocks outside a main part say that aren't the article: rights, and entries with bars between them.
+RIGHTS, BARS = re.compile(r"(?i)©|\bcopyright\b|\ball rights reserved\b"), re.compile(r"\s[|·•»/]\s")
 #: Smoothness of neighbours under one parent; half of it for one more step in the tree between them, none beyond FAR steps. BESIDE: of blocks of
 #: one parent with others between them. Of each a quarter between blocks whose containers have different signs.
 SMOOTH, FAR, BESIDE, CONTRAST = 1.0, 8, 0.5, 0.25
 OPEN, MAIN, NOT_MAIN, UNSHOWN = 0, 1, 2, 3
-#: Prices: of any block, of standing in and outside a main part, in boilerplate, of names, of links in and outside a main part.
-ANY, IN_MAIN, OUTSIDE, IN_CHROME, CHROME_NAME, DOUBT_NAME, LINKS_IN_MAIN, LINKS = -1.0, 0.8, -3.5, -4.0, -6.0, -0.8, -0.6, -4.0
+#: Prices: of any block, of standing in and outside a main part, in boilerplate, of names, of links in and outside a main part, of rights and bars in blocks of
+#: up to SHORT words.
+ANY, IN_MAIN, OUTSIDE, IN_CHROME, CHROME_NAME, NOTICE_NAME, DOUBT_NAME, LINKS_IN_MAIN, LINKS, TOLD, SHORT = -1.0, 0.8, -3.5, -4.0, -6.0, -4.0, -0.8, -0.1, -4.0, -2.5, 25
 #: Of what stands in an element: its role, the price of the names around it, whether an article within boilerplate holds it, and the element
 #: whose signs say first that it is boilerplate.
 Signs = tuple[int, float, bool, int]
@@ -110,8 +117,10 @@ def _signs(tag: str, given: str, around: Signs, number: int) -> Signs:
                 own = min(own, DOUBT_NAME if w in CHROME_WORDS and tag not in HEADINGS else 0.0)
             elif w in CHROME_WORDS and not (role == MAIN and w in ("header", "masthead")):  # an article's own header holds its title
                 own = min(own, CHROME_NAME)
-            elif w in DOUBT_WORDS:
+            elif w in DOUBT_WORDS and not (w in NOTICE_PARTS and kind != "role"):
                 own = min(own, DOUBT_NAME)
+            elif not HAVING_PARTS & (parts := set(w.split("-"))):
+                own = min(own, CHROME_NAME if parts & CHROME_PARTS else NOTICE_NAME if parts & NOTICE_PARTS else 0.0)
     if tag == "article" or names & MAIN_WORDS:
         role = MAIN
     elif tag == "header" and role != MAIN:
@@ -207,8 +216,8 @@ def blocks(page: str, void: frozenset[int] = frozenset()) -> tuple[list[Block],
     return [b for b in out if b.role != UNSHOWN], parents, tags, marked
 
 
-def price(b: Block, words: int, size: int, sentences: int, marked: bool) -> float:
-    """How much more the label boilerplate costs than the label article."""
+def price(b: Block, words: int, size: int, sentences: int, marked: bool, told: bool = False) -> float:
+    """How much more the label boilerplate costs than the label article. ``told``: the text says by itself that it is none."""
     linked = b.linked / max(1, size)
     name = CHROME_NAME if b.inner and marked else b.name
     score = ANY + name + min(2.5, words / 12) + min(1.5, 0.75 * sentences) + (0.5 if b.tag in HEADINGS else 0.0)
@@ -216,7 +225,7 @@ def price(b: Block, words: int, size: int, sentences: int, marked: bool) -> floa
         return IN_CHROME + name + min(1.0, words / 50)
     if b.role == MAIN:
         return score + IN_MAIN + (LINKS if name <= CHROME_NAME else LINKS_IN_MAIN) * linked
-    return score + (OUTSIDE if marked else 0.0) + LINKS * linked
+    return score + (OUTSIDE if marked else 0.0) + LINKS * linked + TOLD * told
 
 
 def distance(a: int, b: int, parents: list[int]) -> int:
@@ -228,11 +237,14 @@ def distance(a: int, b: int, parents: list[int]) -> int:
     return steps
 
 
-def edges(found: list[Block], parents: list[int]) -> list[tuple[int, int, float]]:
+def edges(found: list[Block], parents: list[int], tags: list[str] | None = None) -> list[tuple[int, int, float]]:
+    # An item stands where its list does: the list itself is no step away from what surrounds it.
+    lists = ("ul", "ol", "dl")
+    place = lambda b: parents[b.element] if tags and tags[b.element] in ("li", "dt", "dd") and tags[parents[b.element]] in lists else b.element
     alike = lambda a, b: 1.0 if (a.role, a.name) == (b.role, b.name) else CONTRAST
     out, last = [], {}
     for i, b in enumerate(found):
-        if i and (d := distance(found[i - 1].element, b.element, parents)) <= FAR:
+        if i and (d := max(2, distance(place(found[i - 1]), place(b), parents)) if place(found[i - 1]) != place(b) else distance(found[i - 1].element, b.element, parents)) <= FAR:
             out.append((i - 1, i, SMOOTH * 2.0 ** (2 - d) * alike(found[i - 1], b)))
         beside = parents[b.element]
         if last.get(beside, i - 1) != i - 1:
@@ -321,7 +333,7 @@ def priced(page: str) -> tuple[list[str], list[float], list[tuple[int, int, floa
         texts = [" ".join(html.unescape("".join(b.parts)).split()) for b in found]
         found, texts = [b for b, t in zip(found, texts) if t], [t for t in texts if t]
         words = [t.count(" ") + 1 for t in texts]
-        prices = [price(b, n, len(t), len(SENTENCE.findall(t)), marked) for b, t, n in zip(found, texts, words)]
+        prices = [price(b, n, len(t), k := len(SENTENCE.findall(t)), marked, n <= SHORT and (RIGHTS.search(t) is not None or not k and len(BARS.findall(t)) > 1)) for b, t, n in zip(found, texts, words)]
         if not found or max(prices) > 0 or len(void) == 3:
             break
         # A form, or what has a name, tells nothing if it holds most of a page that has no other article.
@@ -333,10 +345,9 @@ def priced(page: str) -> tuple[list[str], list[float], list[tuple[int, int, floa
         if not most or 2 * by[most] < sum(words):
             break
         void |= {most}
-    near = edges(found, parents)
-    if not void and not any(cut_labels(prices, near)):  # texts that are all short: containers decide alone
-        prices = [1.0 if b.role != NOT_MAIN and b.name > CHROME_NAME and 2 * b.linked < len(t) else IN_CHROME for b, t in zip(found, texts)]
-        near = []
+    near = edges(found, parents, tags)
+    if not void and not any(cut_labels(prices, near)):  # texts that are all short: length and sentences tell nothing, containers and links do
+        prices = [1.0 if b.role != NOT_MAIN and b.name > NOTICE_NAME and 2 * b.linked < len(t) else IN_CHROME for b, t in zip(found, texts)]
     return texts, prices, near
 
 
