@@ -47,8 +47,27 @@ def visible(view: str, status: Column, has_forecast: Column) -> Column:
     return {"forecast": forecast, "all": F.lit(True)}.get(view, F.coalesce(status != "", F.lit(False)) | forecast)
 
 
+def fixed(c: Column, digits: int = 0) -> Column:
+    """``c`` with 0 or 1 decimals as C's printf writes it: the double itself is rounded, not its shortest decimal form, and a tie goes to the even digit (8.45 is a little
+    less than that, so 8.4). Ten times the value is taken as a sum of two doubles, without an error."""
+    x = F.abs(c.cast("double"))
+    if digits == 0:
+        tenths = F.rint(x)
+        text = F.format_string("%d", tenths.cast("long"))
+    else:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        scaled = x * 10.0
+        rest = (high * 10.0 - scaled) + (x - high) * 10.0
+        over = scaled - F.floor(scaled)  # beside 0.5 the remainder decides
+        tenths = F.floor(scaled) + F.when((over > 0.5) | ((over == 0.5) & (rest > 0)) | ((over == 0.5) & (rest == 0) & (F.floor(scaled) % 2 == 1)), 1).otherwise(0)
+        text = F.format_string("%d.%d", F.floor(tenths / 10), tenths % 10)
+    # Beyond these a double has no decimals.
+    plain = F.when(x < 2.0**49, F.concat(F.when((c.cast("double") < 0), "-").otherwise(""), text))
+    return F.when(c.isNotNull(), F.coalesce(plain, F.format_string(f"%.{digits}f", c.cast("double"))))
+
+
 def percent(p: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f%%", p * 100)
+    return F.concat(fixed(p * 100, digits), F.lit("%"))
 
 
 #: What headlines are made of.
@@ -66,7 +85,7 @@ def headline(source: Column, threshold: Column, days: Column, p: Column, p_windo
     """A sentence on the chance of a breach, the first crossing and its quartiles. Nothing crossing is told as less than one in the samples."""
     note = F.when(source == "gw_p90_proxy", PROXY).otherwise("")
     tag = F.lit(TAG)
-    at = F.format_string("%.1f mAOD within %d days", threshold.cast("double"), days.cast("int"))
+    at = F.concat(fixed(threshold, 1), F.format_string(" mAOD within %d days", days.cast("int")))
     n = F.coalesce(samples.cast("double"), members.cast("double"), F.lit(51.0))
     basis = F.when(samples.isNotNull(), SAMPLED).otherwise("members")
     never = F.concat(F.lit("<"), percent(F.greatest(1 / n, F.lit(0.001)), 1), F.lit(CHANCE), at, note, F.lit("; no "), basis, F.lit(" cross."), tag)
