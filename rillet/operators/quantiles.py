@@ -62,6 +62,26 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], bo
     return few.unionByName(both.select(*keys, "n", F.array(*map(between, probs)).alias("quantiles")))
 
 
+def median_of_others(members: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """(key, median, neighbours) of members (by, value, count: how many have it) and asked (key, by, own): the median of a group's values without the asked one's own, which
+    is null if it isn't one of them, and how many are left. No pair is made: leaving a value out moves the middle by one place, so four values at the middle of
+    a group answer for all. What a group sorts are its distinct values with their counts."""
+    counts = members.filter("value is not null").groupBy(*by, "value").agg(F.sum("count").alias("_c"))
+    w = Window.partitionBy(*by)
+    ranked = counts.withColumns({"_to": F.sum("_c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_c").over(w)})
+    # Places from 0 of the two middle values of all, and of all but one.
+    n = F.col("n")
+    places = {"all1": F.floor((n - 1) / 2), "all2": F.floor(n / 2), "low": F.floor((n - 2) / 2), "high": F.floor((n - 1) / 2)}
+    places |= {f"{k}_next": places[k] + 1 for k in ("low", "high")}
+    at = lambda p: F.max(F.when((F.col("_to") - F.col("_c") <= p) & (p < F.col("_to")), F.col("value")))
+    middle = ranked.groupBy(*by).agg(F.max("n").alias("n"), *[at(p).alias(k) for k, p in places.items()])
+    without = lambda k: F.when(F.col("own") > F.col(k), F.col(k)).otherwise(F.col(f"{k}_next"))
+    both = asked.join(middle, by)
+    low, high = (F.when(F.col("own").isNull(), F.col(a)).otherwise(without(b)) for a, b in (("all1", "low"), ("all2", "high")))
+    left = n - F.when(F.col("own").isNull(), 0).otherwise(1)
+    return both.select("key", F.when(left > 0, F.when(low == high, low).otherwise(0.5 * low + 0.5 * high)).alias("median"), left.alias("neighbours"))
+
+
 def _share(v: Column, lo: Column, hi: Column) -> Column:
     """How far up its range a value is, from 0 to 1: by magnitude while the range holds both signs, or spans more magnitudes than there are parts, so that a few rounds
     are enough for any values."""
