@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import correlation, day_number
+from .spatial import blocks, meeting
 
 
 def trace_windows(series: DataFrame, start_month: int, start_day: int, length: int) -> DataFrame:
@@ -95,13 +96,16 @@ def mean_of_series(long: DataFrame, by: str = "date") -> DataFrame:
 
 def box_overlaps(spark, a: DataFrame, b: DataFrame, exclude: str) -> DataFrame:
     """(a, b) of overlapping boxes (id, x1, y1, x2, y2, form), rows of ``b`` of one form left out and those without a form kept: as SQL.
-    Boxes meet in unit cells, each pair in the first common one."""
-    cells = lambda df: df.withColumn("cx", F.explode(F.sequence(F.floor("x1"), F.floor("x2")))).withColumn("cy", F.explode(F.sequence(F.floor("y1"), F.floor("y2"))))
-    return spark.sql(
-        "SELECT a.id AS a, b.id AS b FROM {a} a JOIN {b} b ON a.cx = b.cx AND a.cy = b.cy WHERE a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2 AND (b.form IS NULL OR b.form <> :form)"
-        " AND a.cx = floor(greatest(a.x1, b.x1)) AND a.cy = floor(greatest(a.y1, b.y1))",
-        args={"form": exclude}, a=cells(a), b=cells(b),
-    )
+    Equal boxes are compared as one. Boxes meet in unit cells, each pair in the first common one."""
+    sides = ["x1", "y1", "x2", "y2"]
+    kept = spark.sql("SELECT * FROM {b} b WHERE b.form IS NULL OR b.form <> :form", args={"form": exclude}, b=b)
+
+    def cells(df: DataFrame, n: int) -> DataFrame:
+        own = blocks(df.na.drop(subset=sides), sides).withColumnsRenamed({c: f"{c}_{n}" for c in sides} | {"ids": f"ids{n}"})
+        return own.withColumn("cx", F.explode(F.sequence(F.floor(f"x1_{n}"), F.floor(f"x2_{n}")))).withColumn("cy", F.explode(F.sequence(F.floor(f"y1_{n}"), F.floor(f"y2_{n}"))))
+
+    meet = F.expr("x1_1 <= x2_2 AND x1_2 <= x2_1 AND y1_1 <= y2_2 AND y1_2 <= y2_1 AND cx = floor(greatest(x1_1, x1_2)) AND cy = floor(greatest(y1_1, y1_2))")
+    return meeting(cells(a, 1), cells(kept, 2), ["cx", "cy"], meet).select("a", "b")
 
 
 def longest_path(edges: DataFrame) -> DataFrame:
