@@ -74,17 +74,22 @@ def _holds(lon: Column, lat: Column, i: Column, j: Column, cell: Column, size: f
 
 def regions(points: DataFrame, polygons: DataFrame, size: float = 0.25, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``points`` (lon, lat and others) with region: the first in order, of (region, place, rings), whose polygon holds the point, else null; ties in place go to the
-    smaller region. A region may have several polygons. The covering goes to every executor if it fits ``most_bytes``, so points stay where they are; else
-    both sides meet by cell, and AQE splits a cell that holds many points. Points without a place are in no region."""
-    named = polygons.select(F.struct("place", "region").alias("polygon"), "rings")
-    # Polygons of one place and region are taken together, as parts that don't overlap.
-    cells = covering(named, size).groupBy("i", "j").agg(F.sort_array(F.collect_list(F.struct("polygon", "inside", "edges"))).alias("cells"))
+    smaller region. A region may have several polygons. Each place is asked once, however many points are there. The covering goes to every executor if it fits
+    ``most_bytes``, so places stay where they are; else both sides meet by cell, and AQE splits a cell that holds many. Points without a place are in no region."""
+    # Of equal polygons the first in order answers for all.
+    named = polygons.groupBy("rings").agg(F.min(F.struct("place", "region")).alias("polygon"))
+    # Polygons of one place and region are taken together, as parts that don't overlap. What comes after a polygon that holds the whole cell is never the first.
+    covered = _cut(covering(named, size))
+    whole = covered.filter("edges is null and inside").groupBy("i", "j").agg(F.min("polygon").alias("whole"))
+    reached = covered.join(whole, ["i", "j"], "left").filter(F.col("whole").isNull() | (F.col("polygon") <= F.col("whole")))
+    cells = reached.groupBy("i", "j").agg(F.sort_array(F.collect_list(F.struct("polygon", "inside", "edges"))).alias("cells"))
     cells = _cut(cells)
     width = 40 + F.aggregate("cells", F.lit(0), lambda n, c: n + 48 + 40 * F.coalesce(F.size(c["edges"]), F.lit(0)))
     small = (cells.agg(F.sum(width)).head()[0] or 0) <= most_bytes
     at = {"_i": _cell(F.col("lon"), 0, size), "_j": _cell(F.col("lat"), 1, size)}
     side = cells.select(F.col("i").alias("_ci"), F.col("j").alias("_cj"), F.col("cells").alias("_cells"))
-    joined = points.withColumns(at).join(F.broadcast(side) if small else side, (F.col("_i") == F.col("_ci")) & (F.col("_j") == F.col("_cj")), "left")
+    joined = points.select("lon", "lat").distinct().withColumns(at).join(F.broadcast(side) if small else side, (F.col("_i") == F.col("_ci")) & (F.col("_j") == F.col("_cj")), "left")
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
     first = F.filter("_cells", lambda c: _holds(lon, lat, F.col("_i"), F.col("_j"), c, size))
-    return joined.withColumn("region", F.get(first, F.lit(0))["polygon"]["region"]).drop("_i", "_j", "_ci", "_cj", "_cells")
+    told = joined.select("lon", "lat", F.get(first, F.lit(0))["polygon"]["region"].alias("region"))
+    return points.join(told, ["lon", "lat"], "left").select(*points.columns, "region")
