@@ -40,8 +40,14 @@ def trailing(series: DataFrame, days: int) -> DataFrame:
 def overlaps(pairs: DataFrame, spans: DataFrame, least: int) -> DataFrame:
     """(a, b, days) of pairs whose records (key, first, last) share ``least`` days."""
     one, other = spans.select(F.col("key").alias("a"), "first", "last"), spans.select(F.col("key").alias("b"), F.col("first").alias("first2"), F.col("last").alias("last2"))
-    days = F.datediff(F.least("last", "last2"), F.greatest("first", "first2")).cast("long")
-    return pairs.join(one, "a").join(other, "b").select("a", "b", days.alias("days")).filter(F.col("days") >= least)
+    met = pairs.join(one, "a").join(other, "b")
+    return spans_shared(met.select(F.struct(F.col("a").alias("id"), "first", "last").alias("a"), F.struct(F.col("b").alias("id"), F.col("first2").alias("first"), F.col("last2").alias("last")).alias("b")), least)
+
+
+def spans_shared(pairs: DataFrame, least: int) -> DataFrame:
+    """``overlaps`` of pairs that carry their spans: a and b are (id, first, last)."""
+    days = F.datediff(F.least("a.last", "b.last"), F.greatest("a.first", "b.first")).cast("long")
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), days.alias("days")).filter(F.col("days") >= least)
 
 
 def paired(left: DataFrame, right: DataFrame, keys: list[str], suffix: str = "_b") -> DataFrame:

@@ -46,8 +46,9 @@ n AS (SELECT l.id AS a, r.id AS b FROM l, r WHERE l.id < r.id AND {KM} <= 60) SE
 def neighbour_overlap(t: Tables):
     """All pairs within 60 km whose records share two years."""
     s = t.lineitem.groupBy(F.col("l_suppkey").alias("key")).agg(F.min(F.to_date("l_shipdate")).alias("first"), F.max(F.to_date("l_shipdate")).alias("last"))
-    p = places(t.supplier, "s_suppkey")
-    return picks.overlaps(spatial.within(p, p, 60.0).filter("a < b").select("a", "b"), s, 730)
+    # The spans ride along with the places, so pairs meet them without a shuffle of their own.
+    p = places(t.supplier, "s_suppkey").join(s, F.col("id") == F.col("key")).select(F.struct("id", "first", "last").alias("id"), "lat", "lon")
+    return picks.spans_shared(spatial.within(p, p, 60.0).filter("a.id < b.id"), 730)
 
 
 @query("""SELECT a.user_id, a.event_id, b.event_id AS event_id_b, round(a.value - b.value, 6) AS off FROM events a JOIN events b ON a.user_id = b.user_id AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE) WHERE a.event_type = 'view' AND b.event_type = 'click'""")
