@@ -61,6 +61,11 @@ def coherence(series: DataFrame, driver: DataFrame, least: int = 12) -> DataFram
 def isolation(slopes: DataFrame, neighbours: DataFrame, slope_min: float, ratio: float = 3.0, least: int = 2) -> DataFrame:
     """(key, neighbours, median, class) of slopes (key, slope) and pairs (a, b)."""
     near = neighbours.join(slopes.select(F.col("key").alias("b"), F.col("slope").alias("s2")), "b").groupBy(F.col("a").alias("key")).agg(F.median("s2").alias("median"), F.count("s2").alias("neighbours"))
+    return beside(slopes, near, slope_min, ratio, least)
+
+
+def beside(slopes: DataFrame, near: DataFrame, slope_min: float, ratio: float = 3.0, least: int = 2) -> DataFrame:
+    """``isolation`` with neighbours told as (key, median, neighbours), as ``quantiles.median_of_others`` gives them."""
     out = slopes.join(near, "key", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
     med, s = F.col("median"), F.col("slope")
     kind = (
