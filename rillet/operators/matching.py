@@ -73,20 +73,26 @@ def similar(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
     return best.select("norm", "x.b", (-F.col("x.s")).alias("s"))
 
 
+def _beside(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """(a, b, off): the nearest of ``right`` for each of ``left``, of equal distances the least id, where one is within ``km``. Places are compared, not rows."""
+    of = lambda df: df.groupBy("lat", "lon").agg(F.min("id").alias("least"))
+    near = within(of(left).withColumn("id", F.struct("lat", "lon")), of(right).withColumnRenamed("least", "id"), km)
+    best = near.groupBy("a").agg(F.min(F.struct(F.round("km", 6).alias("off"), "b")).alias("x"))
+    return left.join(best.select("a.lat", "a.lon", "x.b", "x.off"), ["lat", "lon"]).select(F.col("id").alias("a"), "b", "off")
+
+
 def cascade(left: DataFrame, right: DataFrame, metres: float = 50.0, ratio: float = 0.9, names: bool = True) -> DataFrame:
     """(a, b, tier, score): for each of ``left`` (id, name, lat, lon, ref) its match in ``right`` by reference, else by distance, else by equal normal
-    name, else by the similarity of word-sorted names, each compared with all names of the right."""
+    name, else by the similarity of word-sorted names, each compared with all names of the right. Names are compared for rows that no tier before has
+    matched, as the best tier wins; of equal references and names the least id does."""
     n = lambda df: df.withColumn("norm", normal_name(F.col("name")))
     l, r = n(left), n(right)
-    tiers = [
-        l.join(r.select(F.col("id").alias("b"), "ref"), "ref").select(F.col("id").alias("a"), "b", F.lit(1).alias("tier"), F.lit(0.0).alias("off")),
-        within(left, right, metres / 1000).select("a", "b", F.lit(2).alias("tier"), F.round("km", 6).alias("off")),
-    ]
+    least = lambda by: r.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min("id").alias("b"))
+    equal = lambda by, tier: l.join(least(by), by).select(F.col("id").alias("a"), "b", F.lit(tier).alias("tier"), F.lit(0.0).alias("off"))
+    all_ = equal("ref", 1).unionByName(_beside(left, right, metres / 1000).select("a", "b", F.lit(2).alias("tier"), F.col("off")))
     if names:
-        tiers.append(l.join(r.select(F.col("id").alias("b"), "norm"), "norm").select(F.col("id").alias("a"), "b", F.lit(3).alias("tier"), F.lit(0.0).alias("off")))
-        near = similar(l, r.select(F.col("id").alias("b"), "norm"), ratio)
-        tiers.append(l.select(F.col("id").alias("a"), "norm").join(near, "norm").select("a", "b", F.lit(4).alias("tier"), (1 - F.col("s")).alias("off")))
-    all_ = tiers[0]
-    for t in tiers[1:]:
-        all_ = all_.unionByName(t)
+        all_ = _cut(keep_latest(all_.unionByName(equal("norm", 3)), ["a"], [F.col("tier"), F.col("off"), F.col("b")]))
+        open_ = l.join(all_.select(F.col("a").alias("id")), "id", "left_anti")
+        near = similar(open_, r.select(F.col("id").alias("b"), "norm"), ratio)
+        all_ = all_.unionByName(open_.select(F.col("id").alias("a"), "norm").join(near, "norm").select("a", "b", F.lit(4).alias("tier"), (1 - F.col("s")).alias("off")))
     return keep_latest(all_, ["a"], [F.col("tier"), F.col("off"), F.col("b")]).select("a", "b", "tier", (1 - F.col("off")).alias("score"))

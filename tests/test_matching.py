@@ -41,3 +41,14 @@ def test_candidates_follow_what_is_alike(spark):
     made = lambda n, k: spark.createDataFrame([(x,) for x in names[k : k + n]], "norm string")
     few, many = (matching.candidates(made(n, 0), made(n, n // 2).selectExpr("norm", "1 AS b"), 0.9).count() for n in (300, 3000))
     assert few == 150 and many == 1500
+
+
+def test_names_are_compared_for_rows_that_nothing_else_matches(spark, monkeypatch):
+    asked = []
+    whole = matching.similar
+    monkeypatch.setattr(matching, "similar", lambda l, r, ratio: asked.extend(x.id for x in l.collect()) or whole(l, r, ratio))
+    kind = "id long, name string, lat double, lon double, ref long"
+    left = spark.createDataFrame([(1, "abcdefghij one", 50.0, 1.0, 7), (2, "abcdefghij one", 51.0, 1.0, None), (3, "River Long Head", 55.0, 1.0, None), (4, "abcdefghij onx", 56.0, 1.0, None), (5, "zz", None, None, None)], kind)
+    right = spark.createDataFrame([(10, "abcdefghij one", 60.0, 1.0, 7), (9, "other", 62.0, 1.0, 7), (11, "quite other", 51.0, 1.0, None), (8, "quite other", 51.0, 1.0, None), (12, "head long river", 61.0, 1.0, None)], kind)
+    got = sorted((r.a, r.b, r.tier, round(r.score, 6)) for r in matching.cascade(left, right).collect())
+    assert got == [(1, 9, 1, 1.0), (2, 8, 2, 1.0), (3, 12, 3, 1.0), (4, 10, 4, round(13 * 2 / 28, 6))] and sorted(asked) == [4, 5]
