@@ -57,3 +57,8 @@ def stuck(readings: DataFrame, hours: float = 24.0, stretch: Column | None = Non
     last = told.groupBy("key").agg(F.max_by("value", "ts").alias("last_value"), F.max(F.when(new, F.col("ts"))).alias("run_start"), F.max("ts").alias("run_end"))
     seconds = F.unix_micros(F.col("run_end").cast("timestamp")) - F.unix_micros(F.col("run_start").cast("timestamp"))
     return last.withColumn("stuck", seconds > hours * 3_600_000_000)
+
+
+def spread(rows: DataFrame, key: str = "key") -> DataFrame:
+    """``rows`` by key over all shuffle partitions, which adaptive plans leave as many: for work a key that its bytes don't tell."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

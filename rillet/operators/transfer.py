@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .segments import spread
+
 #: Bounds of (gain, shape, scale, factor, decay), the decay's in a second try, and the least variance explained, in percent, for which there is none.
 BOUNDS = {"gain": (1e-5, 1e5), "shape": (0.1, 10.0), "scale": (0.01, 5000.0), "factor": (0.0, 2.0), "alpha": (1e-2, 5000.0)}
 LONGEST_DECAY, LEAST_EVP = 365.0, 5.0
@@ -57,10 +59,27 @@ def gamma_share(shape: float, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def response(gain: float, shape: float, scale: float) -> np.ndarray:
-    """A day's shares of the response, up to where no more than 1e-6 of it is left."""
+#: The first days, where the density may have no bound, are told by the function's series, later ones by Gauss's rule at these points of a day.
+FIRST, TERMS = 3, np.arange(1, 41)
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(8)
+_POINTS = np.arange(MOST_LAGS)[:, None] + (_NODES + 1) / 2
+_LOGS = np.log(_POINTS)
+
+
+def shares(shape: float, scale: float, days: int) -> np.ndarray:
+    """P(shape, (t + 1) / scale) - P(shape, t / scale) of each day t."""
+    if scale < 1 or days <= FIRST:
+        return np.diff(gamma_share(shape, np.arange(days + 1) / scale))
+    density = np.exp((shape - 1) * (_LOGS[FIRST:days] - math.log(scale)) - _POINTS[FIRST:days] / scale - math.lgamma(shape))
+    x = np.arange(1, FIRST + 1) / scale
+    first = np.exp(shape * np.log(x) - x - math.lgamma(shape + 1)) * (1 + np.cumprod(x[:, None] / (shape + TERMS), axis=1).sum(1))
+    return np.concatenate([np.diff(first, prepend=0.0), np.einsum("ij,j->i", density, _WEIGHTS / 2 / scale)])
+
+
+def response(gain: float, shape: float, scale: float, most: int = MOST_LAGS) -> np.ndarray:
+    """A day's shares of the response, up to where no more than 1e-6 of it is left; ``most`` is as far as a record goes."""
     days = math.ceil(scale * (shape + 8 * math.sqrt(shape) + 8)) + 1
-    return gain * np.diff(gamma_share(shape, np.arange(min(days, MOST_LAGS) + 1) / scale))
+    return gain * shares(shape, scale, min(days, MOST_LAGS, max(most, 1)))
 
 
 def convolved(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
@@ -74,15 +93,24 @@ class Record:
 
     def __init__(self, at: np.ndarray, level: np.ndarray, rain: np.ndarray, evaporation: np.ndarray):
         self.at, self.level, self.rain, self.evaporation = at, level, rain, evaporation
-        self.gap, self.known = np.diff(at).astype(float), {}
+        self.gap, self.known, self.spectra, self.noise = np.diff(at).astype(float), {}, {}, (None,)
+
+    def responses(self, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both drivers by the kernel, at the observed days; the drivers are transformed once a length."""
+        n = 1 << (len(self.rain) + len(kernel) - 1).bit_length()
+        if n not in self.spectra:
+            if len(self.spectra) > 7:
+                self.spectra.pop(next(iter(self.spectra)))
+            self.spectra[n] = np.fft.rfft(np.stack([self.rain, self.evaporation]), n)
+        rain, evaporation = np.fft.irfft(self.spectra[n] * np.fft.rfft(kernel, n), n)[:, self.at]
+        return rain, evaporation
 
     def unit(self, shape: float, scale: float) -> tuple[np.ndarray, np.ndarray]:
         """Responses of gain one to rain and to evaporation; the last few are remembered, as most steps leave the shape alone."""
         if (shape, scale) not in self.known:
             if len(self.known) > 7:
                 self.known.pop(next(iter(self.known)))
-            kernel = response(1.0, shape, scale)
-            self.known[shape, scale] = tuple(convolved(x, kernel)[self.at] for x in (self.rain, self.evaporation))
+            self.known[shape, scale] = self.responses(response(1.0, shape, scale, len(self.rain)))
         return self.known[shape, scale]
 
     def residual(self, gain: float, shape: float, scale: float, factor: float, base: float) -> np.ndarray:
@@ -92,9 +120,12 @@ class Record:
     def innovations(self, p: np.ndarray) -> np.ndarray:
         """Of (gain, shape, scale, factor, base, alpha), weighted: what a longer gap leaves unknown counts less."""
         r = self.residual(*p[:5])
-        kept = np.exp(-self.gap / p[5])
-        spread = np.sqrt(np.maximum(1 - kept**2, 1e-12))
-        return np.r_[r[:1], (r[1:] - kept * r[:-1]) / spread * np.exp(np.log(spread).mean())]
+        if p[5] != self.noise[0]:
+            kept = np.exp(-self.gap / p[5])
+            spread = np.sqrt(np.maximum(1 - kept**2, 1e-12))
+            self.noise = p[5], kept, spread, np.exp(np.log(spread).mean())
+        _, kept, spread, mean = self.noise
+        return np.concatenate([r[:1], (r[1:] - kept * r[:-1]) / spread * mean])
 
 
 LOGS = np.array([True, True, True, False, False, True])
@@ -147,7 +178,8 @@ def calibrate(record: Record) -> tuple:
         limit = np.r_[high[:5], top]
         for scale in (5.0, 60.0, 500.0):
             # A first gain and base by least squares on a plain response.
-            x = convolved(record.rain - 0.8 * record.evaporation, response(1.0, 1.0, scale))[record.at]
+            wet, dry = record.unit(1.0, scale)
+            x = wet - 0.8 * dry
             slope = float(np.cov(x, y)[0, 1] / max(np.var(x), 1e-12)) if len(x) > 1 else 1.0
             gain = max(slope, 1e-3)
             got = solve(record, np.array([gain, 1.0, scale, 0.8, float((y - gain * x).mean()), min(30.0, top)]), low, limit)
@@ -189,4 +221,5 @@ def transfer(levels: DataFrame, drivers: DataFrame, least: int = 60, warm_up: in
             row[told["day"].to_numpy() - start] = told[c].to_numpy()
         return pd.DataFrame([(key[0], *calibrate(Record(seen["day"].to_numpy() - start, seen["value"].to_numpy(float), *daily)))], columns=names)
 
-    return both.groupBy("key").applyInPandas(fitted, f"key {kind}, {COLUMNS}")
+    # A key takes as long as its fit and not as its bytes, so tasks aren't merged by size.
+    return spread(both).groupBy("key").applyInPandas(fitted, f"key {kind}, {COLUMNS}")

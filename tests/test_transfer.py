@@ -78,3 +78,17 @@ def test_keys(spark):
     for key, shape in ((1, 1.2), (2, 2.0)):
         assert got[key].shape == pytest.approx(shape, rel=0.04) and got[key].gain == pytest.approx(0.5, rel=0.04) and got[key].n == 2500
     assert transfer.transfer(a.limit(0), b).count() == 0
+
+
+def test_shares_by_quadrature_are_those_of_the_function():
+    for shape in (0.1, 0.5, 1.0, 1.6, 4.0, 10.0):
+        for scale in (0.3, 1.0, 12.3, 400.0, 5000.0):
+            want = np.diff(transfer.gamma_share(shape, np.arange(1001) / scale))
+            assert transfer.shares(shape, scale, 1000) == pytest.approx(want, abs=1e-13)
+            assert len(transfer.response(1.0, shape, scale, 30)) <= 30
+
+
+def test_fits_are_spread_over_all_partitions(spark):
+    levels = spark.createDataFrame([(k, datetime.date(2000, 1, 1) + datetime.timedelta(d), float(d % 3)) for k in range(8) for d in range(3)], "key long, date date, value double")
+    drivers = levels.select("key", "date", levels.value.alias("rain"), levels.value.alias("evaporation"))
+    assert "REPARTITION_BY_NUM" in transfer.transfer(levels, drivers)._jdf.queryExecution().toString()
