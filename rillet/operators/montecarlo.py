@@ -10,6 +10,9 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .segments import spread
 
 
 def seed(key) -> np.random.Generator:
@@ -20,10 +23,10 @@ def noise_paths(n: int, sd: np.ndarray, phi: float, draws: np.random.Generator)
     """(n, days): first-order noise with correlation ``phi`` of neighbours and standard deviation sd[k] on day k (where sd falls faster than the
     correlation lets it, the day keeps what the one before gives it)."""
     fresh = np.sqrt(np.maximum(np.r_[sd[0] ** 2, sd[1:] ** 2 - phi**2 * sd[:-1] ** 2], 0.0))
-    z = fresh * draws.standard_normal((n, len(sd)))
+    z = np.ascontiguousarray((fresh * draws.standard_normal((n, len(sd)))).T)  # a day's samples side by side, as days follow each other
     for k in range(1, len(sd)):
-        z[:, k] += phi * z[:, k - 1]
-    return z
+        z[k] += phi * z[k - 1]
+    return z.T
 
 
 def crossings(paths: np.ndarray, bound: float, below: bool, window: int) -> dict[str, float]:
@@ -44,19 +47,28 @@ def breach(members: DataFrame, bounds: DataFrame, samples: int = 4000, below: bo
     every day; days that a member lacks are nobody's."""
 
     def sample(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot(index="date", columns="member", values="value").sort_index().dropna()
-        sd = rows.groupby("date")["sd"].max().reindex(wide.index).to_numpy(float)
+        days, date = np.unique(rows["date"].to_numpy(), return_inverse=True)
+        names, member = np.unique(rows["member"].to_numpy(), return_inverse=True)
+        wide, sd = np.full((len(days), len(names)), np.nan), np.full(len(days), np.nan)
+        if np.bincount(date * len(names) + member, minlength=1).max() > 1:
+            raise ValueError("a member has a day twice")
+        wide[date, member] = rows["value"].to_numpy(float)
+        np.fmax.at(sd, date, rows["sd"].to_numpy(float))
+        whole = ~np.isnan(wide).any(1)
+        wide, sd = wide[whole], sd[whole]
         bound, alpha = rows["bound"].iloc[0], float(rows["alpha"].iloc[0])
         if not len(wide):
             return pd.DataFrame(columns=[c.split()[0] for c in KIND.split(", ")])
         draws = seed(key[0])
-        paths = wide.to_numpy(float).T[draws.integers(0, wide.shape[1], samples)] + noise_paths(samples, sd, float(np.exp(-1 / alpha)), draws)
+        paths = (wide[:, draws.integers(0, wide.shape[1], samples)] + noise_paths(samples, sd, float(np.exp(-1 / alpha)), draws).T).T
         told = crossings(paths, np.inf if pd.isna(bound) else float(bound), below and not pd.isna(bound), window)
         if pd.isna(bound):
             told |= {"p_breach": None, "p_window": None, "censored": None}
         return pd.DataFrame([{"key": key[0], "days": len(wide), "samples": samples, **told}])
 
-    return members.join(bounds.select("key", "bound", "alpha"), "key").groupBy("key").applyInPandas(sample, KIND)
+    # Days as numbers: a date would be an object a row.
+    numbered = members.withColumn("date", F.unix_date("date")) if members.schema["date"].dataType.typeName() == "date" else members
+    return spread(numbered.select("key", "member", "date", "value", "sd")).join(bounds.select("key", "bound", "alpha"), "key").groupBy("key").applyInPandas(sample, KIND)
 
 
 def monthly_outlook(traces: DataFrame, weights: DataFrame, sd: DataFrame, samples: int = 2000) -> DataFrame:

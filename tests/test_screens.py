@@ -3,6 +3,7 @@
 import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rillet.functions import documents, units
@@ -128,3 +129,12 @@ def test_documents(spark):
     d = spark.createDataFrame([("plain", None), ('say "x", y', 1.0), (None, float("nan"))], "t string, v double")
     got = d.select(documents.csv_field(F.col("t")).alias("c"), documents.json_number(F.col("v"), 1).alias("n"), documents.json_flag(F.col("v")).alias("f"), documents.visible("all", F.col("t"), F.lit(None).cast("boolean")).alias("s")).collect()
     assert [tuple(r) for r in got] == [("plain", None, False, True), ('"say ""x"", y"', 1.0, True, True), ("", None, False, True)]
+
+
+def test_sampled_breach_is_spread_and_keeps_whole_days(spark):
+    m = daily(spark, {1: [5.0] * 10}).withColumns({"member": F.lit(0), "sd": F.lit(1.0)})
+    two = m.unionByName(m.withColumns({"member": F.lit(1), "value": F.lit(5.0)}).orderBy("date").limit(7))
+    out = montecarlo.breach(two, spark.createDataFrame([(1, 6.0, 5.0)], "key long, bound double, alpha double"), 100)
+    assert out.head().days == 7 and "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="a day twice"):
+        montecarlo.breach(m.union(m), spark.createDataFrame([(1, 6.0, 5.0)], "key long, bound double, alpha double"), 100).collect()
