@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-M, TOP, SHRINK, BATCH, BUILD_BEAM, WIDE = 24, 512, 16, 512, 48, 4
+M, TOP, SHRINK, BATCH, BUILD_BEAM, WIDE = 24, 64, 16, 512, 48, 4
 
 
 def _gather_dot(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +221,36 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_copies(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_visits(spark, monkeypatch):
+    """A vector goes to few cells and not to all shards; pairs just over the bound meet, and links of several shards count once for each end."""
+    monkeypatch.setattr(embedding_dedup, "LEAST", 500)
+    monkeypatch.setattr(embedding_dedup, "PART", 1 << 12)
+    r = np.random.default_rng(12)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    x = unit(r.normal(size=(4000, 48)))
+    away = r.normal(size=(1000, 48))
+    away = unit(away - (away * x[:1000]).sum(1, keepdims=True) * x[:1000])
+    x = np.concatenate([x, 0.91 * x[:1000] + np.sqrt(1 - 0.91**2) * away, unit(x[5] + 0.02 * r.normal(size=(300, 48)))])
+    ids = r.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    points = df.selectExpr("vec_id as id", "embedding as v", "size(embedding) as dim", "1L as weight")
+    index = embedding_dedup._index(points, 0.9)
+    leaders, _, _, shards = index[48]
+    assert len(set(shards)) == 8 and len(leaders) > 200
+    routed = pa.Table.from_batches(embedding_dedup._route(index)(points.select("id", "dim", "weight", "v").toArrow().to_batches())).sort_by("id")
+    home, cells, goes = (routed[n].to_pylist() for n in ("home", "cells", "goes"))
+    assert np.mean([len(c) for c in cells]) < len(leaders) / 8 and np.mean([len(g) for g in goes]) < 7
+    assert all(set(shards[c]) == set(g) and h in c for h, c, g in zip(home, cells, goes))
+    pairs = list(zip(ids[:1000].tolist(), ids[4000:5000].tolist()))
+    assert sum(home[a] in cells[b] or home[b] in cells[a] for a, b in pairs) >= 985
+    got = by_id(embedding_dedup.near_copies(df), "vec_id")
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    links = np.array([got[int(i)].n_links for i in ids])
+    assert (links <= near.sum(1)).all() and links.sum() >= 0.99 * near.sum()
+    assert links[5000:].min() >= 299 and len({got[int(ids[i])].component_id for i in range(5000, 5300)}) == 1
+
+
 # --- BPE
 
 
