@@ -49,8 +49,9 @@ def visible(view: str, status: Column, has_forecast: Column) -> Column:
 
 def fixed(c: Column, digits: int = 0) -> Column:
     """``c`` with 0 or 1 decimals as C's printf writes it: the double itself is rounded, not its shortest decimal form, and a tie goes to the even digit (8.45 is a little
-    less than that, so 8.4). Ten times the value is taken as a sum of two doubles, without an error."""
+    less than that, so 8.4). Ten times the value is taken as a sum of two doubles, without an error. A zero keeps its sign."""
     x = F.abs(c.cast("double"))
+    below = (c.cast("double") < 0) | ((x == 0) & c.cast("double").cast("string").startswith("-"))  # no comparison tells -0.0 from 0.0
     if digits == 0:
         tenths = F.rint(x)
         text = F.format_string("%d", tenths.cast("long"))
@@ -62,8 +63,9 @@ def fixed(c: Column, digits: int = 0) -> Column:
         tenths = F.floor(scaled) + F.when((over > 0.5) | ((over == 0.5) & (rest > 0)) | ((over == 0.5) & (rest == 0) & (F.floor(scaled) % 2 == 1)), 1).otherwise(0)
         text = F.format_string("%d.%d", F.floor(tenths / 10), tenths % 10)
     # Beyond these a double has no decimals.
-    plain = F.when(x < 2.0**49, F.concat(F.when((c.cast("double") < 0), "-").otherwise(""), text))
-    return F.when(c.isNotNull(), F.coalesce(plain, F.format_string(f"%.{digits}f", c.cast("double"))))
+    plain = F.when(x < 2.0**49, F.concat(F.when(below, "-").otherwise(""), text))
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), F.when(below, "-inf").otherwise("inf"))
+    return F.when(c.isNotNull(), F.coalesce(plain, odd, F.format_string(f"%.{digits}f", c.cast("double"))))
 
 
 def percent(p: Column, digits: int = 0) -> Column:
