@@ -92,3 +92,68 @@ def test_fits_are_spread_over_all_partitions(spark):
     levels = spark.createDataFrame([(k, datetime.date(2000, 1, 1) + datetime.timedelta(d), float(d % 3)) for k in range(8) for d in range(3)], "key long, date date, value double")
     drivers = levels.select("key", "date", levels.value.alias("rain"), levels.value.alias("evaporation"))
     assert "REPARTITION_BY_NUM" in transfer.transfer(levels, drivers)._jdf.queryExecution().toString()
+
+
+def noise(seed, n=1500):
+    """A record whose level has nothing to do with the rain, seen on every fifth day or so."""
+    rng = np.random.default_rng(seed)
+    at = np.flatnonzero(rng.random(n) < 0.2)
+    rain = np.zeros(n)
+    rain[at] = rng.gamma(2.0, 13.0, len(at))
+    return transfer.Record(at, rng.normal(5e4, 3e4, len(at)), rain, np.where(rain > 0, 2 + 2 * np.sin(2 * np.pi * np.arange(n) / 365.25), 0.0))
+
+
+@pytest.mark.parametrize("seed", [1, 9, 14])
+def test_a_level_of_noise_is_fitted_no_worse_than_by_a_table_and_in_few_steps(seed, monkeypatch):
+    asked, whole = [], transfer.shares
+    monkeypatch.setattr(transfer, "shares", lambda *a, **k: asked.append(a) or whole(*a, **k))
+    transfer.calibrate(noise(seed))  # of the first record of a length the common kernels are part
+    asked.clear()
+    record = noise(seed)
+    got = dict(zip((c.split()[0] for c in transfer.COLUMNS.split(", ")), transfer.calibrate(record)))
+    assert len(asked) < 120
+    least = np.inf
+    for shape in (0.15, 0.5, 1.5, 5.0, 10.0):
+        for scale in np.geomspace(0.5, 2000, 14):
+            for factor in (0.0, 2.0):
+                wet, dry = record.unit(shape, scale)
+                x = wet - factor * dry
+                gain = max(np.cov(x, record.level)[0, 1] / max(np.var(x, ddof=1), 1e-12), 1e-5)
+                v = record.innovations(np.array([gain, shape, scale, factor, (record.level - gain * x).mean(), 0.01]))
+                least = min(least, float(v @ v))
+    assert got["objective"] <= least * (1 + 1e-9)
+
+
+def test_slopes_are_those_of_the_innovations():
+    rng = np.random.default_rng(3)
+    record = transfer.Record(*planted(rng, 2500, 0.5, 1.5, 30.0, 0.8, 10.0, 9.0, 0.1, 2))
+    for shape, scale in ((0.3, 0.4), (1.5, 30.0), (6.0, 200.0)):
+        p = np.array([0.5, shape, scale, 0.8, 10.0, 9.0])
+        for row, k in zip(record.slopes(p), (1, 2, 5)):
+            up, down = p.copy(), p.copy()
+            up[k], down[k] = p[k] * math.exp(1e-4), p[k] * math.exp(-1e-4)
+            want = (record.innovations(up) - record.innovations(down)) / 2e-4
+            assert row == pytest.approx(want, abs=1e-6 * np.abs(want).max())
+
+
+def test_gain_factor_and_base_are_the_best_within_bounds():
+    rng = np.random.default_rng(4)
+    low, high = np.array([1e-5, 0.1, 0.01, 0.0, -50.0, 0.01]), np.array([1e5, 10.0, 5000.0, 2.0, 50.0, 5000.0])
+    for k in range(40):
+        rain, dry = rng.random((2, 60))
+        y = rng.normal(0, 1) * rain - rng.normal(0, 2) * dry + rng.normal(0, 60) + rng.normal(0, 0.1, 60)
+        sides = np.stack([rain, rain - 2 * dry, np.ones(60), y])
+        gain, factor, base = transfer.shared(sides @ sides.T, 2.0, low, high)
+        assert 1e-5 <= gain <= 1e5 and 0 <= factor <= 2 and -50 <= base <= 50
+        cost = lambda g, f, b: float(((y - b - g * (rain - f * dry)) ** 2).sum())
+        own = cost(gain, factor, base)
+        for g, f, b in rng.normal(0, 1, (200, 3)) * 10.0 ** rng.uniform(-4, 0, (200, 1)):
+            near = max(gain + g, 1e-5), min(max(factor + f, 0.0), 2.0), min(max(base + b, -50.0), 50.0)
+            assert cost(*near) >= own * (1 - 1e-7)  # at the least gain the factor is left as it is
+
+
+def test_a_step_along_a_ridge_stays_within_bounds_and_goes_down():
+    m, g = np.array([[1.0, 0.99, 0.0], [0.99, 1.0, 0.0], [0.0, 0.0, 1.0]]), np.array([-0.2, 0.1, 0.0])
+    step = transfer.bounded(m, g, np.array([-2.0, -2.0, -2.0]), np.array([0.5, 2.0, 2.0]))
+    assert step == pytest.approx([0.5, -0.595, 0.0]) and step @ (2 * g + m @ step) < 0
+    assert transfer.bounded(m, np.array([-0.2, -0.2, 0.5]), np.full(3, -2.0), np.full(3, 2.0)) == pytest.approx([0.2 / 1.99, 0.2 / 1.99, -0.5])
