@@ -19,6 +19,16 @@ def test_within_compares_places(spark):
     assert "REPARTITION_BY_NUM" in near._jdf.queryExecution().toString()
 
 
+def test_within_works_out_a_distance_before_ids_are_paired(spark):
+    """And pairs one left id after the other, behind a sort, whatever the sides' sizes."""
+    own = spots(spark, 600, 3)
+    plan = spatial.within(own, own, 1.2, digits=6)._jdf.queryExecution().sparkPlan().toString()
+    at = [plan.index(c) for c in ("explode(ids2", "round(", "SortMergeJoin", "explode(ids1")]
+    assert at == sorted(at) and "BroadcastHashJoin [i#" not in plan
+    got = {r.km for r in spatial.within(own, own, 1.2, digits=3).collect()}
+    assert got == {0.0, 1.112} and spatial.within(own, own, 1.2).filter("km <> round(km, 3)").count() == 4 * 200**2
+
+
 def test_within_carries_columns_and_own_radius(spark):
     r = spark.createDataFrame([(1, 50.0, 1.0, 2.0), (2, 50.0, 1.0, 0.1), (3, 50.02, 1.0, None)], "id long, lat double, lon double, km double")
     got = spatial.within(spots(spark, 2, 2), r.withColumn("id", F.struct("id", "km")), 3.0, F.col("km")).select("a", "b.id").collect()
